@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, token_output
+from . import bpe, chat_format, exact_dedup, token_output
 from .common import table
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs are conversations 2k (chosen) and 2k + 1 (rejected); spans are shown as text."""
+    found = chat_format.format_preferences(chat_format.neighbouring_pairs(table(spark, sf_dir, "conversations")))
+    masks = {side + "_mask": chat_format.mask_text(found[side + "_spans"]) for side in ("chosen", "rejected")}
+    return found.withColumns(masks).drop("chosen_spans", "rejected_spans")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,10 +30,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": chat_format.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
