@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, token_output
+from . import bpe, chat_format, exact_dedup, token_counts, token_output
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs are conversations 2k (chosen) and 2k + 1 (rejected); spans are shown as text."""
     found = chat_format.format_preferences(chat_format.neighbouring_pairs(table(spark, sf_dir, "conversations")))
@@ -30,6 +34,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_exact_dedup": op7_exact_dedup,
