@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, token_counts, token_output
+from . import bpe, chat_format, exact_dedup, packing, token_counts, token_output
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(masks).drop("chosen_spans", "rejected_spans")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_output": op10_token_output,
