@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, packing, token_counts, token_output
+from . import bpe, chat_format, exact_dedup, language_id, packing, token_counts, token_output, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(masks).drop("chosen_spans", "rejected_spans")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, token_output.write_ids(table(spark, sf_dir, "documents")))
 
@@ -40,9 +48,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
+    "op3_toxicity": op3_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
 }
 
