@@ -59,3 +59,14 @@ def text_or_empty(col: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, hot_keys: int = 1000) -> DataFrame:
+    """Inner join with a table of one row per key, where some keys may hold a large share of ``rows``.
+
+    ``weight`` is how many rows a key has. At most ``hot_keys`` keys hold more than total / hot_keys rows
+    each, so those are broadcast; all others are shuffled.
+    """
+    limit = max(1, total // hot_keys)
+    hot, rest = side.where(F.col(weight) > limit), side.where(F.col(weight) <= limit)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
