@@ -8,6 +8,7 @@ numpy puts the ids of the chunks together again.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Texts are taken together up to about this many bytes.
-SLICE_BYTES = 8 << 20
-#: Chunks that a worker remembers, and the longest that it does.
+SLICE_BYTES = 24 << 20
+#: Chunks in each of the two generations that a worker remembers, and the longest that it does.
 MEMO_CHUNKS, MEMO_LENGTH = 300_000, 64
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -89,25 +91,78 @@ def ragged(pool: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np
     return pool[np.arange(total) + np.repeat(starts[codes] - (ends - mine), mine)], ends
 
 
+#: The pattern of the byte-level pre-tokenizer (a fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class PreTokens:
+    """Pre-tokens, in the byte alphabet, of chunks whose characters mean the same in every Unicode version."""
+
+    #: ASCII, and the Latin letters and signs up to U+017F that have neither marks to compose nor odd classes.
+    _PLAIN = regex.compile(r"[\n -~¡-¬®-ſ]*")
+
+    def __init__(self, tokenizer):
+        spec = json.loads(tokenizer.to_str())
+        pre = spec["pre_tokenizer"]
+        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        self.pattern = regex.compile(BYTE_LEVEL if pre["type"] == "ByteLevel" else pre["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.alphabet = byte_alphabet()
+        self.ascii = {b: c for b, c in enumerate(self.alphabet[:128])}
+
+    def plain(self, chunk: str) -> list[str] | None:
+        """None: the library has to split it (other characters, or a special string)."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower() if self.lower else chunk]
+            if chunk[:1] == " " and chunk[1:].isalpha() and not self.lower:
+                return [self.alphabet[32] + chunk[1:]]
+        if not self._PLAIN.fullmatch(chunk) or "<" in chunk and any(s in chunk for s in self.special):
+            return None
+        found = self.pattern.findall(chunk.lower() if self.lower else chunk)
+        return [w.translate(self.ascii) if w.isascii() else "".join([self.alphabet[b] for b in w.encode()]) for w in found]
+
+
 class ChunkEncoder:
-    """Ids of whole texts as the library gives them without begin and end."""
+    """Ids of whole texts as the library gives them without begin and end.
+
+    Plain chunks are split here and go to the library's model word by word; all others go through the
+    whole library.
+    """
 
     def __init__(self, path: str, keep_space: bool):
-        self.tokenizer, self.keep_space, self.memo = load(path), keep_space, {}
+        self.tokenizer, self.keep_space = load(path), keep_space
+        self.pre, self.model = PreTokens(self.tokenizer), self.tokenizer.model
+        self.young, self.old = {}, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.code, self.dtype = ("H", np.uint16) if self.vocabulary <= 1 << 16 else ("I", np.uint32)
 
     def _pool(self, chunks: list[str]) -> list[bytes]:
-        memo, fresh = self.memo, {}
-        missing = [c for c in chunks if c not in memo]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[chunk] = array(self.code, found.ids).tobytes()
-        out = [memo[c] if c in memo else fresh[c] for c in chunks]
-        if len(memo) + len(fresh) > MEMO_CHUNKS:
-            memo.clear()
-        memo.update((c, v) for c, v in fresh.items() if len(c) <= MEMO_LENGTH)
+        """Ids of distinct chunks. What a full generation holds stays known while the next one fills."""
+        young, old, code, plain, tokenize = self.young.get, self.old.get, self.code, self.pre.plain, self.model.tokenize
+        out = [young(c) or old(c) for c in chunks]
+        rest = []
+        for i, known in enumerate(out):
+            if known is None:
+                words = plain(chunks[i])
+                if words is None:
+                    rest.append(i)
+                else:
+                    out[i] = array(code, [t.id for w in words for t in tokenize(w)]).tobytes()
+        for at in range(0, len(rest), 1024):
+            part = rest[at : at + 1024]
+            for i, found in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = array(code, found.ids).tobytes()
+        if len(self.young) > MEMO_CHUNKS:
+            self.old, self.young = self.young, {}
+        self.young.update(p for p in zip(chunks[:MEMO_CHUNKS], out[:MEMO_CHUNKS], strict=True) if len(p[0]) <= MEMO_LENGTH)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

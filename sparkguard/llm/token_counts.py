@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import chunk_codes, load, slices, tokenizer_path
+from .encoding import BYTE_LEVEL, chunk_codes, load, slices, tokenizer_path
 
 #: A posting: document in its block, frequency; higher frequencies take several postings.
 POSTING = np.dtype([("doc", "<u2"), ("freq", "u1")])
@@ -33,8 +33,7 @@ HELD_BYTES = 32 << 20
 SALTED_POSTINGS, SALTS = 256, 256
 BLOCK_BYTES = 48 << 20
 
-#: The pattern of the byte-level pre-tokenizer (a fixed value).
-_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PATTERN = regex.compile(BYTE_LEVEL)
 #: Characters whose class does not depend on the Unicode version; other chunks are split by the library.
 _PLAIN = regex.compile(r"[\n -~¡-ſ]*")
 _LIBRARY: dict = {}
