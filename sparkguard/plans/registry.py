@@ -1,10 +1,436 @@
-"""The registered queries of the library itself and the SQL that each is checked against."""
+"""The registered queries of the library itself and the SQL that each is checked against.
+
+The library's operators work on tables of change scripts and backups; here they run over whole driver
+tables of the same shape, or over literal rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import audit, history, integrity, nested, report, rules, runner, statements
+from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL of the same result."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+RELATIONS = [
+    ("lineitem_orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem_part", "lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders_customer", "orders", "o_custkey", "customer", "c_custkey"),
+    ("customer_nation", "customer", "c_nationkey", "nation", "n_nationkey"),
+    ("labels_documents", "labels", "doc_id", "documents", "doc_id"),
+]
+_ORPHANS = "SELECT '{0}' AS constraint_name, count(*) AS orphan_count FROM {1} c WHERE c.{2} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {3} p WHERE p.{4} = c.{2})"
+
+
+@query(" UNION ALL ".join(_ORPHANS.format(*r) for r in RELATIONS))
+def orphan_rows_by_fk(spark, sf_dir):
+    return integrity.orphan_report([(n, table(spark, sf_dir, c), [ck], table(spark, sf_dir, p), [pk]) for n, c, ck, p, pk in RELATIONS])
+
+
+@query("SELECT count(*) AS orphan_count, count(DISTINCT l_orderkey) AS orphan_keys FROM lineitem c WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey = c.l_orderkey AND p.o_orderstatus = 'F')")
+def orphan_rows_filtered_parent(spark, sf_dir):
+    parents = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    lost = integrity.orphan_rows(table(spark, sf_dir, "lineitem"), ["l_orderkey"], parents, ["o_orderkey"])
+    return lost.agg(F.count(F.lit(1)).alias("orphan_count"), F.count_distinct("l_orderkey").alias("orphan_keys"))
+
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
+
+
+@query(_COUNTS)
+def row_counts_by_table(spark, sf_dir):
+    return integrity.row_counts({t: table(spark, sf_dir, t) for t in TABLES})
+
+
+_EXPECTED = [("region", 5), ("nation", 24), ("planet", 9)]
+
+
+@query(
+    f"""WITH e(table_name, expected_count) AS (VALUES ('region', 5), ('nation', 24), ('planet', 9)), a AS ({_COUNTS})
+    SELECT coalesce(e.table_name, a.table_name) AS table_name, CAST(e.expected_count AS BIGINT) AS expected_count, a.row_count AS actual_count,
+      CASE WHEN a.table_name IS NULL THEN 'missing' WHEN e.table_name IS NULL THEN 'unexpected' WHEN e.expected_count IS NOT DISTINCT FROM a.row_count THEN 'ok' ELSE 'mismatch' END AS status
+    FROM e FULL JOIN a ON e.table_name = a.table_name"""
+)
+def row_count_diff_full_outer(spark, sf_dir):
+    return integrity.compare_counts(spark.createDataFrame(_EXPECTED, "table_name string, row_count long"), row_counts_by_table(spark, sf_dir))
+
+
+_HASH = "SELECT '{0}' AS table_name, count(*) AS row_count, md5(coalesce(string_agg(line, chr(30) ORDER BY line), '')) AS content_md5 FROM (SELECT concat_ws(chr(31), {1}) AS line FROM {0})"
+_HASHED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "CAST(s_acctbal AS DECIMAL(18,2))"]}
+
+
+@query(" UNION ALL ".join(_HASH.format(t, ", ".join(c)) for t, c in _HASHED.items()))
+def content_hash_by_table(spark, sf_dir):
+    parts = [integrity.content_hash(table(spark, sf_dir, t), [F.expr(c) for c in cols]).select(F.lit(t).alias("table_name"), "row_count", "content_md5") for t, cols in _HASHED.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def content_hash_scalable(spark, sf_dir):
+    return integrity.scalable_hash(table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    """WITH e AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS position, n_name FROM nation),
+    a AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS position, n_name FROM nation WHERE n_nationkey <> 3)
+    SELECT coalesce(e.n_regionkey, a.n_regionkey) AS n_regionkey, CAST(coalesce(e.position, a.position) AS INTEGER) AS position, e.n_name AS expected_name, a.n_name AS actual_name
+    FROM e FULL JOIN a ON e.n_regionkey = a.n_regionkey AND e.position = a.position WHERE e.n_name IS DISTINCT FROM a.n_name"""
+)
+def spot_check_positional(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    found = integrity.positional_differences(nation, nation.where("n_nationkey <> 3"), ["n_nationkey"], ["n_name"], ["n_regionkey"])
+    return found.select("n_regionkey", "position", F.col("expected.n_name").alias("expected_name"), F.col("actual.n_name").alias("actual_name"))
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM orders) AS orders_count, (SELECT count(*) FROM lineitem) AS lines")
+def scalar_subquery_counts(spark, sf_dir):
+    for t in ("customer", "orders", "lineitem"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"scalar_{t}")
+    return spark.sql("SELECT (SELECT count(*) FROM scalar_customer) AS customers, (SELECT count(*) FROM scalar_orders) AS orders_count, (SELECT count(*) FROM scalar_lineitem) AS lines")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS latest_state, max(event_id) AS latest_sequence FROM events GROUP BY user_id")
+def latest_marker_state(spark, sf_dir):
+    return runner.latest_state(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id AS id, user_id, event_type AS state FROM events WHERE event_type = 'error' OR (event_type = 'view' AND NOT (value >= 50))")
+def unresolved_markers(spark, sf_dir):
+    state = F.when(F.col("event_type") == "error", "in_flight").when(F.col("event_type") == "view", "failed").otherwise("applied")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", state.alias("state"), (F.col("value") >= 50).alias("wrapped"))
+    return runner.unresolved(rows).select("id", "user_id", F.col("event_type").alias("state"))
+
+
+@query(
+    """WITH mark AS (SELECT max(o_orderdate) AS last_at FROM orders WHERE o_orderstatus = 'F')
+    SELECT o_orderkey, last_at IS NULL OR last_at < o_orderdate AS pending FROM orders, mark"""
+)
+def pending_after_watermark(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return runner.pending(orders, orders.where("o_orderstatus = 'F'"), "o_orderdate", "o_orderdate").select("o_orderkey", "pending")
+
+
+@query(
+    """SELECT o_custkey, o_orderkey, CASE WHEN coalesce(max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1
+      THEN 'not-run' WHEN o_orderstatus = 'P' THEN 'refused' ELSE 'applied' END AS state FROM orders"""
+)
+def prefix_until_blocked(spark, sf_dir):
+    return runner.before_blocked(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderstatus") == "P", ["o_custkey"]).select("o_custkey", "o_orderkey", "state")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 1")
+def top1_nulls_last(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(1)
+
+
+_PAIRED = """WITH s AS (SELECT user_id, event_id FROM events WHERE event_type = 'signup'), p AS (SELECT user_id, event_id FROM events WHERE event_type = 'purchase')
+    SELECT s.user_id, s.event_id, min(p.event_id) AS later_event_id FROM s JOIN p ON p.user_id = s.user_id AND p.event_id > s.event_id GROUP BY s.user_id, s.event_id"""
+
+
+def _of_type(spark, sf_dir, kind):
+    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", "event_id")
+
+
+@query(_PAIRED)
+def first_later_match_pairing(spark, sf_dir):
+    return rules.first_later(_of_type(spark, sf_dir, "signup"), _of_type(spark, sf_dir, "purchase"), ["user_id"], "event_id")
+
+
+@query(
+    f"""WITH f AS ({_PAIRED}), e AS (SELECT user_id, event_id FROM events WHERE event_type = 'error')
+    SELECT f.user_id, f.event_id AS first_id, f.later_event_id AS event_id, min(e.event_id) AS later_event_id FROM f JOIN e ON e.user_id = f.user_id AND e.event_id > f.later_event_id GROUP BY ALL"""
+)
+def chained_pairing(spark, sf_dir):
+    first = first_later_match_pairing(spark, sf_dir).select("user_id", F.col("event_id").alias("first_id"), F.col("later_event_id").alias("event_id"))
+    return rules.first_later(first, _of_type(spark, sf_dir, "error"), ["user_id"], "event_id")
+
+
+_FACTS = [
+    (1, {"statementKind": "s:DropTable"}),
+    (2, {"statementKind": "s:Delete", "hasWhereClause": "b:false"}),
+    (3, {"statementKind": "s:Delete", "hasWhereClause": "b:true"}),
+    (4, {"statementKind": "s:AddColumn", "defaultVolatility": "s:stable"}),
+    (5, {"statementKind": "s:SetGuc", "disarmsTimeout": "b:true"}),
+    (6, {"statementKind": "s:AddUniqueConstraint", "usingIndexName": "n:"}),
+    (7, {"statementKind": "s:AddUniqueConstraint", "usingIndexName": "s:ix"}),
+    (8, {"statementKind": "s:Unrecognized"}),
+    (9, {"statementKind": "s:CreateIndex", "concurrently": "s:true"}),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES (1, 'BLOCKED', 'drop-table'), (2, 'BLOCKED', 'delete-without-where'), (3, 'REVIEW_REQUIRED', ''), (4, 'SAFE', 'add-column-nonvolatile-default'), (5, 'BLOCKED', 'disarms-timeout-guc'),
+      (6, 'REVIEW_REQUIRED', 'add-unique-constraint'), (7, 'REVIEW_REQUIRED', ''), (8, 'REVIEW_REQUIRED', ''), (9, 'REVIEW_REQUIRED', '')) t(finding_id, verdict, rule_ids)"""
+)
+def rule_match_theta_join(spark, sf_dir):
+    facts = spark.createDataFrame(_FACTS, "finding_id int, facts map<string,string>")
+    return rules.classify(facts, rules.rule_table(spark)).select("finding_id", "verdict", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+_FLOOR = [{"statementKind": f"s:{k}"} for k in ("DropTable", "DropSchema", "DropDatabase", "Truncate", "DropColumn")]
+_FLOOR += [{"statementKind": f"s:{k}", "hasWhereClause": "b:false"} for k in ("Delete", "Update")]
+_FLOOR += [{"statementKind": "s:ExecuteDynamic", "dynamicSqlUnresolved": "b:true"}]
+_FLOOR += [{"statementKind": f"s:{k}", "disarmsTimeout": "b:true"} for k in ("SetGuc", "AlterSystem", "AlterDatabaseSet", "AlterRoleSet")]
+
+
+@query("SELECT CAST(12 AS BIGINT) AS checked, CAST(0 AS BIGINT) AS not_blocked, CAST(0 AS BIGINT) AS invalid_rules")
+def floor_self_check(spark, sf_dir):
+    facts = spark.createDataFrame(list(enumerate(_FLOOR)), "finding_id int, facts map<string,string>")
+    catalogue = rules.rule_table(spark)
+    invalid = rules.invalid_rules(catalogue).agg(F.count(F.lit(1)).alias("invalid_rules"))
+    found = rules.classify(facts, catalogue).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("verdict") != rules.BLOCKED).alias("not_blocked"))
+    return found.join(F.broadcast(invalid), F.lit(True))
+
+
+@query(
+    """SELECT o_custkey, CASE max(CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END) WHEN 0 THEN 'SAFE' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'BLOCKED' END AS verdict, count(*) AS findings
+    FROM orders GROUP BY o_custkey"""
+)
+def worst_verdict_per_file(spark, sf_dir):
+    verdict = F.when(F.col("o_orderstatus") == "O", rules.SAFE).when(F.col("o_orderstatus") == "P", rules.REVIEW).otherwise(rules.BLOCKED)
+    return rules.worst_verdict(table(spark, sf_dir, "orders").select("o_custkey", verdict.alias("verdict")), "o_custkey")
+
+
+@query("SELECT * FROM (VALUES (1, '1'), (2, '1,0'), (3, '1,2'), (4, '1,10'), (5, '2')) t(position, path)")
+def nested_path_ordering(spark, sf_dir):
+    paths = spark.createDataFrame([([2],), ([1, 10],), ([1],), ([1, 2],), ([1, 0],)], "path array<int>")
+    from pyspark.sql import Window
+
+    return paths.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")).alias("position"), F.array_join("path", ",").alias("path"))
+
+
+@query(
+    """SELECT l_orderkey, count(*) AS statements, count(*) FILTER (WHERE l_returnflag = 'R') AS hostile,
+      CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') = 0 THEN 'wrap' WHEN count(*) = 1 THEN 'unwrap' ELSE 'mixed' END AS policy FROM lineitem GROUP BY l_orderkey"""
+)
+def transaction_policy(spark, sf_dir):
+    return runner.transaction_policy(table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R")
+
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents"
+_IPS = r"regexp_extract_all(line, '(?:^|[^0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?:[^0-9.]|$)', 1)"
+_PUBLIC = (
+    "list_filter(" + _IPS + ", lambda x: x <> '0.0.0.0' AND len(list_filter(string_split(x, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0 AND CAST(string_split(x, '.')[1] AS INTEGER) NOT IN (10, 127)"
+    " AND NOT (string_split(x, '.')[1] = '192' AND string_split(x, '.')[2] = '168') AND NOT (string_split(x, '.')[1] = '172' AND CAST(string_split(x, '.')[2] AS INTEGER) BETWEEN 16 AND 31))"
+)
+
+
+@query(f"WITH l AS ({_LINES}) SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, array_to_string({_PUBLIC}, ',') AS addresses FROM l WHERE len({_PUBLIC}) > 0")
+def line_scan_ipv4(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    found = lines.select("doc_id", (F.col("position") + 1).alias("line_number"), audit.addresses(F.col("line")).alias("found"))
+    return found.where(F.size("found") > 0).select("doc_id", "line_number", F.array_join("found", ",").alias("addresses"))
+
+
+_KV = r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b["'']?\s*[=:]\s*["'']?([^\s"'']*)"""
+_CLASSED = f"""SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, CASE
+  WHEN len(list_filter(regexp_extract_all(line, '{_KV}', 1), lambda v: NOT regexp_matches(v, '{audit.PLACEHOLDER}'))) > 0 OR regexp_matches(line, '{audit.NEEDLE}') THEN 'CREDENTIAL'
+  WHEN len(list_filter(regexp_extract_all(line, '{audit.URI_HOST}', 1), lambda h: lower(h) NOT IN ('localhost', '127.0.0.1', 'example.com'))) > 0 THEN 'NON_LOOPBACK_HOST'
+  WHEN len({_PUBLIC}) > 0 THEN 'IP_LITERAL'
+  WHEN regexp_matches(line, '{audit.OPERATIONAL}') THEN 'OPERATIONAL_DETAIL'
+  WHEN len(list_filter(regexp_extract_all(line, '{audit.ENTROPY}', 1), lambda r: regexp_matches(r, '[0-9]') AND regexp_matches(r, '[A-Za-z]'))) > 0 THEN 'UNKNOWN_HIGH_ENTROPY' END AS class
+  FROM ({_LINES})"""
+
+
+@query(f"SELECT * FROM ({_CLASSED}) WHERE class IS NOT NULL")
+def line_scan_classes(spark, sf_dir):
+    return audit.scan_lines(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(
+    f"""SELECT c.class, count(f.class) AS n FROM (VALUES ('CREDENTIAL'), ('NON_LOOPBACK_HOST'), ('IP_LITERAL'), ('OPERATIONAL_DETAIL'), ('UNKNOWN_HIGH_ENTROPY')) c(class)
+    LEFT JOIN ({_CLASSED}) f ON f.class = c.class GROUP BY c.class"""
+)
+def class_counts_zero_filled(spark, sf_dir):
+    return audit.class_counts(line_scan_classes(spark, sf_dir))
+
+
+@query(
+    f"""WITH l AS ({_LINES}), m AS (SELECT *, CASE WHEN line LIKE '%.' THEN line_number END AS mark FROM l)
+    SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, CAST(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_number) AS INTEGER) AS last_mark FROM m"""
+)
+def carry_forward_scan(spark, sf_dir):
+    from pyspark.sql import Window
+
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    so_far = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.col("position") + 1
+    return lines.select("doc_id", number.alias("line_number"), F.last(F.when(F.col("line").endswith("."), number), True).over(so_far).alias("last_mark"))
+
+
+_LOG = "commit abc123\n+++ b/app/a.txt\n+token = \"q1w2e3\"\n context\n+plain\ncommit def456\n+++ b/b.txt\n+see https://db.internal/x\n-password=gone\n+host 8.8.4.4 up"
+
+
+@query("SELECT * FROM (VALUES (1, 'abc123', 'app/a.txt', 2, 'CREDENTIAL'), (1, 'def456', 'b.txt', 2, 'NON_LOOPBACK_HOST'), (1, 'def456', 'b.txt', 4, 'IP_LITERAL')) t(log_id, sha, path, line_number, class)")
+def history_log_scan(spark, sf_dir):
+    return audit.scan_log(spark.createDataFrame([(1, _LOG)], "log_id int, text string"))
+
+
+@query("SELECT * FROM (VALUES (1, 'tag-changed'), (2, 'missing'), (3, 'time-changed'), (5, 'duplicate-index')) t(idx, fault)")
+def append_only_violations(spark, sf_dir):
+    kind = "idx int, tag string, `when` long"
+    base = spark.createDataFrame([(0, "a", 10), (1, "b", 20), (2, "c", 30), (3, "d", 40)], kind)
+    head = spark.createDataFrame([(3, "d", 41), (0, "a", 10), (1, "x", 20), (5, "f", 60), (5, "g", 61)], kind)
+    return history.append_only_entries(base, head)
+
+
+@query("SELECT * FROM (VALUES ('M', 'db/0001.sql'), ('R100', 'db/0002_new.sql'), ('D', 'db/0003.sql')) t(status, path)")
+def append_only_files(spark, sf_dir):
+    lines = [("M\tdb/0001.sql",), ("A\tdb/0009.sql",), ("R100\tdb/0002.sql\tdb/0002_new.sql",), ("M\tdb/meta/_journal.json",), ("M\tsrc/x.ts",), ("D\tdb/0003.sql",), ("",)]
+    return history.append_only_files(history.name_status(spark.createDataFrame(lines, "line string")), "db/", "db/meta/_journal.json")
+
+
+@query("SELECT o_custkey, o_orderdate, count(*) AS occurrences FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1")
+def duplicate_key_guard(spark, sf_dir):
+    return runner.duplicate_keys(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderdate"])
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 5000)
+    SELECT k, 'missing' AS side FROM e WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT k, 'unexpected' FROM a WHERE k NOT IN (SELECT k FROM e)"""
+)
+def set_equality_both_ways(spark, sf_dir):
+    return history.set_difference(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("SELECT * FROM (VALUES ('absent', 'bypass list absent'), ('null', 'not active; bypass list null'), ('text', 'bypass list not-a-list'), ('full', 'missing rules: deletion; missing contexts: lint; bypass list not-empty'), ('fine', '')) t(name, failures)")
+def ruleset_failures(spark, sf_dir):
+    rows = [("absent", "active", 1, 1, None), ("null", "disabled", 1, 1, "null"), ("text", "active", 1, 1, '"x"'), ("full", "active", 0, 0, "[1]"), ("fine", "active", 1, 1, "[]")]
+    df = spark.createDataFrame(rows, "name string, enforcement string, t int, c int, b string")
+    types = F.when(F.col("t") == 1, F.array(F.lit("deletion"), F.lit("update"))).otherwise(F.array(F.lit("update")))
+    contexts = F.when(F.col("c") == 1, F.array(F.lit("lint"))).otherwise(F.array().cast("array<string>"))
+    live = df.select("name", "enforcement", types.alias("rule_types"), contexts.alias("contexts"), F.parse_json("b").alias("bypass_actors"))
+    return history.ruleset_failures(live, ["deletion", "update"], ["lint"]).select("name", F.array_join("failures", "; ").alias("failures"))
+
+
+@query(
+    """SELECT o.o_orderkey, coalesce(string_agg(l.l_linenumber || ':' || l.l_partkey, ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS children, count(l.l_orderkey) AS n
+    FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey"""
+)
+def nested_children_ordered(spark, sf_dir):
+    found = nested.with_children(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", "l_linenumber", ["l_partkey"], "items")
+    shown = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",")
+    return found.select("o_orderkey", shown.alias("children"), F.size("items").cast("long").alias("n"))
+
+
+_SCALED = "l_quantity * least(8, greatest(1, p_size % 10)) / 4.0"
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, CASE WHEN {_SCALED} >= 20 THEN floor({_SCALED} / 5 + 0.5) * 5 ELSE floor({_SCALED} * 2 + 0.5) / 2 END AS scaled
+    FROM lineitem JOIN part ON p_partkey = l_partkey"""
+)
+def scaled_quantities(spark, sf_dir):
+    both = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_partkey") == F.col("l_partkey"))
+    scaled = F.col("l_quantity") * nested.multiplier(nested.clamped_servings(F.col("p_size") % 10), F.lit(4))
+    return both.select("l_orderkey", "l_linenumber", nested.half_step(scaled).alias("scaled"))
+
+
+@query("SELECT * FROM (VALUES (1, '200 g'), (2, '2'), (3, '1 clove'), (4, '2.5 cloves')) t(id, label)")
+def quantity_labels(spark, sf_dir):
+    rows = spark.createDataFrame([(1, 200.0, "g"), (2, 2.0, ""), (3, 1.0, "cloves"), (4, 2.5, "cloves")], "id int, n double, unit string")
+    return rows.select("id", nested.quantity_label(F.col("n"), F.col("unit")).alias("label"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def cascade_delete_children(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return nested.cascade_delete(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", gone, "o_orderkey")
+
+
+_ESCAPED = r"replace(replace(replace(replace(replace(html, '\', '\\'), '`', '\`'), '|', '\|'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"SELECT page_id, md5({_ESCAPED}) AS escaped_md5, length({_ESCAPED}) AS n FROM pages")
+def markdown_escape(spark, sf_dir):
+    safe = report.escape_markdown(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(safe.cast("binary")).alias("escaped_md5"), F.length(safe).cast("long").alias("n"))
+
+
+@query(
+    """SELECT user_id, CASE WHEN arg_max(event_type, event_id) <> 'purchase' THEN 'failed' WHEN date_diff('microsecond', max(ts), TIMESTAMP '2024-03-01 12:00:00') / 86400000000.0 > 30 THEN 'stale' ELSE 'fresh' END AS condition
+    FROM events GROUP BY user_id"""
+)
+def freshness_age_days(spark, sf_dir):
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_run_at"), F.max_by("event_type", "event_id").alias("type"))
+    status = last.select("user_id", "last_run_at", F.when(F.col("type") == "purchase", "PASS").otherwise("FAIL").alias("outcome"), F.lit(True).alias("all_tiers"))
+    return integrity.freshness(status, F.lit("2024-03-01 12:00:00").cast("timestamp")).select("user_id", "condition")
+
+
+_DUMP = "-- dumped\r\n\\restrict abc\r\nCREATE TABLE a (\r\n  x int\r\n);\n\n\n\n\nCREATE TABLE b ();\n\\unrestrict abc\n"
+
+
+@query("SELECT 'CREATE TABLE a (' || chr(10) || '  x int' || chr(10) || ');' || chr(10) || chr(10) || 'CREATE TABLE b ();' AS canonical")
+def schema_text_canonicalise(spark, sf_dir):
+    canonical = F.regexp_replace(integrity.canonical_schema_text(F.col("t")), r"^\s+|\s+$", "")
+    return spark.createDataFrame([(_DUMP,)], "t string").select(canonical.alias("canonical"))
+
+
+@query("SELECT * FROM (VALUES ('expected', 1, 'b'), ('actual', 2, 'd')) t(side, position, line)")
+def diff_excerpt(spark, sf_dir):
+    return integrity.line_difference(spark.createDataFrame([("a\nb\nc",)], "text string"), spark.createDataFrame([("a\nc\nd",)], "text string"))
+
+
+@query(
+    """SELECT CASE WHEN quality IS NULL THEN 'unknown' WHEN (quality = 0) = (toxic <> 0) THEN 'agree' ELSE 'disagree' END AS agreement, count(*) AS n FROM labels GROUP BY 1"""
+)
+def agreement_matrix(spark, sf_dir):
+    verdict = F.when(F.col("toxic") == 0, "SAFE").otherwise("BLOCKED")
+    return table(spark, sf_dir, "labels").select(report.agreement(F.col("quality") == 0, verdict).alias("agreement")).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 'introduced' ELSE 'pre-existing' END AS section, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents d GROUP BY 1")
+def partition_introduced(spark, sf_dir):
+    files = report.partition_introduced(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), "doc_id")
+    return files.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    """SELECT o_custkey, count(*) AS findings, string_agg('- ' || CASE o_orderstatus WHEN 'O' THEN 'SAFE' ELSE 'BLOCKED' END || ': ' || o_orderpriority, chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY o_custkey"""
+)
+def report_sections(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "O", "SAFE").otherwise("BLOCKED").alias("verdict"), F.col("o_orderpriority").alias("message"))
+    return report.sections(rows, "o_custkey", "o_orderkey")
+
+
+@query("SELECT * FROM (VALUES ('lock_timeout', '3000', '3000', true), ('statement_timeout', '30000', NULL, false)) t(name, wanted, found, fine)")
+def settings_equality(spark, sf_dir):
+    expected = spark.createDataFrame(list(runner.TIMEOUTS.items()), "name string, wanted string")
+    return runner.settings_report(expected, spark.createDataFrame([("lock_timeout", "3000"), ("other", "1")], "name string, found string"))
+
+
+@query("SELECT * FROM (VALUES ('duplicate-index', '1'), ('duplicate-time', '20'), ('entry-without-file', 'c'), ('file-without-entry', 'z')) t(fault, subject)")
+def journal_faults(spark, sf_dir):
+    journal = spark.createDataFrame([(0, 10, "a"), (1, 20, "b"), (1, 20, "c")], "idx int, `when` long, tag string")
+    return runner.journal_faults(journal, spark.createDataFrame([("a",), ("b",), ("z",)], "tag string"))
+
+
+@query("SELECT * FROM (VALUES ('digest', 1, true), ('counts', 2, false), ('spot', 3, NULL), ('schema', 4, NULL)) t(tier, position, recorded)")
+def tier_short_circuit(spark, sf_dir):
+    rows = [("digest", 1, True), ("counts", 2, False), ("spot", 3, True), ("schema", 4, True)]
+    return integrity.record_tiers(spark.createDataFrame(rows, "tier string, position int, passed boolean")).select("tier", "position", "recorded")
+
+
+@query(statements.GOLDEN_SQL)
+def script_verdicts(spark, sf_dir):
+    return statements.verdicts(spark.createDataFrame(statements.EXAMPLES, "file string, sql string"), rules.rule_table(spark)).select("file", "verdict", "rule_ids")
