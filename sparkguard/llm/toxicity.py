@@ -22,7 +22,7 @@ from .grams import batches_of, presence
 #: Orders of the n-grams and bits of a slot of each order.
 ORDERS, BITS = (4, 5), 17
 #: The most training documents of each class: toxic, clean.
-SAMPLE = (900, 1800)
+SAMPLE = (600, 1200)
 #: A slot in fewer training documents has no weight.
 MIN_DOCUMENTS = 3
 FOLDS, HELD_OUT = 5, 0
