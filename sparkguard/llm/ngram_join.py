@@ -3,13 +3,14 @@
 Sizes are cut into bands so that similar sets fall into one band or two neighbouring ones; a set carries the
 tags of its band and the next. Within a tag two similar sets differ in at most k elements. The domain of
 n-grams is partitioned by hash into n > k parts; the two sets then agree on at least n - k of their n
-projections, and a signature is a projection's digest with its part and tag. A set may leave out the
-projections that hold nothing or only common n-grams as long as these are fewer than n - k: some agreed
-projection is still left. Otherwise it carries all.
-
-Sets that share a signature are tied together (one link per member and block, never all pairs), the ties'
-connected components are the candidate groups, and every group is checked exactly by counting common
-elements. Groups over ``CELL_ELEMENTS`` are checked in cells of two blocks. Exact links give the result's
+projections, and a signature is a projection's digest with its part and tag. A set may leave out its
+u projections that hold nothing or only common n-grams as long as u < n - k: n - k - u agreed ones are
+still left. Otherwise it carries all.
+
+Up to FEW sets that share a signature count one common signature for each of their pairs, and pairs
+with fewer than n - k - u in all cannot be similar. More sets are tied to the smallest of them, whatever
+they share, so that a common signature costs one row per set and block. The connected components of what
+is left are the candidate groups, and every group is checked exactly by counting common elements. Groups over ``CELL_ELEMENTS`` are checked in cells of two blocks. Exact links give the result's
 components.
 """
 
@@ -37,7 +38,12 @@ RANGE_SIGNATURES, BLOCK_BYTES = 1_000_000, 8 << 20
 #: Elements of a block of a candidate group.
 CELL_ELEMENTS = 1_000_000
 
-_ENTRY = np.dtype([("sig", "<u8"), ("set", "<i8")])
+#: Sets of a signature whose pairs are counted; more are tied to one of them.
+FEW = 8
+#: Upper 32 and next 8 bits of a signature, set, how many signatures it must share, whether more sets share it.
+_ENTRY = np.dtype([("high", "<u4"), ("low", "u1"), ("set", "<i8"), ("need", "u1"), ("heavy", "u1")])
+#: Count of a tie that holds whatever is shared.
+_SURE = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -92,7 +98,8 @@ class Signer:
     def __init__(self, common: np.ndarray, similar: tuple[int, int] = SIMILAR):
         self.common, self.similar, self.tags = common, similar, {}
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
+    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, int]:
+        """(signatures, how many of them a similar set shares at least, as far as this set alone tells)."""
         size = len(elements)
         if size not in self.tags:
             self.tags[size] = tag_bounds(size, self.similar)
@@ -102,9 +109,9 @@ class Signer:
         else:
             rare = np.ones(size, bool)
         mixed, high = _mix(elements + _A), (elements >> np.uint64(32)).astype(np.int64)
-        out = []
+        out, need = [], 255
+        num, den = self.similar
         for tag, most in self.tags[size]:
-            num, den = self.similar
             k = 2 * most * (den - num) // (den + num)
             n = k + 1 + (k + 6) // 6
             part = (high * n) >> 32
@@ -114,8 +121,11 @@ class Signer:
             digest = np.diff(sums[np.concatenate([[0], ends])])
             telling = np.bincount(part[rare], minlength=n) > 0
             key = digest + np.arange(n, dtype=np.uint64) * _B + _mix(np.array([tag], np.uint64))
-            out.append(_mix(key[telling] if n - np.count_nonzero(telling) < n - k else key))
-        return np.concatenate(out)
+            left_out = n - np.count_nonzero(telling)
+            fewer = left_out < n - k
+            out.append(_mix(key[telling] if fewer else key))
+            need = min(need, n - k - left_out if fewer else 1)
+        return np.concatenate(out), need
 
 
 def _documents(n: int):
@@ -153,16 +163,54 @@ def _common(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def _ties(sets: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the first entry of each signature, ties (set, its signature's smallest set))."""
-    order = np.lexsort((sets, sigs))
-    first = np.concatenate([[True], sigs[order[1:]] != sigs[order[:-1]]]) if len(order) else np.zeros(0, bool)
-    heads = np.flatnonzero(first)
-    centre = sets[order[heads]][np.cumsum(first) - 1] if len(order) else sets
-    mine = sets[order]
-    apart = mine != centre
-    pairs = np.stack([mine[apart], centre[apart]], axis=1)
-    return order[heads], np.unique(pairs, axis=0) if len(pairs) else pairs
+def _ranks(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within runs of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Sizes of the runs of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.diff(np.append(np.flatnonzero(new), len(new)))
+
+
+def _block_entries(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries of a block by signature, sure ties): of more than FEW sets of a signature the smallest goes on."""
+    entry = entry[np.lexsort((entry["set"], entry["low"], entry["high"]))]
+    sizes = _runs(entry["high"], entry["low"])
+    many, rank = np.repeat(sizes > FEW, sizes), _ranks(sizes)
+    head = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    tied = many & (rank > 0)
+    ties = np.unique(np.stack([entry["set"][head[tied]], entry["set"][tied]], axis=1), axis=0)
+    entry["heavy"][many & (rank == 0)] = 1
+    return entry[~tied], ties
+
+
+def _range_pairs(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, shared, need) of the sets that share signatures, u < v."""
+    entry = entry[np.lexsort((entry["heavy"], entry["set"], entry["low"], entry["high"]))]
+    last = np.cumsum(_runs(entry["high"], entry["low"], entry["set"])) - 1  # of equal sets one, heavy if any is
+    entry = entry[last]
+    sizes = _runs(entry["high"], entry["low"])
+    at = np.cumsum(sizes) - sizes
+    heavy = np.maximum.reduceat(entry["heavy"], at) > 0 if len(at) else np.zeros(0, bool)
+    many, rank, bucket = np.repeat((sizes > FEW) | heavy, sizes), _ranks(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    tied = np.flatnonzero(many & (rank > 0))
+    a, b, n = [at[bucket[tied]]], [tied], [np.full(len(tied), _SURE)]
+    for step in range(1, FEW):
+        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & ~many[step:]) if len(bucket) > step else tied[:0]
+        a.append(i)
+        b.append(i + step)
+        n.append(np.ones(len(i), np.int64))
+    a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
+    wanted = np.maximum(entry["need"][a], entry["need"][b]).astype(np.int64)
+    u, v = entry["set"][a], entry["set"][b]
+    order = np.lexsort((v, u))
+    u, v, n, wanted = u[order], v[order], n[order], wanted[order]
+    starts = np.cumsum(runs := _runs(u, v)) - runs
+    return u[starts], v[starts], np.add.reduceat(n, starts) if len(starts) else n, wanted[starts]
 
 
 def _signed(n: int, common: np.ndarray, ranges: int):
@@ -172,26 +220,25 @@ def _signed(n: int, common: np.ndarray, ranges: int):
         signer = Signer(common)
         for batch in batches:
             for _, texts in slices(batch.column("text"), BLOCK_BYTES):
-                ids, sigs, seen = [], [], set()
+                held, seen = [], set()
                 for s in shingle_sets(texts, n):
                     if len(s) and (name := set_digest(s)) not in seen:
                         seen.add(name)
-                        sigs.append(signer.signatures(s))
-                        ids.append(name)
-                if not sigs:
+                        sig, need = signer.signatures(s)
+                        mine = np.zeros(len(sig), _ENTRY)
+                        mine["high"], mine["low"] = sig >> np.uint64(32), (sig >> np.uint64(24)) & np.uint64(255)
+                        mine["set"], mine["need"] = name, need
+                        held.append(mine)
+                if not held:
                     continue
-                sets = np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
-                sig = np.concatenate(sigs)
-                first, ties = _ties(sets, sig)
-                entry = np.zeros(len(first), _ENTRY)
-                entry["sig"], entry["set"] = sig[first], sets[first]
-                where = ((entry["sig"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                entry, ties = _block_entries(np.concatenate(held))
+                where = (entry["high"].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
                 cuts = np.searchsorted(where, np.arange(ranges + 1))  # entries are sorted by signature
                 keys, data = [], []
                 raw = entry.tobytes()
                 for r in np.flatnonzero(np.diff(cuts)).tolist():
                     keys.append(r)
-                    data.append(raw[cuts[r] * 16 : cuts[r + 1] * 16])
+                    data.append(raw[cuts[r] * _ENTRY.itemsize : cuts[r + 1] * _ENTRY.itemsize])
                 tied = [False] * len(keys)
                 for at in range(0, len(ties), 10_000):
                     keys.append(int(ties[at, 0] % ranges))
@@ -204,11 +251,11 @@ def _signed(n: int, common: np.ndarray, ranges: int):
 
 def _range_ties(rows: pa.Table) -> pa.Table:
     tied, data = rows.column("ties").to_pylist(), rows.column("data").to_pylist()
-    entry = np.frombuffer(b"".join(d for t, d in zip(tied, data, strict=True) if not t), _ENTRY)
     before = np.frombuffer(b"".join(d for t, d in zip(tied, data, strict=True) if t), "<i8").reshape(-1, 2)
-    _, pairs = _ties(entry["set"].astype(np.int64), entry["sig"])
-    pairs = np.concatenate([before, pairs]) if len(pairs) else before
-    return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
+    u, v, shared, need = _range_pairs(np.frombuffer(b"".join(d for t, d in zip(tied, data, strict=True) if not t), _ENTRY))
+    sure = np.full(len(before), _SURE)
+    columns = np.concatenate([before[:, 0], u]), np.concatenate([before[:, 1], v]), np.concatenate([sure, shared]), np.concatenate([sure * 0, need])
+    return pa.table(dict(zip(["u", "v", "shared", "need"], map(pa.array, columns), strict=True)))
 
 
 def _set_rows(n: int):
@@ -341,7 +388,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     total, elements = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     ranges = max(2 * partitions(spark), elements * 2 // (3 * RANGE_SIGNATURES))
     signed = docs.select("text").mapInArrow(_signed(words, _common(docs, words), ranges), "key int, ties boolean, data binary")
-    ties = signed.groupBy("key").applyInArrow(_range_ties, "u long, v long")
+    pairs = signed.groupBy("key").applyInArrow(_range_ties, "u long, v long, shared long, need long")
+    ties = pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("u", "v")
     groups = materialize(components(ties).withColumnsRenamed({"node": "set", "component": "group"}), "join-groups")
     # One row of each set that has company; its elements are computed again from its text.
     wanted = groups.join(classes, "set").select("set", "group", F.col("first").alias("doc_id"))
