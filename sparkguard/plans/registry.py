@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import audit, history, integrity, nested, report, rules, runner, statements
+from ..sources import catalog
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,3 +436,38 @@ def tier_short_circuit(spark, sf_dir):
 @query(statements.GOLDEN_SQL)
 def script_verdicts(spark, sf_dir):
     return statements.verdicts(spark.createDataFrame(statements.EXAMPLES, "file string, sql string"), rules.rule_table(spark)).select("file", "verdict", "rule_ids")
+
+
+@query(
+    """SELECT * FROM (VALUES (1, NULL), (2, 'foreign host'), (3, 'foreign host'), (4, 'other port'), (5, 'other database'), (6, 'indirect host'), (7, NULL)) t(id, fault)"""
+)
+def target_faults(spark, sf_dir):
+    urls = ["localhost:5432/app", "db.example:5432/app", "localhost:5432/app?host=db.example", "localhost:5433/app", "localhost:5432/other", "localhost:5432/app?service=x", "127.0.0.1:5432/app"]
+    df = spark.createDataFrame([(i + 1, "postgres://u:p@" + u) for i, u in enumerate(urls)], "id int, url string")
+    return df.select("id", scalars.target_fault(F.col("url"), "app", 5432).alias("fault"))
+
+
+@query("SELECT * FROM (VALUES ('SAFE', 0, 'pass'), ('REVIEW_REQUIRED', 10, 'warn'), ('BLOCKED', 20, 'fail'), ('PARSE_ERROR', 30, 'fail'), ('odd', 1, 'fail')) t(verdict, code, result)")
+def exit_codes(spark, sf_dir):
+    df = spark.createDataFrame([(v,) for v in ("SAFE", "REVIEW_REQUIRED", "BLOCKED", "PARSE_ERROR", "odd")], "verdict string")
+    code = scalars.exit_code(F.col("verdict"), runner.ANALYZER_EXIT)
+    return df.select("verdict", code.alias("code"), scalars.job_result(code, F.lit("[]")).alias("result"))
+
+
+@query("SELECT * FROM (VALUES ('region', 'r_regionkey:int:true,r_name:string:true'), ('nation', 'n_nationkey:int:true,n_name:string:true,n_regionkey:int:true')) t(table_name, shape)")
+def column_shapes(spark, sf_dir):
+    return catalog.column_shape(catalog.columns({t: table(spark, sf_dir, t) for t in ("region", "nation")}))
+
+
+@query("SELECT doc_id, CASE WHEN strpos(source, '.') > 0 THEN split_part(source, '.', 1) END AS schema_name, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INTEGER)), '%Y%m%dT%H%M%SZ') AS stamp FROM documents")
+def names_and_stamps(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    day = F.timestamp_add("DAY", (F.col("doc_id") % 300).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return docs.select("doc_id", scalars.name_schema(F.col("source")).alias("schema_name"), scalars.compact_timestamp(day).alias("stamp"))
+
+
+@query("SELECT * FROM (VALUES ('public', 'b', 2, CAST(NULL AS INTEGER)), ('public', 'c', NULL, 4), ('public', 'd', 1, NULL)) t(schema_name, sequence_name, expected_value, actual_value)")
+def sequence_state(spark, sf_dir):
+    kind = "schema_name string, sequence_name string, last_value int"
+    e = spark.createDataFrame([("public", "a", None), ("public", "b", 2), ("public", "d", 1)], kind)
+    return catalog.sequence_differences(e, spark.createDataFrame([("public", "a", None), ("public", "b", None), ("public", "c", 4)], kind))
