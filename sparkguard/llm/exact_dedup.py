@@ -7,8 +7,9 @@ collision-free identity: no step trusts a hash. A 64-bit fingerprint only orders
 whose fingerprints tie are ordered by their bytes.
 
 DataFrame functions only. What is shuffled: the distinct blocks once (equal blocks of a task are merged
-before the shuffle), else integers. A hot text costs one row per task in every naming table; joins back
-on hot names are inner sort-merge joins, which adaptive execution splits.
+before the shuffle), else integers. A hot text costs one row per task in every naming table. The join
+back to hot identities broadcasts the at most 1000 groups that hold over a thousandth of the rows;
+joins on block names are inner sort-merge joins, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, join_hot, materialize, partitions
 
 BLOCK_BYTES = 4096
 
@@ -118,7 +119,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows, ids = identities(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", block_bytes)
     ids = materialize(ids.join(rows.select("rid", "doc_id", "text_sha256"), "rid"), "dedup-ids")
     groups = ids.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["levels", "name"]).select(
+    return join_hot(ids, groups, ["levels", "name"], "group_size", ids.count()).select(
         F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
