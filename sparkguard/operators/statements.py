@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import classify, severity, typed
+from .rules import apply_pairings, classify, first_later, severity, typed
 
 NAME = r'(?:"[^"]+"|[a-z_][\w$]*)(?:\s*\.\s*(?:"[^"]+"|[a-z_][\w$]*))?'
 #: Functions by how a default calls them.
@@ -96,7 +96,8 @@ def facts(rows: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS):
         kind = F.when(text.rlike(f"^(?:{pattern})$"), name).otherwise(kind)
-    kind = F.coalesce(kind, F.lit("Unrecognized"))
+    rows = rows.withColumn("kind", F.coalesce(kind, F.lit("Unrecognized")))
+    kind = F.col("kind")
     default = F.regexp_extract(text, r" default (.*)$", 1)
     called = F.regexp_extract(default, r"^(?:\w+\.)?(\w+) ?\(", 1)
     volatility = (
@@ -123,16 +124,65 @@ def facts(rows: DataFrame) -> DataFrame:
         *[F.lit("disarmsTimeout"), typed(disarms, "b")],
         *[F.lit("checkProvesNotNull"), typed(F.lit(False), "b")],
     )
-    return rows.select("file", "position", "text", found.alias("facts"))
+    bare = lambda c: F.replace(F.regexp_extract(c, rf"({NAME})$", 1), F.lit('"'), F.lit(""))
+    last = lambda c: F.nullif(F.element_at(F.split(bare(c), r"\s*\.\s*"), -1), F.lit(""))
+    on = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (rf"^alter table (?:if exists )?(?:only )?({NAME}) ", rf"^create .*? on (?:only )?({NAME})")])
+    return rows.select(
+        "file",
+        "position",
+        "text",
+        found.alias("facts"),
+        "kind",
+        last(on).alias("on_table"),
+        last(F.regexp_extract(text, rf"(?:add|validate) constraint ({NAME})", 1)).alias("constraint_name"),
+        F.when(kind == "CreateIndex", last(F.regexp_extract(text, rf"index (?:concurrently )?(?:if not exists )?({NAME}) on ", 1))).alias("index_name"),
+        last(using).alias("using_index"),
+        last(F.coalesce(F.nullif(F.regexp_extract(text, rf"check ?\( ?\(? ?({NAME}) is not null ?\)? ?\)", 1), F.lit("")), F.regexp_extract(text, rf"alter (?:column )?({NAME}) set not null", 1))).alias("column_name"),
+    )
+
+
+#: Kinds whose data loss no pairing lowers (deletes and updates only without a condition).
+FLOOR = ("DropTable", "DropSchema", "DropDatabase", "Truncate", "DropColumn", "AlterTypeDropValue")
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """file, position, partner, pass, rule_id of statements that together are safe.
+
+    A constraint added NOT VALID and the next one that validates it on its table; an index built
+    concurrently and the next constraint that uses it; a validated check that a column is not null and
+    the next SET NOT NULL of that column, of which only the latter gains.
+    """
+    held = lambda name: F.element_at("facts", F.lit(name)) == "b:true"
+    added = rows.where(held("notValid") & F.col("constraint_name").isNotNull()).select("file", "on_table", "constraint_name", "position", "column_name", "kind")
+    valid = rows.where("kind = 'ValidateConstraint'").select("file", "on_table", "constraint_name", "position")
+    first = first_later(added, valid, ["file", "on_table", "constraint_name"], "position")
+    built = rows.where((F.col("kind") == "CreateIndex") & held("concurrently") & F.col("index_name").isNotNull()).select("file", "index_name", "position")
+    used = rows.where("kind = 'AddUniqueConstraint' AND using_index IS NOT NULL").select("file", F.col("using_index").alias("index_name"), "position")
+    second = first_later(built, used, ["file", "index_name"], "position")
+    proven = first.where("kind = 'AddCheckConstraint' AND column_name IS NOT NULL").select("file", "on_table", "column_name", "position")
+    third = first_later(proven, rows.where("kind = 'SetNotNull'").select("file", "on_table", "column_name", "position"), ["file", "on_table", "column_name"], "position")
+
+    def gained(df: DataFrame, mine: str, other: str, number: int, rule: str) -> DataFrame:
+        return df.select("file", F.col(mine).alias("position"), F.col(other).alias("partner"), F.lit(number).alias("pass"), F.lit(rule).alias("rule_id"))
+
+    out = gained(third, "later_position", "position", 3, "pair-validated-check-set-not-null")
+    for df, number, rule in ((first, 1, "pair-not-valid-validated"), (second, 2, "pair-concurrent-index-unique")):
+        out = out.unionByName(gained(df, "position", "later_position", number, rule)).unionByName(gained(df, "later_position", "position", number, rule))
+    return out
 
 
 def findings(scripts: DataFrame, rules: DataFrame) -> DataFrame:
-    """file, position, verdict, rule_ids of every statement; an empty script has one finding of its own."""
-    rows = facts(statement_rows(scripts))
+    """file, position, verdict, rule_ids, paired_with of every statement; an empty script has one finding of its own."""
+    # Read five times below; a lost block of the cache is computed again.
+    told = facts(statement_rows(scripts)).cache()
+    rows = told.select("file", "position", "text", "facts")
     empty = scripts.join(rows.select("file").distinct(), "file", "left_anti").select("file", F.array(F.lit(0)).alias("position"), F.lit("").alias("text"), F.create_map(F.lit("statementKind"), F.lit("s:EmptyInput")).alias("facts"))
     all_rows = rows.unionByName(empty).withColumn("finding", F.struct("file", "position"))
     found = classify(all_rows, rules, "finding")
-    return found.select("finding.file", "finding.position", "verdict", "rule_ids")
+    scoped = F.element_at("facts", F.lit("hasWhereClause")) == "b:true"
+    floor = told.select("file", "position", (F.col("kind").isin(*FLOOR) | F.col("kind").isin("Delete", "Update") & ~scoped).alias("floor"))
+    plain = found.select("finding.file", "finding.position", "verdict", "rule_ids").join(floor, ["file", "position"], "left")
+    return apply_pairings(plain.withColumn("floor", F.coalesce("floor", F.lit(False))), pairs(told))
 
 
 def verdicts(scripts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -167,6 +217,16 @@ _GOLDEN: list[tuple[str, str, str, str]] = [
     ("rename", "ALTER TABLE t RENAME COLUMN a TO b;", "REVIEW_REQUIRED", "rename-column"),
     ("set-not-null", "ALTER TABLE t ALTER COLUMN a SET NOT NULL;", "REVIEW_REQUIRED", "set-not-null"),
     ("vacuum", "VACUUM t;", "REVIEW_REQUIRED", "vacuum-in-migration"),
+    ("pair-fk", "ALTER TABLE s.t ADD CONSTRAINT c FOREIGN KEY (a) REFERENCES b (id) NOT VALID; ALTER TABLE t VALIDATE CONSTRAINT c;", "SAFE", "add-foreign-key-not-valid,pair-not-valid-validated,validate-constraint"),
+    ("pair-index", "CREATE UNIQUE INDEX CONCURRENTLY i ON t (a); ALTER TABLE t ADD CONSTRAINT u UNIQUE USING INDEX i;", "SAFE", "create-index-concurrently,pair-concurrent-index-unique"),
+    ("near-miss-index", "CREATE UNIQUE INDEX CONCURRENTLY i ON t (a); ALTER TABLE t ADD CONSTRAINT u UNIQUE USING INDEX other;", "REVIEW_REQUIRED", "create-index-concurrently"),
+    (
+        "pair-not-null",
+        "ALTER TABLE t ADD CONSTRAINT c CHECK (a IS NOT NULL) NOT VALID; ALTER TABLE t VALIDATE CONSTRAINT c; ALTER TABLE t ALTER COLUMN a SET NOT NULL;",
+        "SAFE",
+        "add-check-constraint-not-valid,pair-not-valid-validated,pair-validated-check-set-not-null,set-not-null,validate-constraint",
+    ),
+    ("set-before-check", "ALTER TABLE t ALTER COLUMN a SET NOT NULL; ALTER TABLE t ADD CONSTRAINT c CHECK (a IS NOT NULL) NOT VALID;", "REVIEW_REQUIRED", "add-check-constraint-not-valid,set-not-null"),
 ]
 EXAMPLES = [(file, sql) for file, sql, _, _ in _GOLDEN]
 GOLDEN_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{v}', '{r}')" for f, _, v, r in _GOLDEN) + ") t(file, verdict, rule_ids)"
