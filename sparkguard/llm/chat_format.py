@@ -42,6 +42,7 @@ def format_preferences(turns: DataFrame, pair_col: str = "pair_id", side_col: st
     or text counts as empty. Turns are ordered by number (null first), then role, then text, so rows
     repeated or tied have one order. A missing side is an empty conversation, and then the prompt is
     empty. Equal conversations are all prompt. Other columns are ignored.
+    A pair is one row, so its turns meet in one task, in memory proportional to them.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     side = lambda name: F.array_sort(F.collect_list(F.when(F.col(side_col) == name, turn)))

@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Texts are taken together up to about this many bytes.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 #: Chunks in each of the two generations that a worker remembers, and the longest that it does.
-MEMO_CHUNKS, MEMO_LENGTH = 300_000, 64
+MEMO_CHUNKS, MEMO_LENGTH = 200_000, 48
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space beside more white space: there the run counts as a whole, and only lone spaces may be cut.

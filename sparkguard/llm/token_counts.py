@@ -32,6 +32,8 @@ HELD_BYTES = 32 << 20
 #: Postings of a block from which a pre-token counts as hot, and over how many keys it is then dealt.
 SALTED_POSTINGS, SALTS = 256, 256
 BLOCK_BYTES = 48 << 20
+#: Bytes of a block that are split at once.
+PART_BYTES = 8 << 20
 
 _PATTERN = regex.compile(BYTE_LEVEL)
 #: Characters whose class does not depend on the Unicode version; other chunks are split by the library.
@@ -78,7 +80,7 @@ def _postings(path: str):
                     known, n_bytes = ids.is_valid().to_numpy(zero_copy_only=False), []
                     index: dict[str, int] = {}
                     doc_of, code_of, freq_of = [], [], []
-                    for first, some in slices(part):
+                    for first, some in slices(part, PART_BYTES):
                         n_bytes += [len(t.encode()) for t in some.to_pylist()]
                         chunks, codes, offsets = chunk_codes(some, True)
                         split = [_pre_tokens(c, library, special) for c in chunks]

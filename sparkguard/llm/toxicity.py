@@ -25,6 +25,8 @@ ORDERS, BITS = (4, 5), 17
 SAMPLE = (600, 1200)
 #: A slot in fewer training documents has no weight.
 MIN_DOCUMENTS = 3
+#: Training documents whose values are worked on at once.
+BLOCK = 100
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -51,23 +53,29 @@ def fit(slots: list[np.ndarray], toxic: np.ndarray, size: int, rounds: int = 60,
         (p if label else q)[s] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     ratio[p + q - 2 < MIN_DOCUMENTS] = 0
-    row = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s in slots])
-    slot = np.concatenate(slots).astype(np.int32)
-    held = ratio[slot] != 0
-    row, slot = row[held], slot[held]
-    value = ratio[slot].astype(np.float32)
-    norm = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, len(slots))) + 1e-9
-    value /= norm[row].astype(np.float32)
+    # Blocks of documents: (slots, scaled values, the document of each), so no array holds all of them.
+    blocks = []
+    for at in range(0, len(slots), BLOCK):
+        some = [s[ratio[s] != 0].astype(np.int32) for s in slots[at : at + BLOCK]]
+        row = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        slot = np.concatenate(some)
+        value = ratio[slot]
+        value /= (np.sqrt(np.bincount(row, value * value, len(some))) + 1e-9)[row]
+        blocks.append((slot, value.astype(np.float32), row.astype(np.int16)))
     y = toxic.astype(float)
     share = y.mean()
     cost = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
     step /= 0.25 * cost.max() * len(y)
     w, ahead, bias, bias_ahead = np.zeros(size), np.zeros(size), 0.0, 0.0
     for k in range(rounds):
-        z = np.bincount(row, value * ahead[slot], len(y)) + bias_ahead
-        g = cost * (1 / (1 + np.exp(-z)) - y)
-        new = ahead - step * (np.bincount(slot, value * g[row], size) + l2 * ahead)
-        new_bias = bias_ahead - step * g.sum()
+        gradient, gradient_bias = l2 * ahead, 0.0
+        for i, (slot, value, row) in enumerate(blocks):
+            mine = slice(i * BLOCK, i * BLOCK + BLOCK)
+            z = np.bincount(row, value * ahead[slot], len(y[mine])) + bias_ahead
+            g = cost[mine] * (1 / (1 + np.exp(-z)) - y[mine])
+            gradient += np.bincount(slot, value * g[row], size)
+            gradient_bias += g.sum()
+        new, new_bias = ahead - step * gradient, bias_ahead - step * gradient_bias
         m = k / (k + 3)
         ahead, bias_ahead = new + m * (new - w), new_bias + m * (new_bias - bias)
         w, bias = new, new_bias
