@@ -53,33 +53,30 @@ def fit(slots: list[np.ndarray], toxic: np.ndarray, size: int, rounds: int = 60,
         (p if label else q)[s] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     ratio[p + q - 2 < MIN_DOCUMENTS] = 0
-    # Blocks of documents: (slots, scaled values, the document of each), so no array holds all of them.
-    blocks = []
-    for at in range(0, len(slots), BLOCK):
-        some = [s[ratio[s] != 0].astype(np.int32) for s in slots[at : at + BLOCK]]
-        row = np.repeat(np.arange(len(some)), [len(s) for s in some])
-        slot = np.concatenate(some)
-        value = ratio[slot]
-        value /= (np.sqrt(np.bincount(row, value * value, len(some))) + 1e-9)[row]
-        blocks.append((slot, value.astype(np.float32), row.astype(np.int16)))
+    # A value is ratio[slot] / norm[document], so slots alone are kept and no array holds all documents' values.
+    square = ratio**2
+    slots = [s[ratio[s] != 0] for s in slots]
+    norm = np.array([np.sqrt(square[s].sum()) for s in slots]) + 1e-9
+    blocks = [(slice(at, at + BLOCK), slots[at : at + BLOCK]) for at in range(0, len(slots), BLOCK)]
     y = toxic.astype(float)
     share = y.mean()
     cost = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
     step /= 0.25 * cost.max() * len(y)
     w, ahead, bias, bias_ahead = np.zeros(size), np.zeros(size), 0.0, 0.0
     for k in range(rounds):
-        gradient, gradient_bias = l2 * ahead, 0.0
-        for i, (slot, value, row) in enumerate(blocks):
-            mine = slice(i * BLOCK, i * BLOCK + BLOCK)
-            z = np.bincount(row, value * ahead[slot], len(y[mine])) + bias_ahead
+        scaled, summed, gradient_bias = ratio * ahead, np.zeros(size), 0.0
+        for mine, some in blocks:
+            slot, row = np.concatenate(some), np.repeat(np.arange(len(some)), [len(s) for s in some])
+            z = np.bincount(row, scaled[slot], len(some)) / norm[mine] + bias_ahead
             g = cost[mine] * (1 / (1 + np.exp(-z)) - y[mine])
-            gradient += np.bincount(slot, value * g[row], size)
+            summed += np.bincount(slot, (g / norm[mine])[row], size)
             gradient_bias += g.sum()
+        gradient = l2 * ahead + ratio * summed
         new, new_bias = ahead - step * gradient, bias_ahead - step * gradient_bias
         m = k / (k + 3)
         ahead, bias_ahead = new + m * (new - w), new_bias + m * (new_bias - bias)
         w, bias = new, new_bias
-    return Model((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(bias))
+    return Model((w * ratio).astype(np.float32), square.astype(np.float32), float(bias))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
