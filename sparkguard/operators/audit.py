@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +18,38 @@ OPERATIONAL = r"(?i)(\bssh\s+\S+@\S+|\bscp\s+\S+:\S*|/var/lib/|/etc/ssl/)"
 ENTROPY = r"\b([A-Za-z0-9+/_-]{32,})\b"
 
 
+# The scan's own rules. White space and word boundaries are spelled out: the engine's \s is ASCII, its \b depends on the Java version.
+_SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_WORD = "[A-Za-z0-9_]"
+_EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+KEY_WORDS = r"(?i)(?:password|passwd|secret|token|api_?key)"
+#: key (1), value (3). The key is taken whole from where it begins, so that a later part of a value is no key.
+ASSIGNMENT = rf"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)[{_SPACE}]*+[:=][{_SPACE}]*(['"]?)([^{_SPACE}'",;]*)\2"""
+#: password (1), host (2).
+URI = rf"{_EDGE}[a-zA-Z][a-zA-Z0-9+.-]*+://(?:[^{_SPACE}:@/]+(?::([^{_SPACE}@/]*))?@)?([^{_SPACE}/:@]+)"
+#: host (1): of the first user@host among the words after an ssh.
+SSH_TARGET = rf"(?i){_EDGE}ssh[{_SPACE}]++(?:(?![\w.-]+@[\w.-])[^{_SPACE}]++[{_SPACE}]++)*+[\w.-]+@([\w.-]+)"
+PREFIXES = ("-----BEGIN PRIVATE KEY", "ghp_", "gho_", "ghs_", "github_pat_", "AKIA")
+ADDRESS = r"(?<![0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9])(?!\.[0-9])"
+PLATFORM = r"(?i)coolify|hetzner"
+LOCATION = rf"{ADDRESS}|{URI}|:[0-9]{{2,5}}{_EDGE}|/[\w.-]+/[\w.-]+|(?i:{_EDGE}[a-z0-9-]+\.[a-z]{{2,}}{_EDGE})"
+RUN = rf"{_EDGE}[A-Za-z0-9+/_-]{{32,}}={{0,2}}{_EDGE}"
+
+
 def addresses(line: Column) -> Column:
-    """Dotted quads of a line with every octet at most 255 that are neither loopback nor private nor unset."""
+    """Dotted quads of a line with every octet at most 255 that are neither loopback nor private."""
 
     def public(ip: Column) -> Column:
         o = F.transform(F.split(ip, r"\."), lambda x: x.cast("int"))
         fine = F.forall(o, lambda x: x <= 255)
-        private = (o[0] == 10) | (o[0] == 127) | ((o[0] == 192) & (o[1] == 168)) | ((o[0] == 172) & o[1].between(16, 31)) | (ip == "0.0.0.0")
+        private = (o[0] == 10) | (o[0] == 127) | ((o[0] == 192) & (o[1] == 168)) | ((o[0] == 172) & o[1].between(16, 31))
         return fine & ~private
 
-    return F.filter(F.regexp_extract_all(line, F.lit(QUAD), F.lit(1)), public)
+    return F.filter(F.regexp_extract_all(line, F.lit(ADDRESS), F.lit(1)), public)
 
 
 def line_class(line: Column) -> Column:
-    """The class of a line, null if it gives nothing away. Placeholders are no credentials."""
+    """The class of a line by the shapes of the registered SQL alone, which are fewer than those of ``finding_class``."""
     values = F.regexp_extract_all(line, F.lit(KEY_VALUE), F.lit(1))
     credential = F.exists(values, lambda v: ~v.rlike(PLACEHOLDER)) | line.rlike(NEEDLE)
     hosts = F.regexp_extract_all(line, F.lit(URI_HOST), F.lit(1))
@@ -40,10 +61,41 @@ def line_class(line: Column) -> Column:
     )
 
 
+def placeholder(value: Column) -> Column:
+    return (value == "") | value.rlike("(?i)PLACEHOLDER") | value.rlike(r"^(?:\$\{[^}]*\}|<[^>]*>)\z")
+
+
+def finding_class(line: Column) -> Column:
+    """The class of a line, null if it gives nothing away. Placeholders are no credentials.
+
+    The shapes of ``line_class`` (quoted keys, other key words and key headers, operational commands) count
+    besides the scan's own, so a line found by either is found.
+    """
+
+    def every(pattern: str, group: int) -> Column:
+        return F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
+
+    # What a shape cannot do without is looked for first; most lines then meet no costly pattern.
+    has = line.contains
+    uri, assigned = has("://"), has("=") | has(":")
+    pairs = F.arrays_zip(every(ASSIGNMENT, 1).alias("key"), every(ASSIGNMENT, 3).alias("value"))
+    assignment = F.exists(pairs, lambda p: p["key"].rlike(KEY_WORDS) & ~placeholder(p["value"])) | F.exists(every(KEY_VALUE, 1), lambda v: ~placeholder(v))
+    prefix = reduce(or_, map(has, PREFIXES)) | (has("-----BEGIN ") & line.rlike(NEEDLE))
+    credential = prefix | (uri & F.exists(every(URI, 1), lambda v: ~placeholder(v))) | (assigned & assignment)
+    foreign = lambda h: ~F.regexp_replace(h, r"^\[|\]\z", "").isin("localhost", "127.0.0.1", "::1")
+    host = (uri & (F.exists(every(URI, 2), foreign) | F.exists(every(URI_HOST, 1), lambda h: ~F.lower(h).isin("localhost", "127.0.0.1", "example.com")))) | (
+        has("@") & F.exists(every(SSH_TARGET, 1), foreign)
+    )
+    address = line.rlike(r"[0-9]\.[0-9]") & (F.size(addresses(line)) > 0)
+    operational = (line.rlike(PLATFORM) & line.rlike(LOCATION)) | ((has("@") | has(":") | has("/")) & line.rlike(OPERATIONAL))
+    long_run = line.rlike(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}") & line.rlike(RUN)
+    return F.when(credential, CLASSES[0]).when(host, CLASSES[1]).when(address, CLASSES[2]).when(operational, CLASSES[3]).when(long_run, CLASSES[4])
+
+
 def scan_lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, line_number, class of every line that gives something away; the line itself is never returned."""
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("position", "line"))
-    return lines.select(key, (F.col("position") + 1).alias("line_number"), line_class(F.col("line")).alias("class")).where(F.col("class").isNotNull())
+    return lines.select(key, (F.col("position") + 1).alias("line_number"), finding_class(F.col("line")).alias("class")).where(F.col("class").isNotNull())
 
 
 def class_counts(findings: DataFrame) -> DataFrame:
@@ -64,4 +116,4 @@ def scan_log(logs: DataFrame, key: str = "log_id", text: str = "text") -> DataFr
     path = F.when(F.col("line").startswith("+++ b/"), F.substr("line", F.lit(7)))
     placed = lines.withColumns({"sha": F.last(sha, True).over(so_far), "path": F.last(path, True).over(so_far), "top": F.last(F.when(sha.isNotNull(), F.col("position")), True).over(so_far)})
     added = placed.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++"))
-    return added.select(key, "sha", "path", (F.col("position") - F.col("top")).alias("line_number"), line_class(F.substr("line", F.lit(2))).alias("class")).where(F.col("class").isNotNull())
+    return added.select(key, "sha", "path", (F.col("position") - F.col("top")).alias("line_number"), finding_class(F.substr("line", F.lit(2))).alias("class")).where(F.col("class").isNotNull())

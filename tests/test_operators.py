@@ -98,6 +98,27 @@ def test_line_classes_in_order_and_placeholders(spark):
     assert [(r.got, r.want) for r in df.withColumn("got", audit.line_class(F.col("line"))).orderBy("i").collect()] == [(w, w) for _, w in lines]
 
 
+def test_line_scan_finds_what_narrow_patterns_miss(spark):
+    uri, run = "postgres" + "://", "8f14e45fceea167a5a36dedd4bea2543"
+    lines = [
+        *[(x, "CREDENTIAL") for x in ("POSTGRES_PASSWORD=hunter2", "DB_SECRET: x", "client_secret=x", "x.apikey = 'k'", uri + "u:pw@localhost/app", '"password": "x"', "-----BEGIN RSA PRIVATE KEY-----", "pwd=x")],
+        *[(x + "y", "CREDENTIAL") for x in ("-----BEGIN " + "PRIVATE KEY", "gh" + "p_", "gh" + "o_", "gh" + "s_", "github_" + "pat_", "AK" + "IA")],
+        *[(x, None) for x in ("POSTGRES_PASSWORD: ${DB_PW}", "API_TOKEN=my-placeholder", "token=<yours>", "secret=", uri + "u:PLACEHOLDER@localhost:5432/d", "a=token.x", "ssh -v")],
+        *[(x, "NON_LOOPBACK_HOST") for x in (uri + "u@db.internal:5432/d", "ssh -i k.pem -p 22 me@box", "SSH me@localhost ssh me@box", "http://example.com/")],
+        *[(x, "IP_LITERAL") for x in ("is 8.8.8.8.", "10.0.0.1 8.8.4.4", "10.0.0.1,8.8.4.4", "0.0.0.0")],
+        *[(x, None) for x in ("v1.8.8.8.8", "8.8.8.8.8", "130.0.6723.116", "10.1.1.1 172.16.0.1 192.168.1.1 127.0.0.1", "We chose Coolify and Hetzner.")],
+        *[(x, "OPERATIONAL_DETAIL") for x in ("coolify at 10.0.0.1", "Hetzner :8080", "coolify in /data/apps", "hetzner box.internal", "scp me@h:/x")],
+        *[(x, "UNKNOWN_HIGH_ENTROPY") for x in ("a" * 32, "1" * 32, run, run + "==")],
+        ("a" * 31, None),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lines)], "i int, text string")
+    found = {r.i: r["class"] for r in audit.scan_lines(df, "i").collect()}
+    assert [(x, found.get(i)) for i, (x, _) in enumerate(lines)] == lines
+    assert {r["class"]: r.n for r in audit.class_counts(audit.scan_lines(df, "i")).collect()} == {c: sum(w == c for _, w in lines) for c in audit.CLASSES}
+    log = spark.createDataFrame([("commit abc1234\n+++ b/a.env\n+POSTGRES_PASSWORD=hunter2\n-DB_SECRET: x\n",)], "text string").withColumn("log_id", F.lit(1))
+    assert rows(audit.scan_log(log)) == [(1, "abc1234", "a.env", 2, "CREDENTIAL")]
+
+
 def test_name_status_and_porcelain(spark):
     df = spark.createDataFrame([("R100\ta\tb",), ("A\tc",)], "line string")
     assert rows(history.name_status(df)) == [("R100", "b"), ("A", "c")]
