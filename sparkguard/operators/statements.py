@@ -9,7 +9,7 @@ dollar quotes are cut out first and their statements examined like others; what
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import apply_pairings, classify, first_later, severity, typed
@@ -69,14 +69,24 @@ def statement_rows(scripts: DataFrame) -> DataFrame:
     """file, position (array), text, nested: statements of scripts and of the bodies inside them, in order."""
     bodies = F.regexp_extract_all("sql", F.lit(r"(?s)(\$\w*\$)(.*?)\1"), F.lit(2))
     outside = F.regexp_replace("sql", r"(?s)(\$\w*\$)(.*?)\1", r"\$body\$")
+    # A language may be named as a literal, which would be emptied.
+    outside = F.regexp_replace(outside, r"(?i)\blanguage\s+'(\w+)'", "language $1")
     top = scripts.select("file", F.posexplode(F.split(cleaned(outside), ";")).alias("i", "text")).where(F.trim("text") != "")
     top = top.select("file", F.array("i").alias("position"), F.trim("text").alias("text"), F.lit(False).alias("nested"))
     inner = scripts.select("file", F.posexplode(bodies).alias("b", "body"))
-    inner = inner.select("file", "b", F.posexplode(F.split(cleaned(F.regexp_replace("body", r"(?i)\b(begin|declare|then|else|loop)\b", ";")), ";")).alias("j", "text"))
-    inert = r"(?i)^(|end.*|if .*|elsif .*|for .*|while .*|return.*|raise.*|perform.*|null|exit.*|select .*|[\w.]+ *:= *.*|\w+ [\w() ]+(:= .*)?)$"
-    recognised = F.regexp_replace(F.trim("text"), r"(?i)^execute .*", "") == ""
-    known = F.lower(F.trim("text")).rlike(r"^(drop|truncate|delete|update|create|alter|comment|execute|vacuum|reindex|set|reset|insert|grant|revoke) ") | recognised
-    nested = inner.where(known | ~F.trim("text").rlike(inert))
+    words = F.regexp_replace(F.regexp_replace("body", r'(?i)(?<!")\b(declare|begin)\b(?!")', ";$1;"), r"(?i)\b(then|else|loop)\b", ";")
+    inner = inner.select("file", "b", F.posexplode(F.split(cleaned(words), ";")).alias("j", "text")).withColumn("text", F.trim("text"))
+    # Only what stands between DECLARE and BEGIN can be a declaration; a DECLARE inside a statement opens nothing.
+    by = Window.partitionBy("file", "b").orderBy("j")
+    begins = F.coalesce(F.lag("text").over(by), F.lit("")).rlike("^(<<.*>>)?$")
+    word = F.when(F.lower("text").isin("declare", "begin") & begins, F.lower("text"))
+    before = F.last("word", True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("word", True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    inner = inner.withColumn("word", word).withColumn("declaring", before.eqNullSafe("declare") & after.eqNullSafe("begin")).where("word IS NULL")
+    inert = r"(?i)^(|end|end (if|loop|case|\w+)( \w+)?|if .*|elsif .*|elseif .*|for .*|foreach .*|while .*|return.*|raise.*|perform.*|null|exit.*|continue.*|exception when .*|case.*|when .*|assert .*|get (current |stacked )?diagnostics .*|open .*|fetch .*|move .*|close .*|select .*|[\w.]+ *:= *.*)$"
+    declaration = r"(?i)^\w+ (?:constant )?[\w.%()\[\], ]+(?:(?::=|=|\bdefault\b).*)?$"
+    known = F.lower("text").rlike(r"^(drop|truncate|delete|update|create|alter|comment|execute|vacuum|reindex|set|reset|insert|grant|revoke) ")
+    nested = inner.where(known | ~(F.col("text").rlike(inert) | (F.col("declaring") & F.col("text").rlike(declaration))))
     nested = nested.select("file", F.array(F.lit(1 << 20) + F.col("b"), F.col("j")).alias("position"), F.trim("text").alias("text"), F.lit(True).alias("nested"))
     rows = top.unionByName(nested)
     # One row per dropped object and per action of ALTER TABLE; commas inside parentheses do not separate.
@@ -111,6 +121,11 @@ def facts(rows: DataFrame) -> DataFrame:
     using = F.nullif(F.regexp_extract(text, rf"using index ({NAME})", 1), F.lit(""))
     settings = kind.isin("SetGuc", "AlterSystem", "AlterDatabaseSet", "AlterRoleSet")
     disarms = settings & text.rlike(r"\b(?:set|reset) (?:local |session )?(?:lock_timeout|statement_timeout|all)\b")
+    # Parameters aside, which may have any name; without a language a body is PL/pgSQL.
+    flat = F.regexp_replace(text, r"\([^()]*\)", "")
+    languages = F.regexp_extract_all(flat, F.lit(r'\blanguage "?(\w*)'), F.lit(1))
+    readable = F.forall(languages, lambda x: x.isin("plpgsql", "sql"))
+    inspected = readable & ((kind == "DoBlock") | ((kind == "CreateFunction") & text.rlike(r"\bas ?\$body\$")))
     found = F.create_map(
         *[F.lit("statementKind"), typed(kind, "s")],
         *[F.lit("hasWhereClause"), typed(text.rlike(r"\bwhere\b"), "b")],
@@ -118,7 +133,7 @@ def facts(rows: DataFrame) -> DataFrame:
         *[F.lit("notValid"), typed(kind.isin("AddCheckConstraint", "AddForeignKey") & text.rlike(r"not valid$"), "b")],
         *[F.lit("usingIndexName"), typed(using, "s")],
         *[F.lit("defaultVolatility"), typed(F.when(kind == "AddColumn", volatility).otherwise("none"), "s")],
-        *[F.lit("bodyInspected"), typed(kind.isin("DoBlock", "CreateFunction"), "b")],
+        *[F.lit("bodyInspected"), typed(inspected, "b")],
         *[F.lit("dynamicSqlUnresolved"), typed(kind == "ExecuteDynamic", "b")],
         *[F.lit("nestingLimitExceeded"), typed(F.lit(False), "b")],
         *[F.lit("disarmsTimeout"), typed(disarms, "b")],

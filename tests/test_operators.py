@@ -80,6 +80,19 @@ def test_unknown_statements_are_never_safe(spark):
     assert all(r.verdict != "SAFE" for r in found.collect()) and found.count() == len(odd)
 
 
+def test_body_statements_and_languages_are_not_taken_for_safe(spark):
+    body = "DO $$ DECLARE n int := 1; t text DEFAULT 'x'; BEGIN %s; END $$;"
+    review = [body % x for x in ("LOCK TABLE t IN ACCESS EXCLUSIVE MODE", "REFRESH MATERIALIZED VIEW v", "CLUSTER t", "DISCARD ALL", "CALL purge_all()", "IF n > 0 THEN LOCK TABLE t; END IF", "BEGIN CLUSTER t; EXCEPTION WHEN others THEN NULL; END", 'UPDATE t SET "declare" = 1 WHERE a = 2; CLUSTER t; BEGIN NULL; END')]
+    other = ["DO LANGUAGE plpython3u $$ import os $$;", "DO $$ import os $$ LANGUAGE 'plpython3u';", "CREATE FUNCTION f() RETURNS int AS $$ return 1 $$ LANGUAGE plperl;"]
+    safe = [body % x for x in ("NULL", "n := 2", "IF n > 0 THEN RAISE NOTICE 'LOCK TABLE t'; ELSE NULL; END IF", "FOR i IN 1..2 LOOP CREATE TABLE a (b int); END LOOP", "BEGIN NULL; EXCEPTION WHEN others THEN NULL; END")]
+    safe += ["DO LANGUAGE plpgsql $$ BEGIN NULL; END $$;", "CREATE FUNCTION f(language text) RETURNS void AS $$ BEGIN NULL; END $$ LANGUAGE 'plpgsql';"]
+    blocked = [body % "EXECUTE 'x'", body % "IF n > 0 THEN DROP TABLE t; END IF"]
+    want = {x: v for v, group in (("REVIEW_REQUIRED", review + other), ("SAFE", safe), ("BLOCKED", blocked)) for x in group}
+    found = {r.file: r for r in statements.verdicts(spark.createDataFrame([(x, x) for x in want], "file string, sql string"), rules.rule_table(spark)).collect()}
+    assert {x: r.verdict for x, r in found.items()} == want
+    assert all("container-body-not-inspected" in found[x].rule_ids for x in other)
+
+
 def test_empty_ledger_leaves_all_pending(spark):
     s = spark.createDataFrame([("a", 1), ("b", 2)], "tag string, `when` long")
     ledger = spark.createDataFrame([], "created_at long")
