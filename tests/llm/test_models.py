@@ -1,6 +1,7 @@
 """Classifiers, search and chat formatting."""
 
 import json
+import math
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -63,11 +64,13 @@ def test_toxicity_without_labels_or_rows(spark):
 
 
 def brute_top_k(rows, k, every):
-    q = {i: np.floor(256 * np.array(v, float)) for i, v in rows}
+    """Exact integers; a product beyond a long counts as the nearest long."""
+    whole = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows]
     out = []
-    for i in q:
+    for a, (i, q) in enumerate(whole):
         if i % every == 0:
-            best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:k]
+            score = lambda v: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(q, v, strict=True))))  # noqa: B023, E731
+            best = sorted((-score(v), j) for b, (j, v) in enumerate(whole) if b != a and len(v) == len(q))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -76,8 +79,8 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(900, 40)).astype(np.float32) * rng.gamma(1.0, size=(900, 1)).astype(np.float32)
     vectors[100:160] = vectors[7]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    bad = [(2000, None), (2050, [float("nan")] * 40), (2100, [None] * 40), (2150, [float("inf")] * 40), (2200, [1.0]), (2250, []), (None, vectors[0].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(2200, [1.0])]
+    bad = [(2000, None), (2050, [float("nan")] * 40), (2100, [None] * 40), (2150, [float("inf")] * 40), (2250, []), (None, vectors[0].tolist())]
     df = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<float>").withColumn("block", F.lit("x")).withColumn("score", F.lit(1))
     assert sorted(tuple(r) for r in topk_search.top_k(df).collect()) == brute_top_k(rows, 5, 50)
     few = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (50, [1.0, 2.0])]
@@ -85,15 +88,36 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_ids_lengths_and_huge_components(spark):
+    rng = np.random.default_rng(5)
+    sizes = rng.choice([1, 3, 1e3, 1e6, 1e12, 1e15, 1e300], size=300)
+    rows = [(int(i) % 220, (rng.normal(size=12) * s).tolist()) for i, s in enumerate(sizes)]
+    rows += [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (1, [3.0, 5.0]), (2, [1.0, 0.0]), (50, [1.0, 1.0, 1.0]), (100, [0.0] * 12), (100, [0.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk_search.top_k(df).collect()) == brute_top_k(rows, 5, 50)
+
+
+@there
+def test_bounds_prune_most_products(spark):
+    products, computed = topk_search.pruning(spark.read.parquet(SF + "/embeddings.parquet"))
+    assert 0 < computed < 0.2 * products
+    # Lengths that differ leave whole stripes out before they are shuffled.
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=16) * (100 if i % 50 == 7 else 0.01)).tolist()) for i in range(4000)]
+    products, computed = topk_search.pruning(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert products < 0.5 * 80 * 4000 and computed < 0.2 * products
+
+
 def test_pruned_blocks_give_the_same():
     rng = np.random.default_rng(4)
     basis = np.linalg.qr(rng.normal(size=(48, 48)))[0]
     decay = np.exp(-np.arange(48) / 5)
     make = lambda n: np.floor(256 * (rng.normal(size=(n, 48)) * decay) @ basis.T)
-    q, blocks = make(60), [(np.arange(500) + 1000 * b, make(500) / (1 + b)) for b in range(4)]
-    blocks = [(i, np.floor(v)) for i, v in blocks]
-    ids, scores = topk_search.block_top_k(q, np.arange(60), blocks, np.linalg.eigh(sum(v.T @ v for _, v in blocks))[1][:, ::-1], 5)
-    every, all_v = np.concatenate([i for i, _ in blocks]), np.concatenate([v for _, v in blocks])
+    q, blocks = make(60), [(np.arange(500) + 1000 * b, np.arange(500) + 1000 * b, np.floor(make(500) / (1 + b))) for b in range(4)]
+    turned, tally = np.linalg.eigh(sum(v.T @ v for _, _, v in blocks))[1][:, ::-1], [0, 0]
+    _, ids, scores = topk_search.block_top_k(q, np.arange(60), np.full(60, -np.inf), blocks, turned, 5, tally)
+    assert tally[0] == 60 * 2000 and tally[1] < 0.6 * tally[0]
+    every, all_v = np.concatenate([i for _, i, _ in blocks]), np.concatenate([v for _, _, v in blocks])
     for r in range(60):
         s = all_v @ q[r]
         s[every == r] = -np.inf
