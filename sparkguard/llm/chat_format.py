@@ -68,8 +68,10 @@ def format_preferences(turns: DataFrame, pair_col: str = "pair_id", side_col: st
 def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
     """Turns of conversations 2k (chosen) and 2k + 1 (rejected) as pair k; null ids are left out."""
     rows = conversations.where(F.col("conv_id").isNotNull())
-    side = F.when(F.pmod(F.col("conv_id"), F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return rows.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text")
+    odd = F.pmod(F.col("conv_id").cast("long"), F.lit(2))
+    side = F.when(odd == 0, "chosen").otherwise("rejected")
+    # Whole numbers all along: a quotient of doubles would round ids from 2**53 on.
+    return rows.withColumn("_odd", odd).select(F.expr("(cast(conv_id as bigint) - _odd) div 2").alias("pair_id"), side.alias("side"), "turn", "role", "text")
 
 
 def mask_text(spans: Column) -> Column:
@@ -79,7 +81,7 @@ def mask_text(spans: Column) -> Column:
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+  SELECT (conv_id - abs(conv_id % 2)) // 2 AS pair_id, abs(conv_id % 2) AS side, coalesce(role, '') AS role, coalesce(text, '') AS txt,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
   FROM conversations WHERE conv_id IS NOT NULL),
 e AS (SELECT c.pair_id, c.i, c.role = r.role AND c.txt = r.txt AS eq

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -20,25 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests in one JVM), a temporary folder is set once.
+    A session in one JVM (tests) that has none gets a temporary folder once; on a cluster, where no local
+    folder is shared, its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkguard-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables materialized inside are removed at its end, but for those that are to be kept."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            discard(df)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     It cuts lineage, keeps row ids stable and lets later jobs start from replicated files when
-    an executor is lost.
+    an executor is lost. The table stays until ``discard`` or the end of an enclosing ``scratch``; what a
+    returned plan still reads is its caller's to clear with the folder.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.__dict__["shared_path"] = path
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(back)
     return back
 
 
@@ -57,6 +79,18 @@ def fold(id_col: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def drawn(rows: DataFrame, by: str, share: Column, cost: Column, most: int) -> DataFrame:
+    """Of each value of ``by`` the first ``share`` rows by (draw, doc_id, text_hash) while their cost is at most ``most``.
+
+    At least one row of each value stays. The order does not depend on partitions, so a retried task or a
+    later run draws the same rows. ``rows`` are few: what a hash threshold let through.
+    """
+    order = Window.partitionBy(by).orderBy("draw", "doc_id", "text_hash")
+    so_far = F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumns({"place": F.row_number().over(order), "so_far": so_far})
+    return placed.where((F.col("place") == 1) | ((F.col("place") <= share) & (F.col("so_far") <= most))).drop("place", "so_far")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

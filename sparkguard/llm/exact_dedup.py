@@ -6,8 +6,9 @@ one name is left for the document. Names are equal exactly when the bytes are, s
 collision-free identity: no step trusts a hash. A 64-bit fingerprint only orders the blocks, and blocks
 whose fingerprints tie are ordered by their bytes.
 
-DataFrame functions only. What is shuffled: the distinct blocks once (equal blocks of a task are merged
-before the shuffle), else integers. A hot text costs one row per task in every naming table. The join
+DataFrame functions only. The rows are written once with a row id, so that every later step means the same
+rows. What is shuffled: the distinct blocks once (equal blocks of a task are merged before the shuffle), else
+integers. A hot text costs one row per task in every naming table. The join
 back to hot identities broadcasts the at most 1000 groups that hold over a thousandth of the rows;
 joins on block names are inner sort-merge joins, which adaptive execution splits.
 """
@@ -41,21 +42,15 @@ def _ranked(distinct: DataFrame, keys: list[str], weight: Column, buckets: int)
     return distinct.withColumn("bucket", bucket).withColumn("name", at * buckets + F.col("bucket")).withColumn("step", F.lit(buckets)).drop("bucket")
 
 
-def identities(rows: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``rows`` without the text but with ``rid`` and ``text_sha256``; rid, levels, name)."""
-    spark = rows.sparkSession
-    buckets = max(64, 4 * partitions(spark))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = [c for c in rows.columns if c != text_col]
+def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rid, text_sha256; rid, levels, name; tables to discard after use) of rows (rid, text) of a materialized table.
+
+    A null text counts as empty.
+    """
+    buckets = max(64, 4 * partitions(rows.sparkSession))
+    text = F.coalesce(F.col("text"), F.lit(""))
     blocks = _blocks(text, block_bytes)
-    base = materialize(
-        rows.select(
-            F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row"),
-            F.sha2(text.cast("binary"), 256).alias("text_sha256"),
-            F.transform(blocks, lambda b: F.xxhash64(b)).alias("fps"),
-        ).withColumn("rid", F.monotonically_increasing_id()),
-        "dedup-rows",
-    )
+    base = materialize(rows.select("rid", F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.transform(blocks, lambda b: F.xxhash64(b)).alias("fps")), "dedup-rows")
     # Distinct blocks by fingerprint: a count over 1 is a fingerprint that different blocks share.
     distinct = rows.select(F.explode(blocks).alias("block")).select(F.xxhash64("block").alias("fp"), "block").distinct()
     counts = materialize(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("variants")), "dedup-fps")
@@ -66,11 +61,12 @@ def identities(rows: DataFrame, text_col: str = "text", block_bytes: int = BLOCK
     if tied.isEmpty():
         level = level.select("rid", "pos", "name")
     else:
-        level = _with_ties(rows, base, tied, level, text_col, block_bytes)
+        level = _with_ties(rows.select("rid", F.posexplode(blocks).alias("pos", "block")), tied, level)
     level = materialize(level.select("rid", "pos", F.col("name").cast("long").alias("name")), "dedup-level")
+    discard(counts)
     size = base.select("rid", F.size("fps").alias("n"))
     longest = size.agg(F.max("n")).first()[0] or 1
-    done, levels, width = [], 0, 1
+    done, levels, width, used = [], 0, 1, [base, level]
     while True:
         ended = level.join(size.where((F.col("n") <= width) & (F.col("n") > width // 2)), "rid", "left_semi")
         done.append(ended.select("rid", F.lit(levels).alias("levels"), "name"))
@@ -85,27 +81,23 @@ def identities(rows: DataFrame, text_col: str = "text", block_bytes: int = BLOCK
         named = _ranked(pairs.select("l", "r").distinct(), ["l", "r"], F.lit(1), buckets)
         level = materialize(pairs.join(named, ["l", "r"]).select("rid", "pos", F.col("name").cast("long").alias("name")), "dedup-level")
         discard(pairs)
+        used.append(level)
         levels, width = levels + 1, width * 2
     ids = done[0]
     for more in done[1:]:
         ids = ids.unionByName(more)
-    return base.select("rid", "row.*" if keep else "rid", "text_sha256"), ids
+    return base.select("rid", "text_sha256"), ids, used
 
 
-def _with_ties(rows: DataFrame, base: DataFrame, tied: DataFrame, level: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
-    """Blocks of tied fingerprints get consecutive names in the order of their bytes.
+def _with_ties(blocks: DataFrame, tied: DataFrame, level: DataFrame) -> DataFrame:
+    """Blocks (rid, pos, block) of tied fingerprints get consecutive names in the order of their bytes.
 
-    Runs only when 64-bit fingerprints of different blocks meet. The blocks' bytes are read again from
-    ``rows``; they are matched to row ids through (sha256 of the text, position), which is the same for
-    equal texts, and so are the blocks.
+    Runs only when 64-bit fingerprints of different blocks meet.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    again = rows.select(F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.posexplode(_blocks(text, block_bytes)).alias("pos", "block"))
-    mine = again.withColumn("fp", F.xxhash64("block")).join(tied, "fp", "left_semi").distinct()
+    mine = blocks.withColumn("fp", F.xxhash64("block")).join(tied, "fp", "left_semi")
     order = mine.select("fp", "block").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("fp").orderBy("block")) - 1)
-    ranks = mine.join(order, ["fp", "block"]).select("text_sha256", "pos", "fp", "rank")
-    joined = level.join(base.select("rid", "text_sha256"), "rid").join(ranks, ["text_sha256", "pos", "fp"], "left")
-    return joined.withColumn("name", F.col("name") + F.coalesce(F.col("rank"), F.lit(0)) * F.col("step"))
+    ranks = mine.join(order, ["fp", "block"]).select("rid", "pos", "rank")
+    return level.join(ranks, ["rid", "pos"], "left").withColumn("name", F.col("name") + F.coalesce(F.col("rank"), F.lit(0)) * F.col("step"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -116,20 +108,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with the same id and text are one document twice: they share one flag and both count in
     ``group_size``. Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
-    rows, ids = identities(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", block_bytes)
-    ids = materialize(ids.join(rows.select("rid", "doc_id", "text_sha256"), "rid"), "dedup-ids")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "dedup-base")
+    shas, ids, used = identities(rows.select("rid", "text"), block_bytes)
+    ids = materialize(ids.join(shas, "rid").join(rows.select("rid", "doc_id"), "rid"), "dedup-ids")
     groups = ids.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    for df in (rows, *used):
+        discard(df)
     return join_hot(ids, groups, ["levels", "name"], "group_size", ids.count()).select(
         F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows with the same id and text, one."""
-    found = exact_duplicates(docs, id_col, text_col, block_bytes).where("kept").select(F.col(id_col).alias("_kept_id"), "text_sha256").distinct()
-    mine = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    match = mine[id_col].eqNullSafe(found["_kept_id"]) & (mine["_sha"] == found["text_sha256"])
-    return mine.join(found, match, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    """The rows of ``docs`` that stay, one of each text, with all their columns: the largest id, null ids last."""
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "dedup-base")
+    _, ids, used = identities(rows.select("rid", F.col("row")[text_col].alias("text")), block_bytes)
+    ids = materialize(ids.join(rows.select("rid", F.col("row")[id_col].alias("doc_id")), "rid"), "dedup-ids")
+    for df in used:
+        discard(df)
+    lead = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "rid"))["rid"].alias("keep_rid")
+    groups = ids.groupBy("levels", "name").agg(lead, F.count(F.lit(1)).alias("group_size"))
+    # A text that occurs once drops nothing, so only groups are joined back.
+    gone = join_hot(ids, groups.where("group_size > 1"), ["levels", "name"], "group_size", ids.count()).where("rid <> keep_rid").select("rid")
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 ORACLE = """

@@ -62,7 +62,7 @@ def presence(texts: pa.Array, orders: tuple[int, ...], bits: int, pad: bool = Fa
         yield np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def batches_of(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of a batch in pieces of about ``most`` bytes."""
+def batches_of(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of a batch in pieces of about ``most`` bytes."""
     for at, texts in slices(batch.column("text"), most):
-        yield batch.column("doc_id").slice(at, len(texts)), texts
+        yield at, texts

@@ -4,7 +4,8 @@ k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), G(x) being the distinct n-grams o
 Landmarks L give the Nyström features K(x, L) K(L, L)^(-1/2); one-versus-rest ridge regression on them gives
 a value per language. Presence vectors are hashed, so K(x, L) is a product of matrices and the map from
 presence to values folds into one matrix: a batch is scored by one product. Landmarks and training
-documents are a bounded sample (parameters), drawn by hash within each language, whole texts.
+documents are a bounded sample (parameters), drawn by hash within each language, whole texts. Every known
+language is learned.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import drawn, fold
 from .grams import batches_of, gram_slots, presence
 
 ORDERS, BITS = (1, 2, 3), 13
 #: The most training documents and landmarks, all languages together.
 TRAINING, LANDMARKS = 1600, 400
+#: Training documents that a language gives at least, if it has them, and bytes of slots of all languages together.
+LEAST, FIT_BYTES = 8, 64 << 20
 RIDGE = 0.1
 #: How sharply values become scores.
 SHARPNESS = 6.0
@@ -91,26 +94,36 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for _, texts in batches_of(batch):
             data = [s.astype("<i4").tobytes() for s in presence(texts, ORDERS, BITS, pad=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, len(texts)), pa.array(data, pa.binary())], ["lang", "slots"])
+            kept = [batch.column(c).slice(at, len(texts)) for c in ("lang", "draw", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(data, pa.binary())], ["lang", "draw", "text_hash", "slots"])
             at += len(texts)
 
 
-def train(docs: DataFrame, training: int = TRAINING, landmarks: int = LANDMARKS, folds: int = FOLDS, held_out: int = HELD_OUT, most_languages: int = 400) -> Model:
+def train(docs: DataFrame, training: int = TRAINING, landmarks: int = LANDMARKS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     """Fit on text and language of documents outside the held-out fold whose language is known and text has a letter.
 
-    Each language gives at most its even share of ``training``. The ``most_languages`` most frequent are learned.
+    Each language gives its even share of ``training`` documents, LEAST where that is less, and of FIT_BYTES,
+    but at least one document. They are drawn by a hash of id and text; rows repeated whole count once.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_out))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language, as the model has
     if not counts:
         return fit([], [])
-    share = max(1, training // len(counts))
-    limit = F.lit(0)
-    for row in counts:
-        limit = F.when(F.col("lang") == row["lang"], int((1 << 30) * min(1.0, share / row["n"]))).otherwise(limit)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    rows = known.where((draw < limit) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang").limit(2 * training)
-    got = sorted(((r["lang"], bytes(r["slots"])) for r in rows.mapInArrow(_slots, "lang string, slots binary").collect()), key=lambda r: (r[0], r[1][::-1]))
+    share = max(LEAST, training // len(counts))
+    known = known.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash"))
+    known = known.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("language")), F.lit(1 << 30)))
+    # A threshold lets about twice the share through; of those the lowest are taken.
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int((1 << 30) * min(1.0, (2 * share + 30) / r["n"])))])
+    few = known.where((F.col("draw") < F.element_at(limits, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
+    key = ["lang", "doc_id", "text_hash", "draw"]
+    sizes = few.groupBy(*key).agg(F.max(F.octet_length("text")).alias("n_bytes"))
+    slots = F.least(F.col("n_bytes") * len(ORDERS), F.lit(SIZE)) * 4
+    picked = drawn(sizes, "lang", F.lit(share), slots, FIT_BYTES // len(counts)).select(*key)
+    # At most a share of each language: bounded by the parameters and the number of languages.
+    rows = few.join(F.broadcast(picked.select("lang", "draw", "text_hash")), ["lang", "draw", "text_hash"], "left_semi")
+    texts = rows.groupBy("lang", "draw", "text_hash").agg(F.first("text").alias("text"))
+    found = texts.mapInArrow(_slots, "lang string, draw long, text_hash long, slots binary").collect()
+    got = [(r["lang"], bytes(r["slots"])) for r in sorted(found, key=lambda r: (r["lang"], r["draw"], r["text_hash"]))]
     return fit([np.frombuffer(s, "<i4") for _, s in got], [lang for lang, _ in got], landmarks)
 
 
@@ -141,7 +154,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def held_out_predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; repeated rows give repeated rows, other columns are ignored.
 
-    Without any known language all rows are `und`.
+    Null ids are in the fold of the empty text. Rows that share an id are told apart by their texts, in
+    training too. Without any known language all rows are `und`.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     found = predict(rows.select("doc_id", "text"), train(rows))

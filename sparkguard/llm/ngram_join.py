@@ -3,15 +3,22 @@
 Sizes are cut into bands so that similar sets fall into one band or two neighbouring ones; a set carries the
 tags of its band and the next. Within a tag two similar sets differ in at most k elements. The domain of
 n-grams is partitioned by hash into n > k parts; the two sets then agree on at least n - k of their n
-projections, and a signature is a projection's digest with its part and tag. A set may leave out its
-u projections that hold nothing or only common n-grams as long as u < n - k: n - k - u agreed ones are
-still left. Otherwise it carries all.
-
-Up to FEW sets that share a signature count one common signature for each of their pairs, and pairs
-with fewer than n - k - u in all cannot be similar. More sets are tied to the smallest of them, whatever
-they share, so that a common signature costs one row per set and block. The connected components of what
-is left are the candidate groups, and every group is checked exactly by counting common elements. Groups over ``CELL_ELEMENTS`` are checked in cells of two blocks. Exact links give the result's
-components.
+projections, and a signature is a projection's digest with its part and tag. A set leaves out its u
+projections that hold nothing as long as u < n - k: n - k - u agreed ones are still left, which is what the
+set *needs*. Otherwise it carries all and needs 1.
+
+Sets of one band meet under their own tag, so two sets that both carry a tag as their next one need not.
+
+A signature of more than FEW sets is *heavy*. Sets with fewer heavy signatures of a tag than they need do
+without them: what they need, less their heavy ones, must be met by light signatures, and a light one counts
+for each pair of its few sets. So a passage that many documents share ties none of them. Only sets whose every
+needed signature may be heavy (members of large families of copies, mostly) are tied through heavy ones,
+each to one set of the signature and of its block. The connected components of what is left are the
+candidate groups, and every group is checked exactly by counting common elements, in cells of two blocks where
+it holds more than ``CELL_ELEMENTS``. Exact links give the result's components.
+
+Sets are one where 128 bits of their digests agree. Candidates go by 64 of them, which at worst puts a set
+into a group that it has no link in.
 """
 
 from __future__ import annotations
@@ -25,25 +32,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, partitions
+from .common import discard, join_hot, materialize, partitions
 from .components import components
 from .encoding import slices
 
 #: Words of a shingle; similarity as a fraction.
 WORDS, SIMILAR = 5, (80, 100)
-#: A sample of about so many documents finds common n-grams: those in COMMON_AT of them or more.
-SAMPLE_DOCUMENTS, COMMON_AT = 4000, 6
-#: Signatures that a reducing task takes, about, and bytes of text whose signatures are merged before the shuffle.
+#: Signature entries that a reducing task takes, about, and bytes of text whose signatures are merged before the shuffle.
 RANGE_SIGNATURES, BLOCK_BYTES = 1_000_000, 8 << 20
 #: Elements of a block of a candidate group.
-CELL_ELEMENTS = 1_000_000
+CELL_ELEMENTS = 200_000
 
-#: Sets of a signature whose pairs are counted; more are tied to one of them.
+#: Sets of a signature whose pairs are counted; with more it is heavy.
 FEW = 8
-#: Upper 32 and next 8 bits of a signature, set, how many signatures it must share, whether more sets share it.
-_ENTRY = np.dtype([("high", "<u4"), ("low", "u1"), ("set", "<i8"), ("need", "u1"), ("heavy", "u1")])
-#: Count of a tie that holds whatever is shared.
-_SURE = 1 << 20
+#: Upper 32 and next 8 bits of a signature, set, what it needs under this tag, whether the tag is its next one, whether more sets share it.
+_ENTRY = np.dtype([("high", "<u4"), ("low", "u1"), ("set", "<i8"), ("need", "u1"), ("slot", "u1"), ("heavy", "u1")])
+#: How many heavy signatures a set has under one of its tags.
+_COUNT = np.dtype([("set", "<i8"), ("slot", "u1"), ("need", "u1"), ("n", "<u4")])
+#: Kinds of rows: pairs of light signatures; ties to a set, or of a block's set to another's; numbers of heavy signatures.
+_PAIR, _TIE, _HUB, _HEAVY = range(4)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -79,8 +86,10 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield _mix(one)
 
 
-def set_digest(elements: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
+def set_digest(elements: np.ndarray) -> tuple[int, int]:
+    """128 bits as two signed numbers; the first alone names a set among candidates."""
+    both = xxhash.xxh3_128_intdigest(elements.tobytes())
+    return (both & ((1 << 64) - 1)) - (1 << 63), (both >> 64) - (1 << 63)
 
 
 def tag_bounds(size: int, similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
@@ -93,76 +102,47 @@ def tag_bounds(size: int, similar: tuple[int, int] = SIMILAR) -> list[tuple[int,
 
 
 class Signer:
-    """Signatures of sets; ``common`` are n-grams that say little, sorted."""
+    def __init__(self, similar: tuple[int, int] = SIMILAR):
+        self.similar, self.tags = similar, {}
 
-    def __init__(self, common: np.ndarray, similar: tuple[int, int] = SIMILAR):
-        self.common, self.similar, self.tags = common, similar, {}
-
-    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, int]:
-        """(signatures, how many of them a similar set shares at least, as far as this set alone tells)."""
+    def signatures(self, elements: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """(signatures, how many of them a similar set of the same tag shares at least) under both tags."""
         size = len(elements)
         if size not in self.tags:
             self.tags[size] = tag_bounds(size, self.similar)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, elements), len(self.common) - 1)
-            rare = self.common[at] != elements
-        else:
-            rare = np.ones(size, bool)
         mixed, high = _mix(elements + _A), (elements >> np.uint64(32)).astype(np.int64)
-        out, need = [], 255
+        out = []
         num, den = self.similar
         for tag, most in self.tags[size]:
             k = 2 * most * (den - num) // (den + num)
-            n = k + 1 + (k + 6) // 6
+            n = k + 1 + (k + 6) // 3
             part = (high * n) >> 32
             order = np.argsort(part.astype(np.uint16) if n <= 1 << 16 else part, kind="stable")
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order])])
-            ends = np.cumsum(np.bincount(part, minlength=n))
-            digest = np.diff(sums[np.concatenate([[0], ends])])
-            telling = np.bincount(part[rare], minlength=n) > 0
-            key = digest + np.arange(n, dtype=np.uint64) * _B + _mix(np.array([tag], np.uint64))
-            left_out = n - np.count_nonzero(telling)
+            held = np.bincount(part, minlength=n)
+            digest = np.diff(sums[np.concatenate([[0], np.cumsum(held)])])
+            key = _mix(digest + np.arange(n, dtype=np.uint64) * _B + _mix(np.array([tag], np.uint64)))
+            left_out = n - np.count_nonzero(held)
             fewer = left_out < n - k
-            out.append(_mix(key[telling] if fewer else key))
-            need = min(need, n - k - left_out if fewer else 1)
-        return np.concatenate(out), need
+            out.append((key[held > 0] if fewer else key, n - k - left_out if fewer else 1))
+        return out
 
 
 def _documents(n: int):
-    """doc_id, n_shingles, set id, a second digest."""
+    """rid, doc_id, n_shingles and the two halves of the set's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column("text"), BLOCK_BYTES):
                 sets = list(shingle_sets(texts, n))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())],
-                    ["doc_id", "n_shingles", "set"],
-                )
-
-    return run
-
-
-def _elements(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in slices(batch.column("text"), BLOCK_BYTES):
-                for s in shingle_sets(texts, n):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["element"])
+                names = [set_digest(s) for s in sets]
+                kept = [batch.column(c).slice(at, len(texts)) for c in ("rid", "doc_id")]
+                found = [[len(s) for s in sets], [a for a, _ in names], [b for _, b in names]]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64()) for x in found)], ["rid", "doc_id", "n_shingles", "set", "second"])
 
     return run
 
 
-def _common(docs: DataFrame, n: int) -> np.ndarray:
-    """n-grams that a hash sample of documents repeats: at most the sample's elements / COMMON_AT."""
-    total = docs.select("doc_id").count()
-    keep = int((1 << 30) * min(1.0, SAMPLE_DOCUMENTS / max(1, total)))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 30)) < keep).limit(2 * SAMPLE_DOCUMENTS)
-    counted = sample.select("text").mapInArrow(_elements(n), "element long").groupBy("element").agg(F.count(F.lit(1)).alias("n"))
-    found = counted.where(F.col("n") >= COMMON_AT).select("element").toPandas()["element"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
-
-
 def _ranks(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... within runs of the given sizes."""
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -176,101 +156,155 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.diff(np.append(np.flatnonzero(new), len(new)))
 
 
-def _block_entries(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entries of a block by signature, sure ties): of more than FEW sets of a signature the smallest goes on."""
-    entry = entry[np.lexsort((entry["set"], entry["low"], entry["high"]))]
-    sizes = _runs(entry["high"], entry["low"])
-    many, rank = np.repeat(sizes > FEW, sizes), _ranks(sizes)
-    head = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    tied = many & (rank > 0)
-    ties = np.unique(np.stack([entry["set"][head[tied]], entry["set"][tied]], axis=1), axis=0)
-    entry["heavy"][many & (rank == 0)] = 1
-    return entry[~tied], ties
+def _counted(entry: np.ndarray) -> np.ndarray:
+    """Entries of heavy signatures as numbers per set and tag."""
+    entry = entry[np.lexsort((entry["slot"], entry["set"]))]
+    sizes = _runs(entry["set"], entry["slot"])
+    out = np.zeros(len(sizes), _COUNT)
+    at = np.cumsum(sizes) - sizes
+    for name in ("set", "slot", "need"):
+        out[name] = entry[name][at]
+    out["n"] = sizes
+    return out
+
+
+def _unique_ties(u: np.ndarray, v: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([u, v, slot.astype(np.int64)], axis=1), axis=0) if len(u) else np.zeros((0, 3), np.int64)
+
+
+class _Merger:
+    """Merges the entries of a task's blocks: of the sets of a heavy signature one goes on, the others are tied to it."""
+
+    def __init__(self):
+        self.known, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def block(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entries that go on, by signature; ties; numbers of heavy signatures)."""
+        entry = entry[np.lexsort((entry["set"], entry["low"], entry["high"]))]
+        name = entry["high"].astype(np.uint64) << np.uint64(8) | entry["low"]
+        at = np.minimum(np.searchsorted(self.known, name), max(0, len(self.known) - 1))
+        before = self.known[at] == name if len(self.known) else np.zeros(len(name), bool)
+        sizes = _runs(name)
+        many, rank = np.repeat(sizes > FEW, sizes), _ranks(sizes)
+        head = entry["set"][np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        head[before] = self.heads[at[before]] if before.any() else 0
+        tied = before | (many & (rank > 0))
+        apart = tied & (head != entry["set"])
+        ties, counts = _unique_ties(head[apart], entry["set"][apart], entry["slot"][apart]), _counted(entry[tied])
+        new = many & (rank == 0) & ~before
+        entry["heavy"][new] = 1
+        known, heads = np.concatenate([self.known, name[new]]), np.concatenate([self.heads, entry["set"][new]])
+        order = np.argsort(known, kind="stable")
+        self.known, self.heads = known[order], heads[order]
+        return entry[~tied], ties, counts
 
-def _range_pairs(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, shared, need) of the sets that share signatures, u < v."""
+
+def _range_rows(entry: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of a range's entries: (u, v, shared, what each needs, both slots) of light pairs, (u, v, slot, hub) of ties, heavy numbers."""
     entry = entry[np.lexsort((entry["heavy"], entry["set"], entry["low"], entry["high"]))]
     last = np.cumsum(_runs(entry["high"], entry["low"], entry["set"])) - 1  # of equal sets one, heavy if any is
     entry = entry[last]
     sizes = _runs(entry["high"], entry["low"])
     at = np.cumsum(sizes) - sizes
-    heavy = np.maximum.reduceat(entry["heavy"], at) > 0 if len(at) else np.zeros(0, bool)
+    of = lambda f, name: f.reduceat(entry[name], at) > 0 if len(at) else np.zeros(0, bool)
+    heavy = of(np.maximum, "heavy")
+    fine = np.repeat(heavy | ~of(np.minimum, "slot"), sizes)  # else all have this tag as their next one
     many, rank, bucket = np.repeat((sizes > FEW) | heavy, sizes), _ranks(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    tied = np.flatnonzero(many & (rank > 0))
-    a, b, n = [at[bucket[tied]]], [tied], [np.full(len(tied), _SURE)]
+    tied = np.flatnonzero(many & fine & (rank > 0))
+    ties = [entry["set"][at[bucket[tied]]], entry["set"][tied], entry["slot"][tied], entry["heavy"][tied]]
+    a, b = [tied[:0]], [tied[:0]]
     for step in range(1, FEW):
-        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & ~many[step:]) if len(bucket) > step else tied[:0]
-        a.append(i)
-        b.append(i + step)
-        n.append(np.ones(len(i), np.int64))
-    a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
-    wanted = np.maximum(entry["need"][a], entry["need"][b]).astype(np.int64)
-    u, v = entry["set"][a], entry["set"][b]
-    order = np.lexsort((v, u))
-    u, v, n, wanted = u[order], v[order], n[order], wanted[order]
-    starts = np.cumsum(runs := _runs(u, v)) - runs
-    return u[starts], v[starts], np.add.reduceat(n, starts) if len(starts) else n, wanted[starts]
-
-
-def _signed(n: int, common: np.ndarray, ranges: int):
-    """Rows (key, ties, data): entries of a range of signatures, one set per signature and block, and ties."""
+        if len(bucket) > step:
+            i = np.flatnonzero((bucket[step:] == bucket[:-step]) & ~many[step:] & ~((entry["slot"][step:] > 0) & (entry["slot"][:-step] > 0)))
+            a.append(i)
+            b.append(i + step)
+    a, b = np.concatenate(a), np.concatenate(b)
+    slots = entry["slot"][a] * 2 + entry["slot"][b]
+    order = np.lexsort((slots, entry["set"][b], entry["set"][a]))
+    a, b, slots = a[order], b[order], slots[order]
+    starts = np.cumsum(runs := _runs(entry["set"][a], entry["set"][b], slots)) - runs
+    a, b = a[starts], b[starts]
+    pairs = [entry["set"][a], entry["set"][b], runs, *(entry[c][x].astype(np.int64) for c in ("need", "slot") for x in (a, b))]
+    return pairs, ties, _counted(entry[many & fine])
+
+
+def _signed(n: int, ranges: int):
+    """Rows (key, kind, data): entries of a range of signatures, ties and numbers of heavy signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(common)
+        signer, merger = Signer(), _Merger()
         for batch in batches:
             for _, texts in slices(batch.column("text"), BLOCK_BYTES):
                 held, seen = [], set()
                 for s in shingle_sets(texts, n):
-                    if len(s) and (name := set_digest(s)) not in seen:
+                    if len(s) and (name := set_digest(s)[0]) not in seen:
                         seen.add(name)
-                        sig, need = signer.signatures(s)
-                        mine = np.zeros(len(sig), _ENTRY)
-                        mine["high"], mine["low"] = sig >> np.uint64(32), (sig >> np.uint64(24)) & np.uint64(255)
-                        mine["set"], mine["need"] = name, need
-                        held.append(mine)
+                        for slot, (sig, need) in enumerate(signer.signatures(s)):
+                            mine = np.zeros(len(sig), _ENTRY)
+                            mine["high"], mine["low"] = sig >> np.uint64(32), (sig >> np.uint64(24)) & np.uint64(255)
+                            mine["set"], mine["slot"], mine["need"] = name, slot, min(need, 255)
+                            held.append(mine)
                 if not held:
                     continue
-                entry, ties = _block_entries(np.concatenate(held))
+                entry, ties, counts = merger.block(np.concatenate(held))
                 where = (entry["high"].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
                 cuts = np.searchsorted(where, np.arange(ranges + 1))  # entries are sorted by signature
-                keys, data = [], []
+                rows = []
                 raw = entry.tobytes()
                 for r in np.flatnonzero(np.diff(cuts)).tolist():
-                    keys.append(r)
-                    data.append(raw[cuts[r] * _ENTRY.itemsize : cuts[r + 1] * _ENTRY.itemsize])
-                tied = [False] * len(keys)
-                for at in range(0, len(ties), 10_000):
-                    keys.append(int(ties[at, 0] % ranges))
-                    data.append(ties[at : at + 10_000].astype("<i8").tobytes())
-                    tied.append(True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(tied), pa.array(data, pa.binary())], ["key", "ties", "data"])
+                    rows.append((r, _PAIR, raw[cuts[r] * _ENTRY.itemsize : cuts[r + 1] * _ENTRY.itemsize]))
+                for kind, data in ((_TIE, ties.astype("<i8")), (_HEAVY, counts)):
+                    for at in range(0, len(data), 10_000):
+                        first = data["set"][at] if kind == _HEAVY else data[at, 1]
+                        rows.append((int(first % ranges), kind, data[at : at + 10_000].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "kind", "data"])
 
     return run
 
 
+_RANGE = "kind int, u long, v long, n long, need_u long, need_v long, slot_u long, slot_v long"
+
+
 def _range_ties(rows: pa.Table) -> pa.Table:
-    tied, data = rows.column("ties").to_pylist(), rows.column("data").to_pylist()
-    before = np.frombuffer(b"".join(d for t, d in zip(tied, data, strict=True) if t), "<i8").reshape(-1, 2)
-    u, v, shared, need = _range_pairs(np.frombuffer(b"".join(d for t, d in zip(tied, data, strict=True) if not t), _ENTRY))
-    sure = np.full(len(before), _SURE)
-    columns = np.concatenate([before[:, 0], u]), np.concatenate([before[:, 1], v]), np.concatenate([sure, shared]), np.concatenate([sure * 0, need])
-    return pa.table(dict(zip(["u", "v", "shared", "need"], map(pa.array, columns), strict=True)))
+    kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
+    joined = lambda kind: b"".join(d for k, d in zip(kinds, data, strict=True) if k == kind)
+    pairs, (u, v, slot, hub), heavy = _range_rows(np.frombuffer(joined(_PAIR), _ENTRY))
+    before = np.frombuffer(joined(_TIE), "<i8").reshape(-1, 3)
+    heavy = np.concatenate([heavy, np.frombuffer(joined(_HEAVY), _COUNT)])
+    parts = [(np.full(len(pairs[0]), _PAIR), *pairs)]
+    for kind, ties in ((_TIE, np.concatenate([before, _unique_ties(u[hub == 0], v[hub == 0], slot[hub == 0])])), (_HUB, _unique_ties(u[hub > 0], v[hub > 0], slot[hub > 0]))):
+        zero = np.zeros(len(ties), np.int64)
+        parts.append((zero + kind, ties[:, 0], ties[:, 1], zero, zero, zero, zero, ties[:, 2]))
+    zero = np.zeros(len(heavy), np.int64)
+    parts.append((zero + _HEAVY, heavy["set"], zero, heavy["n"], heavy["need"], zero, heavy["slot"], zero))
+    columns = [np.concatenate([x.astype(np.int64) for x in c]) for c in zip(*parts, strict=True)]
+    return pa.table([pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], [c.split()[0] for c in _RANGE.split(", ")])
+
+
+def _candidate_edges(rows: DataFrame) -> DataFrame:
+    """u, v: sets that may be similar, from what the ranges found (see the module)."""
+    heavy = rows.where(F.col("kind") == _HEAVY).groupBy("u", "slot_u").agg((F.min("need_u") - F.sum("n")).alias("spare"))
+    of = lambda side: heavy.select(F.col("u").alias(side), F.col("slot_u").alias(f"slot_{side}"), F.col("spare").alias(f"spare_{side}"))
+    light = rows.where(F.col("kind") == _PAIR).groupBy("u", "v", "slot_u", "slot_v").agg(F.sum("n").alias("n"), F.min("need_u").alias("need_u"), F.min("need_v").alias("need_v"))
+    light = light.join(of("u"), ["u", "slot_u"], "left").join(of("v"), ["v", "slot_v"], "left")
+    # A set without heavy signatures has no spare, and least passes over nulls.
+    met = F.col("n") >= F.greatest(F.least("need_u", "spare_u"), F.least("need_v", "spare_v"), F.lit(1))
+    keepers = of("v").where("spare_v <= 0").select("v", "slot_v")
+    ties = rows.where(F.col("kind") == _TIE).select("u", "v", "slot_v").join(keepers, ["v", "slot_v"], "left_semi").select("u", "v")
+    # A block's set ties its block to another's where it is such a set itself or one of its block is tied to it.
+    asked = keepers.select("v").unionByName(ties.select(F.col("u").alias("v"))).distinct()
+    hubs = rows.where(F.col("kind") == _HUB).select("u", "v").join(asked, "v", "left_semi").select("u", "v")
+    return light.where(met).select("u", "v").unionByName(ties).unionByName(hubs)
 
 
 def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for _, texts in slices(batch.column("text"), BLOCK_BYTES):
+            for at, texts in slices(batch.column("text"), BLOCK_BYTES):
                 sets = list(shingle_sets(texts, n))
-                part = batch.slice(at, len(texts))
-                at += len(texts)
-                out = pa.RecordBatch.from_arrays(
-                    [part.column("set"), part.column("group"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "group", "n", "elements"]
-                )
-                # An id that stands for several texts brings all of them along.
-                yield out.filter(pc.equal(out.column("set"), pa.array([set_digest(s) for s in sets], pa.int64())))
+                kept = [batch.column(c).slice(at, len(texts)) for c in ("set", "group")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "group", "n", "elements"])
 
     return run
 
@@ -353,6 +387,7 @@ def _group_links(members: DataFrame) -> DataFrame:
     links = materialize(small.withColumn("a", F.lit(0)).groupBy("group").applyInArrow(_check_cell, "u long, v long"), "join-links")
     large = materialize(join_hot(members, sized.where("blocks > 1"), ["group"], "all", total), "join-large")
     if large.isEmpty():
+        discard(large)
         return links
     by_hash = large.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     blocks = by_hash.select("group", F.col("block").alias("a")).distinct()
@@ -369,7 +404,43 @@ def _group_links(members: DataFrame) -> DataFrame:
     pairs = sides.alias("x").join(sides.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False)))
     pairs = pairs.select(F.col("x.group").alias("group"), F.col("x.block").alias("a"), F.col("y.block").alias("b"))
     rest = _cells(again.select("set", "group", "n", "elements", "block"), pairs)
-    return links.union(first).union(materialize(rest, "join-links"))
+    out = links.union(first).union(materialize(rest, "join-links"))
+    discard(large)
+    discard(again)
+    return out
+
+
+def similar_rows(base: DataFrame, words: int = WORDS) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id, kept of rows (rid, doc_id, text) of a materialized table; rid is a key.
+
+    Of each component one row is kept: the one with the smallest doc_id (null last), then rid. Rows without
+    words are all kept.
+    """
+    spark = base.sparkSession
+    rows = materialize(base.select("rid", "doc_id", "text").mapInArrow(_documents(words), "rid long, doc_id long, n_shingles long, set long, second long"), "join-docs")
+    some = rows.where("n_shingles > 0")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("lead")
+    classes = materialize(some.groupBy("set", "second").agg(lead, F.count(F.lit(1)).alias("size")).withColumn("cid", F.monotonically_increasing_id()), "join-classes")
+    total, elements = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    ranges = max(2 * partitions(spark), elements * 2 // (3 * RANGE_SIGNATURES))
+    signed = base.select("text").mapInArrow(_signed(words, ranges), "key int, kind int, data binary")
+    found = materialize(signed.groupBy("key").applyInArrow(_range_ties, _RANGE), "join-pairs")
+    groups = materialize(components(_candidate_edges(found)).withColumnsRenamed({"node": "set", "component": "group"}), "join-groups")
+    discard(found)
+    # One row of each set that has company; its elements are computed again from its text.
+    wanted = classes.join(groups, "set").select(F.col("lead.rid").alias("rid"), F.col("cid").alias("set"), "group")
+    members = materialize(base.select("rid", "text").join(wanted, "rid").select("text", "set", "group").mapInArrow(_set_rows(words), "set long, group long, n long, elements binary"), "join-members")
+    discard(groups)
+    links = _group_links(members)
+    placed = classes.join(components(links).withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = materialize(placed, "join-placed")
+    discard(members)
+    discard(classes)
+    least = placed.groupBy("component").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("sets"))
+    of_set = join_hot(placed, least, ["component"], "sets", total).select("set", "second", "size", "first")
+    joined = join_hot(some, of_set, ["set", "second"], "size", total)
+    joined = joined.select("rid", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
+    return joined.unionByName(rows.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -377,27 +448,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Null or blank texts have no shingles and link with nothing: their component is their own id. Texts
     of fewer words than a shingle have one, their whole sequence. Rows with equal sets are linked, so
-    repeated rows share a component. Rows without an id are linked to equal sets
-    only, and an id is never theirs. Other columns are ignored; an empty table gives an empty result.
+    repeated rows share a component. Rows without an id link like others; an id is never theirs, and a
+    component of such rows alone has none. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    rows = materialize(docs.mapInArrow(_documents(words), "doc_id long, n_shingles long, set long"), "join-docs")
-    some = rows.where("n_shingles > 0")
-    classes = materialize(some.groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")), "join-classes")
-    total, elements = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    ranges = max(2 * partitions(spark), elements * 2 // (3 * RANGE_SIGNATURES))
-    signed = docs.select("text").mapInArrow(_signed(words, _common(docs, words), ranges), "key int, ties boolean, data binary")
-    pairs = signed.groupBy("key").applyInArrow(_range_ties, "u long, v long, shared long, need long")
-    ties = pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("u", "v")
-    groups = materialize(components(ties).withColumnsRenamed({"node": "set", "component": "group"}), "join-groups")
-    # One row of each set that has company; its elements are computed again from its text.
-    wanted = groups.join(classes, "set").select("set", "group", F.col("first").alias("doc_id"))
-    members = docs.join(wanted, "doc_id").select("text", "set", "group").mapInArrow(_set_rows(words), "set long, group long, n long, elements binary")
-    links = _group_links(materialize(members.dropDuplicates(["set"]), "join-members"))
-    found = components(links).withColumnsRenamed({"node": "set"})
-    placed = materialize(classes.join(found, "set", "left").withColumn("component", F.coalesce("component", "set")), "join-placed")
-    least = placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets"))
-    of_set = join_hot(placed, least, ["component"], "sets", total).select("set", "size", "component_id")
-    joined = join_hot(some, of_set, ["set"], "size", total).select("doc_id", "n_shingles", "component_id")
-    return joined.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    base = materialize(docs.withColumn("rid", F.monotonically_increasing_id()), "join-base")
+    return similar_rows(base, words).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_similar(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of similar documents, and all without words."""
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "join-base")
+    base = rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
+    gone = similar_rows(base, words).where(~F.col("kept")).select("rid")
+    return rows.join(gone, "rid", "left_anti").select("row.*")

@@ -3,8 +3,9 @@
 A bin is filled greedily with the largest document that fits; then its smallest document gives way to
 two unpacked documents that together fit the expanded gap more tightly, if such a pair exists. Lengths
 are counted per group of documents, so a group of any composition is packed over at most ``capacity``
-distinct lengths. Groups are dealt by hash to keep tasks bounded; each leaves at most its last bins
-loose.
+distinct lengths. Pieces of full capacity are sequences of their own. All others are dealt to groups of a
+bounded number of pieces by a hash of their row number in the written table of pieces, so neither repeated
+rows nor very long documents meet in one; each group leaves at most its last bins loose.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .encoding import encoder, slices, tokenizer_path
 
 CAPACITY = 4096
-#: Documents of a group that is packed on its own.
-GROUP_DOCUMENTS = 8192
+#: Pieces of a group that is packed on its own.
+GROUP_PIECES = 8192
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,24 +116,25 @@ def _pack(capacity: int):
     return run
 
 
-def pack_lengths(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with ``length``, 1 to capacity, and ``doc_id``) with sequence_id and offset.
-
-    Rows are dealt to ``groups`` by the hash of all their columns, so no key is held together.
-    """
-    group = F.pmod(F.xxhash64(*pieces.columns), F.lit(groups))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(_pack(capacity), schema)
+def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``pieces`` (with ``length``, 1 to capacity) with sequence_id and offset."""
+    rows = materialize(pieces.withColumn("piece_row", F.monotonically_increasing_id()), "pack-pieces")
+    short = rows.where(F.col("length") < capacity)
+    groups = max(1, round(short.count() / group_pieces))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
+    dealt = short.withColumn("pack_group", F.pmod(F.xxhash64("piece_row"), F.lit(groups))).groupBy("pack_group")
+    full = rows.where(F.col("length") == capacity).select("*", (-1 - F.col("piece_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return dealt.applyInArrow(_pack(capacity), schema).unionByName(full).drop("piece_row")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = CAPACITY, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Whole texts (null: empty) are encoded, ended with ``end_id`` and cut only where longer than
     ``capacity``. An empty text is a piece of one id. Repeated rows and null ids are packed like others;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result. A task holds one text's ids at a time
+    with those of the texts beside it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = max(1, round(docs.select("doc_id").count() / group_documents))
     pieces = rows.mapInArrow(_pieces(path or tokenizer_path("word_bpe_49k.json"), capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    return pack_lengths(pieces, groups, capacity)
+    return pack_lengths(pieces, capacity, group_pieces)

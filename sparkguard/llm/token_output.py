@@ -2,9 +2,10 @@
 
 Each id takes the minimum number of bits for its vocabulary. A block holds whole documents in ascending
 id order, their ends inside the block and the packed ids, so numpy unpacks a block in one step and a
-range of ids without the rest. Blocks are rows of Parquet files under one folder per ``bucket`` (a
-range of document ids), so any file system that Spark writes serves, and the folders in order hold the
-documents in order.
+range of ids without the rest. Blocks are rows of Parquet files under one folder per ``bucket``, a range
+of document ids of about ``BUCKET_BYTES`` of text, so any file system that Spark writes serves, and the
+folders in order hold the documents in order. A block names its first and last id, which is how a reader
+finds the block of a document without touching others.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ from .encoding import encoder, slices, tokenizer_path
 
 #: A block is closed when it has this many ids; a longer document has a block to itself.
 BLOCK_IDS = 1 << 16
-BLOCK_SCHEMA = "bucket int, block int, start long, n_ids long, width int, doc_ids array<bigint>, ends array<bigint>, payload binary"
+#: Text of a bucket, about: what a task sorts, encodes and writes.
+BUCKET_BYTES = 64 << 20
+BLOCK_SCHEMA = "bucket int, block int, start long, n_ids long, first_id long, last_id long, width int, doc_ids array<bigint>, ends array<bigint>, payload binary"
 
 
 def bit_width(vocabulary: int) -> int:
@@ -50,75 +54,58 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return (held << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def _bounds(docs: DataFrame, buckets: int) -> list[int]:
-    """At most buckets - 1 ids that split the table evenly; only the id column is read."""
-    at = [i / buckets for i in range(1, buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", at, max(1000, 20 * buckets)).alias("at")).first()["at"]
-    return sorted(set(found or []))
+def _encoded_blocks(path: str, end_id: int, width: int, block_ids: int):
+    """Documents of a bucket, in order, to its blocks."""
 
-
-def _encode(bounds: list[int], path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, edges = encoder(path, True), np.array(bounds, np.int64)
-        for batch in batches:
-            for at, texts in slices(batch.column("text")):
-                doc_ids = batch.column("doc_id").slice(at, len(texts))
-                ids, offsets = enc.encode(texts)
-                rows = [np.append(ids[a:b], ids.dtype.type(end_id)).astype("<u4") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                bucket = np.searchsorted(edges, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
-                small = [r.astype(enc.dtype).tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int32()), doc_ids, pa.array([zlib.crc32(r) for r in rows], pa.int64()), pa.array(small, pa.binary())],
-                    ["bucket", "doc_id", "crc", "ids"],
-                )
-
-    return run
-
-
-def _pack_blocks(width: int, itemsize: int, block_ids: int):
-    """Rows sorted by bucket and document to blocks; a block never spans buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = np.dtype(f"<u{itemsize}")
-        bucket, block, start, doc_ids, held, count = None, 0, 0, [], [], 0
+        enc = encoder(path, True)
+        bucket, block, start, count = TaskContext.get().partitionId(), 0, 0, 0
+        doc_ids, held = [], []
 
         def close() -> pa.RecordBatch:
-            ends = np.cumsum([len(h) // itemsize for h in held])
-            ids = np.frombuffer(b"".join(held), dtype)
-            row = {"bucket": bucket, "block": block, "start": start, "n_ids": len(ids), "width": width, "doc_ids": doc_ids, "ends": ends.tolist(), "payload": pack(ids, width)}
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            ends, ids, known = np.cumsum([len(h) for h in held]), np.concatenate(held), [i for i in doc_ids if i is not None]
+            row = {"bucket": bucket, "block": block, "start": start, "n_ids": len(ids), "first_id": known[0] if known else None, "last_id": known[-1] if known else None}
+            row |= {"width": width, "doc_ids": doc_ids, "ends": ends.tolist(), "payload": pack(ids, width)}
+            types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for batch in batches:
-            for b, doc_id, ids in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and (b != bucket or count >= block_ids):
-                    yield close()
-                    block, start, doc_ids, held, count = (block + 1, start + count, [], [], 0) if b == bucket else (0, 0, [], [], 0)
-                bucket = b
-                doc_ids.append(doc_id)
-                held.append(ids)
-                count += len(ids) // itemsize
+            for at, texts in slices(batch.column("text")):
+                ids, offsets = enc.encode(texts)
+                names = batch.column("doc_id").slice(at, len(texts)).to_pylist()
+                for doc_id, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    if count >= block_ids:
+                        yield close()
+                        block, start, count, doc_ids, held = block + 1, start + count, 0, [], []
+                    doc_ids.append(doc_id)
+                    held.append(np.append(ids[a:b], ids.dtype.type(end_id)))
+                    count += b - a + 1
         if held:
             yield close()
 
     return run
 
 
-def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, buckets: int | None = None, block_ids: int = BLOCK_IDS) -> str:
+def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, bucket_bytes: int = BUCKET_BYTES, block_ids: int = BLOCK_IDS) -> str:
     """Encode whole texts (null: empty), end each with ``end_id`` and write them in ascending doc_id order.
 
-    Rows with a null id come first; rows that share an id follow each other, ordered by their ids' crc32.
-    Other columns are ignored. An empty table writes no block. Returns the folder.
+    Rows with a null id come first; rows that share an id follow each other, ordered by a hash of their
+    texts, and may be spread over several buckets, as rows repeated whole may. Other columns are ignored.
+    An empty table writes no block. Returns the folder.
+
+    Texts are dealt to buckets by range of id before they are encoded, so a task sorts the texts of one
+    bucket (on disk where they do not fit) and holds one slice of them with its ids and one block.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
     path = path or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    enc = encoder(tokenizer, True)
-    bounds = _bounds(docs, buckets or max(64, 2 * partitions(spark)))
-    rows = docs.mapInArrow(_encode(bounds, tokenizer, end_id), "bucket int, doc_id long, crc long, ids binary")
-    rows = rows.repartition(max(len(bounds) + 1, 1), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "crc")
-    blocks = rows.mapInArrow(_pack_blocks(bit_width(enc.vocabulary), enc.dtype().itemsize, block_ids), BLOCK_SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
+    ranged = keyed.repartitionByRange(max(partitions(spark), -(-total // bucket_bytes)), *order).sortWithinPartitions(*order)
+    width = bit_width(encoder(tokenizer, True).vocabulary)
+    blocks = ranged.select("doc_id", "text").mapInArrow(_encoded_blocks(tokenizer, end_id, width, block_ids), BLOCK_SCHEMA)
     blocks.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return path
 
@@ -146,15 +133,19 @@ def read_digests(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written files."""
     blocks = blocks_of(spark, path)
     sizes = blocks.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
-    # One row per bucket, and the number of buckets is a parameter: a proven bound.
+    # One row per bucket: a 16 MB table of them stands for some 64 TB of text.
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return blocks.join(F.broadcast(before), "bucket").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def document_ids(spark, path: str, doc_id: int) -> list[int]:
-    """Random access: the ids of one document, from its block alone."""
-    row = blocks_of(spark, path).where(F.array_contains("doc_ids", F.lit(doc_id))).first()
+    """Random access: the ids of one document (of several rows with that id, of the first), from its block alone.
+
+    First and last ids are compared first, by Parquet's statistics where a file holds no such block.
+    """
+    holds = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id))
+    row = blocks_of(spark, path).where(holds).orderBy("bucket", "block").first()
     if row is None:
         return []
     at = row["doc_ids"].index(doc_id)

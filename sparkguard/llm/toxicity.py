@@ -3,7 +3,8 @@
 A document is the set of its distinct hashed n-grams. Slot s is scaled by r_s = log((p_s / |p|) / (q_s / |q|)),
 p and q being how many toxic and clean training documents hold it; the scaled vector has length 1; logistic
 regression on such vectors gives the score. Training takes a bounded sample of labelled documents
-(``SAMPLE`` of each class, drawn by hash, whole texts); scoring is a map over the table without a shuffle.
+(``SAMPLE`` documents and ``FIT_BYTES`` of each class, drawn by hash, whole texts); scoring is a map over the
+table without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import drawn, fold
 from .grams import batches_of, presence
 
 #: Orders of the n-grams and bits of a slot of each order.
 ORDERS, BITS = (4, 5), 17
 #: The most training documents of each class: toxic, clean.
 SAMPLE = (600, 1200)
+#: The most bytes that the slots of each class take: a document takes 8 a byte of text, up to 4 a slot.
+FIT_BYTES = 48 << 20
 #: A slot in fewer training documents has no weight.
 MIN_DOCUMENTS = 3
 #: Training documents whose values are worked on at once.
@@ -84,27 +87,31 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for _, texts in batches_of(batch):
             data = [s.astype("<i4").tobytes() for s in presence(texts, ORDERS, BITS, pad=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, len(texts)), pa.array(data, pa.binary())], ["toxic", "slots"])
+            kept = [batch.column(c).slice(at, len(texts)) for c in ("toxic", "draw", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(data, pa.binary())], ["toxic", "draw", "text_hash", "slots"])
             at += len(texts)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
-    """Fit on labelled documents outside the held-out fold; null labels are left out, of several the highest counts.
+    """Fit on labelled documents outside the held-out fold; null labels and null ids are left out, of several labels the highest counts.
 
-    Only ``sample`` of each class reach the driver, as sets of slots. lang, source and doc_id are no inputs.
+    Only ``sample`` documents of each class, and FIT_BYTES, reach the driver as sets of slots. Of several texts
+    of one id the one with the lowest hash is used. lang, source and doc_id are no inputs.
     """
     size = len(ORDERS) << BITS
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
-    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
-    picks = [known.where((F.col("toxic") == c) & (draw < int((1 << 30) * min(1.0, sample[1 - c] / n)))).limit(2 * sample[1 - c]) for c, n in counts.items()]
-    if not picks:
-        return fit([], np.zeros(0, int), size)
-    picked = picks[0] if len(picks) == 1 else picks[0].unionByName(picks[1])
-    # Bounded by 2 * sum(sample) rows of two numbers.
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").limit(4 * sum(sample))
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(_slots, "toxic int, slots binary").collect()
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("draw", F.xxhash64("doc_id", F.lit("toxicity")))
+    # The lowest draws of each class, more than are used, as some labels have no document here.
+    picks = [known.where(F.col("toxic") == c).orderBy("draw", "doc_id").limit(2 * sample[1 - c]) for c in (0, 1)]
+    picked = picks[0].unionByName(picks[1])
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").withColumn("text_hash", F.xxhash64("text"))
+    sizes = rows.groupBy("doc_id", "toxic", "draw").agg(F.min(F.struct("text_hash", F.octet_length("text").alias("n_bytes"))).alias("x")).select("doc_id", "toxic", "draw", "x.*")
+    slots = F.least(F.col("n_bytes") * (4 * len(ORDERS)), F.lit(4 * size))
+    share = F.when(F.col("toxic") == 1, sample[0]).otherwise(sample[1])
+    chosen = drawn(sizes, "toxic", share, slots, FIT_BYTES).select("doc_id", "text_hash")
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "text_hash"], "left_semi").groupBy("toxic", "draw", "text_hash").agg(F.first("text").alias("text"))
+    found = texts.mapInArrow(_slots, "toxic int, draw long, text_hash long, slots binary").collect()
+    got = sorted(found, key=lambda r: (r["draw"], r["toxic"], r["text_hash"]))
     return fit([np.frombuffer(r["slots"], "<i4") for r in got], np.array([r["toxic"] for r in got], int), size)
 
 
@@ -130,7 +137,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; repeated rows give repeated rows, other columns are ignored."""
+    """doc_id, held_out, score, predicted of every row; repeated rows give repeated rows, other columns are ignored.
+
+    Null ids are in the fold of the empty text and take no label.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = score(rows, train(rows, labels))
     return found.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")

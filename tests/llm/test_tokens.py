@@ -90,7 +90,7 @@ def test_written_ids(spark):
 
 def test_packing_places_every_piece_once(spark):
     ids = library(WORD)
-    rows = packing.pack_documents(awkward(spark), capacity=64, group_documents=6).collect()
+    rows = packing.pack_documents(awkward(spark), capacity=64, group_pieces=6).collect()
     by_doc, by_bin = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
