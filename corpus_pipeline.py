@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkguard.llm import exact_dedup, language_id, ngram_join, packing, toxicity
-from sparkguard.llm.common import materialize, table
+from sparkguard.llm.common import discard, materialize, scratch, table
 from sparkguard.session import ship
 
 
@@ -35,16 +35,14 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, the one with the smallest doc_id; rows without an id stay."""
+    """One row of each group of similar ones, the one with the smallest doc_id (null last); rows without words stay."""
     ship(spark)
-    groups = ngram_join.similar_documents(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.drop_similar(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():  # a stage's own tables and its input go once its output is written
+            after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        discard(docs)
+        docs = after
     return docs
