@@ -104,14 +104,15 @@ def worst_verdict(findings: DataFrame, by: str) -> DataFrame:
 def first_later(left: DataFrame, right: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Each left row with the first right row of the same keys that stands after it (columns later_<name>).
 
-    One window over both sides instead of a range join: each left row looks ahead for the next right one.
+    One window over both sides instead of a range join: in falling order of position the last right row so far
+    is the next one, a running value. A key's rows meet in one task.
     """
     names = [c for c in right.columns if c not in keys]
     a = left.withColumn("_side", F.lit(1)).withColumn("_later", F.lit(None).cast(right.select(F.struct(*names).alias("s")).schema["s"].dataType))
     b = right.select(*keys, position, F.lit(0).alias("_side"), F.struct(*names).alias("_later"))
     both = a.unionByName(b, allowMissingColumns=True)
-    ahead = Window.partitionBy(*keys).orderBy(position, "_side").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("_next", F.first("_later", ignorenulls=True).over(ahead)).where("_side = 1 AND _next IS NOT NULL")
+    behind = Window.partitionBy(*keys).orderBy(F.desc(position), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_next", F.last("_later", ignorenulls=True).over(behind)).where("_side = 1 AND _next IS NOT NULL")
     return found.select(*left.columns, *[F.col(f"_next.{c}").alias(f"later_{c}") for c in names])
 
 

@@ -1,9 +1,12 @@
 """Facts of SQL change statements from column expressions: no parser, only patterns of whole statements.
 
-A script is freed of comments and literals, cut at its semicolons and exploded; lists of dropped objects
-and of ALTER TABLE actions are exploded again. Each piece is matched as a whole by the patterns below,
-in order; a piece that none matches in full is Unrecognized, which no rule calls safe. Bodies between
-dollar quotes are cut out first and their statements examined like others; what cannot be told from text
+A script is cut into tokens by one pattern that reads strings, quoted names, dollar-quoted texts and comments
+from left to right, so each hides its own contents and nothing else. Comments become a space, the contents of
+strings and of odd names are written as hex digits, and the rest is cut at its semicolons and exploded; lists of
+dropped objects and of ALTER TABLE actions are exploded again. Each piece is matched as a whole, with what
+stands in parentheses left out, by the patterns below, in order; a piece that none matches in full is
+Unrecognized, which no rule calls safe. The body of a DO block or function is read back from its string and
+examined the same way, ``DEPTH`` levels deep, deeper ones being beyond the limit. What cannot be told from text
 (EXECUTE of an expression) counts as unresolved dynamic SQL.
 """
 
@@ -14,13 +17,25 @@ from pyspark.sql import functions as F
 
 from .rules import apply_pairings, classify, first_later, severity, typed
 
+_COMMENT = r"/\*[^*/]*+(?:(?:\*+(?![*/])|/(?!\*)%s)[^*/]*+)*+\*+/"
+_NESTED = _COMMENT % ("|" + _COMMENT % ("|" + _COMMENT % ""))
+#: Left to right: comments, strings, quoted names, dollar-quoted texts, words, all else.
+TOKEN = rf"""(?s)--[^\n]*+|{_NESTED}|[eE]'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|'[^']*+(?:''[^']*+)*+'|"[^"]*+(?:""[^"]*+)*+"|(\$(?:[A-Za-z_\x80-\uffff][\w\x80-\uffff]*+)?\$).*?\1|[\w\x80-\uffff][\w$\x80-\uffff]*+|[^\w\x80-\uffff'"$/-]++|."""
+#: Stands for a quote or comment without an end.
+_OPEN = "\x01"
+#: Levels of bodies that are examined, and of parentheses that are told apart.
+DEPTH, PARENTHESES = 2, 8
+
 NAME = r'(?:"[^"]+"|[a-z_][\w$]*)(?:\s*\.\s*(?:"[^"]+"|[a-z_][\w$]*))?'
+STRING = r"'[0-9a-f]*'"
+LANGUAGE = rf'language (?:"?\w+"?|{STRING})'
 #: Functions by how a default calls them.
-VOLATILE = ("random", "clock_timestamp", "gen_random_uuid", "nextval", "uuid_generate_v4", "timeofday", "setval", "currval", "lastval", "uuid_generate_v1")
-STABLE = ("now", "current_setting", "transaction_timestamp", "statement_timestamp", "current_timestamp")
-IMMUTABLE = ("lower", "upper")
+VOLATILE = ("clock_timestamp", "statement_timestamp", "transaction_timestamp", "random", "random_normal", "gen_random_uuid", "uuid_generate_v4", "nextval", "txid_current", "pg_backend_pid")
+STABLE = ("now", "current_timestamp", "current_date", "current_time", "localtimestamp")
+IMMUTABLE = ("md5", "length")
 
-#: statementKind and the pattern of a whole statement (case-insensitive); the first that matches counts.
+_TABLE = rf"alter table (?:if exists )?(?:only )?({NAME})"
+#: statementKind and the pattern of a whole statement, lower-cased, parentheses emptied; the first that matches counts.
 PATTERNS: list[tuple[str, str]] = [
     ("DropTable", rf"drop table (?:if exists )?({NAME})(?: cascade| restrict)?"),
     ("DropSchema", rf"drop schema (?:if exists )?({NAME})(?: cascade| restrict)?"),
@@ -29,119 +44,212 @@ PATTERNS: list[tuple[str, str]] = [
     ("Truncate", rf"truncate (?:table )?(?:only )?({NAME}).*"),
     ("Delete", rf"delete from (?:only )?({NAME}).*"),
     ("Update", rf"update (?:only )?({NAME}).* set .*"),
-    ("CreateTable", rf"create (?:temp |temporary |unlogged )?table (?:if not exists )?({NAME}).*"),
+    ("CreateTable", rf"create (?:temp |temporary |unlogged )?table (?:if not exists )?({NAME}) ?\(\)(?: (?:inherits|partition by|using|with|without|on commit|tablespace)\b(?!.*\bas\b).*)?"),
+    ("CreateTable", rf"create (?:temp |temporary |unlogged )?table (?:if not exists )?({NAME}) partition of .*"),
     ("CreateIndex", rf"create (?:unique )?index (?:concurrently )?(?:if not exists )?(?:{NAME} )?on (?:only )?({NAME}).*"),
-    ("RenameColumn", rf"alter table (?:if exists )?({NAME}) rename (?:column )?{NAME} to {NAME}"),
+    ("RenameColumn", rf"alter table (?:if exists )?(?:only )?({NAME}) rename (?:column )?(?!to |constraint ){NAME} to {NAME}"),
     ("RenameTable", rf"alter table (?:if exists )?({NAME}) rename to {NAME}"),
-    ("DropColumn", rf"alter table (?:if exists )?(?:only )?({NAME}) drop (?!constraint)(?:column )?(?:if exists )?{NAME}(?: cascade| restrict)?"),
-    ("AddUniqueConstraint", rf"alter table (?:if exists )?(?:only )?({NAME}) add constraint {NAME} unique .*"),
-    ("AddCheckConstraint", rf"alter table (?:if exists )?(?:only )?({NAME}) add constraint {NAME} check .*"),
-    ("AddForeignKey", rf"alter table (?:if exists )?(?:only )?({NAME}) add constraint {NAME} foreign key .*"),
-    ("DropConstraint", rf"alter table (?:if exists )?(?:only )?({NAME}) drop constraint (?:if exists )?{NAME}(?: cascade| restrict)?"),
-    ("ValidateConstraint", rf"alter table (?:if exists )?(?:only )?({NAME}) validate constraint {NAME}"),
-    ("SetNotNull", rf"alter table (?:if exists )?(?:only )?({NAME}) alter (?:column )?{NAME} set not null"),
-    ("DropNotNull", rf"alter table (?:if exists )?(?:only )?({NAME}) alter (?:column )?{NAME} drop not null"),
-    ("AlterColumnType", rf"alter table (?:if exists )?(?:only )?({NAME}) alter (?:column )?{NAME} (?:set data )?type .*"),
-    ("AddColumn", rf"alter table (?:if exists )?(?:only )?({NAME}) add (?!constraint|primary|unique|foreign|check)(?:column )?(?:if not exists )?{NAME} .*"),
+    ("DropColumn", rf"{_TABLE} drop (?!constraint)(?:column )?(?:if exists )?{NAME}(?: cascade| restrict)?"),
+    ("AddUniqueConstraint", rf"{_TABLE} add (?:constraint {NAME} )?unique\b.*"),
+    ("AddCheckConstraint", rf"{_TABLE} add (?:constraint {NAME} )?check\b.*"),
+    ("AddForeignKey", rf"{_TABLE} add (?:constraint {NAME} )?foreign key\b.*"),
+    ("DropConstraint", rf"{_TABLE} drop constraint (?:if exists )?{NAME}(?: cascade| restrict)?"),
+    ("ValidateConstraint", rf"{_TABLE} validate constraint {NAME}"),
+    ("SetNotNull", rf"{_TABLE} alter (?:column )?{NAME} set not null"),
+    ("DropNotNull", rf"{_TABLE} alter (?:column )?{NAME} drop not null"),
+    ("AlterColumnType", rf"{_TABLE} alter (?:column )?{NAME} (?:set data )?type .*"),
+    ("AddColumn", rf"{_TABLE} add (?!(?:constraint|primary|unique|foreign|check|exclude)\b)(?:column )?(?:if not exists )?{NAME} .*"),
     ("CommentOn", r"comment on .*"),
-    ("DoBlock", r"do (?:language \w+ )?\$body\$(?: language \w+)?"),
-    ("CreateFunction", r"create (?:or replace )?(?:function|procedure) .*\$body\$.*"),
-    ("ExecuteDynamic", r"execute .*"),
-    ("Vacuum", r"vacuum.*"),
+    ("DoBlock", rf"do (?:{LANGUAGE} )?{STRING}(?: {LANGUAGE})?"),
+    ("CreateFunction", r"create (?:or replace )?(?:function|procedure) .*"),
+    ("Vacuum", r"vacuum\b.*"),
     ("AlterSystem", r"alter system .*"),
     ("CreateDatabase", r"create database .*"),
-    ("Reindex", r"reindex .*"),
+    ("Reindex", r"reindex\b.*"),
     ("AlterDatabaseSet", r"alter database .* (?:set|reset) .*"),
     ("AlterRoleSet", r"alter (?:role|user) .* (?:set|reset) .*"),
     ("SetGuc", r"(?:set|reset) .*"),
 ]
+#: Pieces of a procedural body that run no statement.
+_INERT = r"|end|end (?:if|loop|case|[\w\"]+)(?: [\w\"]+)?|if .*|elsif .*|elseif .*|for .*|foreach .*|while .*|return\b.*|raise\b.*|perform .*|null|exit\b.*|continue\b.*|exception when .*|case .*|when .*|assert .*|get (?:current |stacked )?diagnostics .*|open .*|fetch .*|move .*|close .*|commit|rollback|(?:<<\w+>> ?)+|[\w.\"\[\]]+ *:?= *.*"
+_DECLARATION = r"\w+ (?:constant )?[\w.%()\[\], \"]+(?:(?::=|=|\bdefault\b).*)?"
+_KNOWN = r"(?:drop|truncate|delete|update|create|alter|comment|execute|vacuum|reindex|set|reset|insert|grant|revoke)\b.*"
+
+
+def whole(pattern: str) -> str:
+    return f"^(?:{pattern})$"
 
 
 def cleaned(sql: Column) -> Column:
-    """Without comments, string contents and repeated white space."""
-    bare = F.regexp_replace(sql, r"(?s)/\*.*?\*/", " ")
-    bare = F.regexp_replace(bare, r"--[^\n]*", " ")
-    bare = F.regexp_replace(bare, r"'(?:[^']|'')*'", "''")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
-
-
-def statement_rows(scripts: DataFrame) -> DataFrame:
-    """file, position (array), text, nested: statements of scripts and of the bodies inside them, in order."""
-    bodies = F.regexp_extract_all("sql", F.lit(r"(?s)(\$\w*\$)(.*?)\1"), F.lit(2))
-    outside = F.regexp_replace("sql", r"(?s)(\$\w*\$)(.*?)\1", r"\$body\$")
-    # A language may be named as a literal, which would be emptied.
-    outside = F.regexp_replace(outside, r"(?i)\blanguage\s+'(\w+)'", "language $1")
-    top = scripts.select("file", F.posexplode(F.split(cleaned(outside), ";")).alias("i", "text")).where(F.trim("text") != "")
-    top = top.select("file", F.array("i").alias("position"), F.trim("text").alias("text"), F.lit(False).alias("nested"))
-    inner = scripts.select("file", F.posexplode(bodies).alias("b", "body"))
-    words = F.regexp_replace(F.regexp_replace("body", r'(?i)(?<!")\b(declare|begin)\b(?!")', ";$1;"), r"(?i)\b(then|else|loop)\b", ";")
-    inner = inner.select("file", "b", F.posexplode(F.split(cleaned(words), ";")).alias("j", "text")).withColumn("text", F.trim("text"))
+    """Lower-cased, without comments and repeated white space; strings and odd names as hex digits in their quotes."""
+
+    def hexed(c: Column) -> Column:
+        return F.lower(F.hex(c.cast("binary")))
+
+    def inside(t: Column, before: int) -> Column:
+        return F.substr(t, F.lit(before + 1), F.length(t) - before - 1)
+
+    def shown(t: Column) -> Column:
+        tag = F.regexp_extract(t, r"^\$[^$]*\$", 0)
+        escaped = F.regexp_replace(F.regexp_replace(F.replace(inside(t, 2), F.lit("''"), F.lit("'")), r"\\n", "\n"), r"(?s)\\(.)", "$1")
+        name = F.replace(inside(t, 1), F.lit('""'), F.lit('"'))
+        return (
+            F.when(t.startswith("--") | t.startswith("/*"), " ")
+            .when(t.rlike("^[eE]'"), F.concat(F.lit("'"), hexed(escaped), F.lit("'")))
+            .when(t.startswith("'") & (F.length(t) > 1), F.concat(F.lit("'"), hexed(F.replace(inside(t, 1), F.lit("''"), F.lit("'"))), F.lit("'")))
+            .when((tag != "") & (F.length(t) > 1), F.concat(F.lit("'"), hexed(F.substr(t, F.length(tag) + 1, F.length(t) - 2 * F.length(tag))), F.lit("'")))
+            .when(t.startswith('"') & (F.length(t) > 1), F.concat(F.lit('"'), F.when(name.rlike(r"^[a-z_][a-z0-9_$]*$"), name).otherwise(F.concat(F.lit("x"), hexed(name))), F.lit('"')))
+            .when(t.isin("'", '"', "$"), _OPEN)
+            .otherwise(F.lower(t))
+        )
+
+    text = F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0)), shown), "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"/\*", _OPEN), r"\s+", " "))
+
+
+def flattened(text: Column) -> Column:
+    """``text`` with what stands between parentheses left out; deeper ones than PARENTHESES stay open."""
+    for _ in range(PARENTHESES):
+        text = F.regexp_replace(text, r"\([^()]*\)", "\x02")
+    return F.regexp_replace(text, "\x02", "()")
+
+
+def _computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once: behind a generator no later expression repeats theirs."""
+    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select("*", once.alias("_once")).select("*", "_once.*").drop("_once")
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """One row per dropped object and per action of ALTER TABLE, each with the head of its statement."""
+    head = F.regexp_extract("text", r"^(drop (?:table|schema|index) (?:concurrently )?(?:if exists )?)", 1)
+    drop = F.regexp_extract("text", r"^(drop (?:table|schema|index) (?:concurrently )?(?:if exists )?)(.*?)((?: cascade| restrict)?)$", 2)
+    alter = F.regexp_extract("text", rf"^(alter table (?:if exists )?(?:only )?{NAME}(?: ?\*)? )", 1)
+    # A comma separates actions if the parentheses behind it are balanced.
+    balanced = "[^()]*+"
+    for _ in range(PARENTHESES - 1):
+        balanced = rf"[^()]*+(?:\({balanced}\)[^()]*+)*+"
+    actions = F.split(F.substr("text", F.length(alter) + 1), rf", ?(?={balanced}$)")
+    found = (
+        F.when(head != "", F.transform(F.split(drop, " ?, ?"), lambda x: F.concat(head, x))).when(alter != "", F.transform(actions, lambda x: F.concat(F.replace(alter, F.lit("*"), F.lit("")), F.trim(x)))).otherwise(F.array("text"))
+    )
+    rows = rows.select(*[c for c in rows.columns if c != "text"], F.posexplode(found).alias("k", "text"))
+    return rows.withColumn("text", F.trim(F.regexp_replace("text", " +", " "))).withColumn("position", F.concat("position", F.array("k"))).drop("k")
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """rows with flat, kind, language, and body: the text of a container's body, null where it has none that can be read."""
+    flat = F.col("flat")
+    quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    kind = F.expr("CASE " + " ".join(f"WHEN flat RLIKE {quoted(whole(p))} THEN '{name}'" for name, p in PATTERNS) + " ELSE 'Unrecognized' END")
+    kind = F.when(F.col("text").contains(_OPEN) | flat.rlike(r"\((?!\))|(?<!\()\)"), "Unrecognized").when(F.col("procedural") & flat.rlike(r"^execute\b"), "ExecuteDynamic").otherwise(kind)
+    # A parameter may be called language too: it stands in parentheses. Where none is named it is a procedural one.
+    named, written = F.regexp_extract(flat, r'\blanguage "?(\w+)', 1), F.regexp_extract(flat, rf"\blanguage ({STRING})", 1)
+    language = F.when(written != "", F.lower(F.unhex(F.replace(written, F.lit("'"), F.lit(""))).cast("string"))).when(named != "", named).otherwise("plpgsql")
+    told = _computed(_computed(rows, flat=flattened(F.col("text"))), kind=kind, language=language)
+    held = (
+        F.when(~F.col("language").isin("plpgsql", "sql"), None)
+        .when(F.col("kind") == "DoBlock", F.regexp_extract(flat, rf"^do (?:{LANGUAGE} )?'([0-9a-f]*)'", 1))
+        .when((F.col("kind") == "CreateFunction") & flat.rlike(rf"\bas ?{STRING}"), F.regexp_extract(flat, r"\bas ?'([0-9a-f]*)'", 1))
+    )
+    return _computed(told, body=F.unhex(held).cast("string"))
+
+
+def _top(scripts: DataFrame) -> DataFrame:
+    """file, position, text, procedural, atomic: statements of scripts and of BEGIN ATOMIC bodies, in order."""
+    rows = scripts.select("file", F.posexplode(F.split(cleaned(F.col("sql")), ";")).alias("i", "text")).withColumn("text", F.trim("text")).where("text <> ''")
+    # Such a body's statements end with semicolons of their own, and it ends with a bare END.
+    before = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.when(F.col("text").rlike(r"^create (?:or replace )?(?:function|procedure) .*\bbegin atomic\b"), F.col("i"))
+    began, ended = F.last(opens, True).over(before), F.last(F.when(F.col("text") == "end", F.col("i")), True).over(before)
+    rows = rows.withColumn("within", F.when(began > F.coalesce(ended, F.lit(-1)), began)).where("NOT (within IS NOT NULL AND text = 'end')")
+    first = F.regexp_extract("text", r"^(.*?\bbegin atomic\b) ?(.*)$", 2)
+    both = F.when(opens.isNotNull() & F.col("within").isNull(), F.array(F.struct(F.array("i").alias("position"), F.regexp_extract("text", r"^(.*?\bbegin atomic\b)", 1).alias("text")), F.struct(F.array(F.col("i"), F.lit(0), F.lit(0)).alias("position"), first.alias("text"))))
+    both = both.otherwise(F.array(F.struct(F.when(F.col("within").isNull(), F.array("i")).otherwise(F.array(F.col("within"), F.lit(0), F.col("i"))).alias("position"), F.col("text").alias("text"))))
+    return rows.select("file", F.explode(both).alias("x")).select("file", "x.position", "x.text", F.lit(False).alias("procedural")).where("text <> ''")
+
+
+def _inner(rows: DataFrame) -> DataFrame:
+    """Statements of the bodies of containers, without what runs none."""
+    held = rows.where("body IS NOT NULL").select("file", "position", "body", (F.col("language") == "plpgsql").alias("procedural"))
+    held = _computed(held, clean=cleaned(F.col("body")))
+    text = plain = F.col("clean")
+    for _ in range(3):  # expressions, innermost first: a CASE statement has semicolons inside
+        plain = F.regexp_replace(plain, r'(?<!")\bcase\b(?:(?!\bcase\b|;).)*?\bend\b(?!"| case\b| if\b| loop\b)', "a_case")
+    words = F.regexp_replace(F.regexp_replace(plain, r'(?<!")\b(declare|begin)\b(?!")', ";$1;"), r'(?<!")\b(then|else|loop)\b(?!")', ";")
+    cut = held.select("file", "position", "procedural", F.posexplode(F.split(F.when(F.col("procedural"), words).otherwise(text), ";")).alias("j", "text")).withColumn("text", F.trim("text"))
     # Only what stands between DECLARE and BEGIN can be a declaration; a DECLARE inside a statement opens nothing.
-    by = Window.partitionBy("file", "b").orderBy("j")
+    by = Window.partitionBy("file", "position").orderBy("j")
     begins = F.coalesce(F.lag("text").over(by), F.lit("")).rlike("^(<<.*>>)?$")
-    word = F.when(F.lower("text").isin("declare", "begin") & begins, F.lower("text"))
+    word = F.when(F.col("procedural") & F.col("text").isin("declare", "begin") & begins, F.col("text"))
     before = F.last("word", True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("word", True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    inner = inner.withColumn("word", word).withColumn("declaring", before.eqNullSafe("declare") & after.eqNullSafe("begin")).where("word IS NULL")
-    inert = r"(?i)^(|end|end (if|loop|case|\w+)( \w+)?|if .*|elsif .*|elseif .*|for .*|foreach .*|while .*|return.*|raise.*|perform.*|null|exit.*|continue.*|exception when .*|case.*|when .*|assert .*|get (current |stacked )?diagnostics .*|open .*|fetch .*|move .*|close .*|select .*|[\w.]+ *:= *.*)$"
-    declaration = r"(?i)^\w+ (?:constant )?[\w.%()\[\], ]+(?:(?::=|=|\bdefault\b).*)?$"
-    known = F.lower("text").rlike(r"^(drop|truncate|delete|update|create|alter|comment|execute|vacuum|reindex|set|reset|insert|grant|revoke) ")
-    nested = inner.where(known | ~(F.col("text").rlike(inert) | (F.col("declaring") & F.col("text").rlike(declaration))))
-    nested = nested.select("file", F.array(F.lit(1 << 20) + F.col("b"), F.col("j")).alias("position"), F.trim("text").alias("text"), F.lit(True).alias("nested"))
-    rows = top.unionByName(nested)
-    # One row per dropped object and per action of ALTER TABLE; commas inside parentheses do not separate.
-    drop = F.regexp_extract("text", r"(?i)^(drop (?:table|schema|index) (?:concurrently )?(?:if exists )?)(.*?)((?: cascade| restrict)?)$", 2)
-    head = F.regexp_extract("text", r"(?i)^(drop (?:table|schema|index) (?:concurrently )?(?:if exists )?)", 1)
-    alter = F.regexp_extract("text", rf"(?i)^(alter table (?:if exists )?(?:only )?{NAME} )(?:add|drop|alter|validate) ", 1)
-    actions = F.split(F.substr("text", F.length(alter) + 1), r",(?![^()]*\)) ?(?=(?i)(?:add|drop|alter|validate) )")
-    pieces = (
-        F.when(head != "", F.transform(F.split(drop, ", ?"), lambda x: F.concat(head, x))).when(alter != "", F.transform(actions, lambda x: F.concat(alter, F.trim(x)))).otherwise(F.array("text"))
-    )
-    return rows.select("file", "position", "nested", F.posexplode(pieces).alias("k", "text")).withColumn("position", F.concat("position", F.array("k"))).drop("k")
+    after = F.first("word", True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    cut = cut.withColumn("word", word).withColumn("declaring", before.eqNullSafe("declare") & after.eqNullSafe("begin")).where("word IS NULL AND text <> ''")
+    silent = F.col("procedural") & (F.col("text").rlike(whole(_INERT)) | (F.col("declaring") & F.col("text").rlike(whole(_DECLARATION)))) & ~F.col("text").rlike(whole(_KNOWN))
+    return cut.where(~silent).select("file", F.concat("position", F.array("j")).alias("position"), "text", "procedural")
+
+
+def statement_rows(scripts: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
+    """file, position (array), text, flat, kind, language, body, beyond: statements of scripts and of the bodies inside them, in order.
+
+    A null script is empty. Each script's statements meet in one task for the order of its body's parts.
+    Each level is read twice, so it is cached where ``held`` takes it for its caller to release.
+    """
+
+    def once(df: DataFrame) -> DataFrame:
+        if held is not None:
+            held.append(df.cache())
+        return df
+
+    scripts = scripts.select("file", F.coalesce(F.col("sql"), F.lit("")).alias("sql"))
+    now = once(_told(_pieces(_top(scripts))))
+    out = now
+    for _ in range(DEPTH):
+        now = once(_told(_pieces(_inner(now))))
+        out = out.unionByName(now)
+    deeper = now.where("body IS NOT NULL").withColumns({"position": F.concat("position", F.array(F.lit(0))), "kind": F.lit("Unrecognized")})
+    return out.withColumn("beyond", F.lit(False)).unionByName(deeper.withColumn("beyond", F.lit(True)))
 
 
 def facts(rows: DataFrame) -> DataFrame:
     """file, position, text and ``facts``, the typed map that rules are matched against."""
-    text = F.lower("text")
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(PATTERNS):
-        kind = F.when(text.rlike(f"^(?:{pattern})$"), name).otherwise(kind)
-    rows = rows.withColumn("kind", F.coalesce(kind, F.lit("Unrecognized")))
-    kind = F.col("kind")
-    default = F.regexp_extract(text, r" default (.*)$", 1)
-    called = F.regexp_extract(default, r"^(?:\w+\.)?(\w+) ?\(", 1)
+    text, flat, kind = F.col("text"), F.col("flat"), F.col("kind")
+    default = F.regexp_extract(flat, r" default (.*)$", 1)
+    # A default is a function or a literal only if that, casts aside, is all of it.
+    rest = r'(?: ?:: ?[\w ."]+(?: ?\(\))?(?: ?\[\d*\])*)*(?: (?:not null|null|primary key|unique|check|references|constraint|collate|generated)\b.*)?$'
+    called = F.regexp_extract(default, r'^(?:"?\w+"? ?\. ?)*"?(\w+)"? ?\(\)' + rest, 1)
     volatility = (
         F.when(default == "", "none")
         .when(called.isin(*VOLATILE), "volatile")
         .when(called.isin(*STABLE), "stable")
         .when(called.isin(*IMMUTABLE), "immutable")
-        .when((called == "") & default.rlike(r"^(?:''|-?[0-9.]+|true|false|null)(?: ?::.*| not null.*)?$"), "literal")
+        .when(default.rlike(rf"^(?:(?:(?:date|time|timestamp|timestamptz|interval) )?{STRING}|[-+]?\d[\d.]*(?:e[-+]?\d+)?|true|false|null)" + rest), "literal")
         .otherwise("unknown-function")
     )
-    using = F.nullif(F.regexp_extract(text, rf"using index ({NAME})", 1), F.lit(""))
+    using = F.nullif(F.regexp_extract(flat, rf"using index ({NAME})", 1), F.lit(""))
     settings = kind.isin("SetGuc", "AlterSystem", "AlterDatabaseSet", "AlterRoleSet")
-    disarms = settings & text.rlike(r"\b(?:set|reset) (?:local |session )?(?:lock_timeout|statement_timeout|all)\b")
-    # Parameters aside, which may have any name; without a language a body is PL/pgSQL.
-    flat = F.regexp_replace(text, r"\([^()]*\)", "")
-    languages = F.regexp_extract_all(flat, F.lit(r'\blanguage "?(\w*)'), F.lit(1))
-    readable = F.forall(languages, lambda x: x.isin("plpgsql", "sql"))
-    inspected = readable & ((kind == "DoBlock") | ((kind == "CreateFunction") & text.rlike(r"\bas ?\$body\$")))
+    disarms = settings & flat.rlike(r'\b(?:set|reset) (?:local |session )?"?(?:lock_timeout|statement_timeout|all)\b')
+    atomic = flat.rlike(r"\bbegin atomic\b")
+    inspected = F.col("body").isNotNull() | ((kind == "CreateFunction") & atomic & F.col("language").isin("plpgsql", "sql"))
+    concurrently = kind.isin("CreateIndex", "DropIndex", "Reindex") & (flat.rlike(r"\bconcurrently\b") | ((kind == "Reindex") & text.rlike(r"^reindex ?\([^()]*\bconcurrently\b")))
+    proves = rf"\bcheck ?\( ?\(? ?({NAME}) is not null ?\)? ?\)"
     found = F.create_map(
         *[F.lit("statementKind"), typed(kind, "s")],
-        *[F.lit("hasWhereClause"), typed(text.rlike(r"\bwhere\b"), "b")],
-        *[F.lit("concurrently"), typed(kind.isin("CreateIndex", "DropIndex", "Reindex") & text.rlike(r"\bconcurrently\b"), "b")],
-        *[F.lit("notValid"), typed(kind.isin("AddCheckConstraint", "AddForeignKey") & text.rlike(r"not valid$"), "b")],
+        *[F.lit("hasWhereClause"), typed(F.regexp_replace(flat, '"[^"]*"', '""').rlike(r"\bwhere\b"), "b")],
+        *[F.lit("concurrently"), typed(concurrently, "b")],
+        *[F.lit("transactionHostile"), typed(concurrently | kind.isin("Vacuum", "AlterSystem", "CreateDatabase"), "b")],
+        *[F.lit("notValid"), typed(kind.isin("AddCheckConstraint", "AddForeignKey") & flat.rlike(r"\bnot valid$"), "b")],
         *[F.lit("usingIndexName"), typed(using, "s")],
         *[F.lit("defaultVolatility"), typed(F.when(kind == "AddColumn", volatility).otherwise("none"), "s")],
         *[F.lit("bodyInspected"), typed(inspected, "b")],
         *[F.lit("dynamicSqlUnresolved"), typed(kind == "ExecuteDynamic", "b")],
-        *[F.lit("nestingLimitExceeded"), typed(F.lit(False), "b")],
+        *[F.lit("nestingLimitExceeded"), typed(F.col("beyond"), "b")],
         *[F.lit("disarmsTimeout"), typed(disarms, "b")],
-        *[F.lit("checkProvesNotNull"), typed(F.lit(False), "b")],
+        *[F.lit("checkProvesNotNull"), typed((kind == "AddCheckConstraint") & text.rlike(proves), "b")],
     )
     bare = lambda c: F.replace(F.regexp_extract(c, rf"({NAME})$", 1), F.lit('"'), F.lit(""))
     last = lambda c: F.nullif(F.element_at(F.split(bare(c), r"\s*\.\s*"), -1), F.lit(""))
-    on = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (rf"^alter table (?:if exists )?(?:only )?({NAME}) ", rf"^create .*? on (?:only )?({NAME})")])
+    on = F.coalesce(*[F.nullif(F.regexp_extract(flat, p, 1), F.lit("")) for p in (rf"^alter table (?:if exists )?(?:only )?({NAME}) ", rf"^create .*? on (?:only )?({NAME})")])
     return rows.select(
         "file",
         "position",
@@ -149,10 +257,10 @@ def facts(rows: DataFrame) -> DataFrame:
         found.alias("facts"),
         "kind",
         last(on).alias("on_table"),
-        last(F.regexp_extract(text, rf"(?:add|validate) constraint ({NAME})", 1)).alias("constraint_name"),
-        F.when(kind == "CreateIndex", last(F.regexp_extract(text, rf"index (?:concurrently )?(?:if not exists )?({NAME}) on ", 1))).alias("index_name"),
+        last(F.regexp_extract(flat, rf"(?:add|validate) constraint ({NAME})", 1)).alias("constraint_name"),
+        F.when(kind == "CreateIndex", last(F.regexp_extract(flat, rf"index (?:concurrently )?(?:if not exists )?({NAME}) on ", 1))).alias("index_name"),
         last(using).alias("using_index"),
-        last(F.coalesce(F.nullif(F.regexp_extract(text, rf"check ?\( ?\(? ?({NAME}) is not null ?\)? ?\)", 1), F.lit("")), F.regexp_extract(text, rf"alter (?:column )?({NAME}) set not null", 1))).alias("column_name"),
+        last(F.coalesce(F.nullif(F.regexp_extract(text, proves, 1), F.lit("")), F.regexp_extract(flat, rf"alter (?:column )?({NAME}) set not null", 1))).alias("column_name"),
     )
 
 
@@ -187,9 +295,16 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 
 def findings(scripts: DataFrame, rules: DataFrame) -> DataFrame:
-    """file, position, verdict, rule_ids, paired_with of every statement; an empty script has one finding of its own."""
-    # Read five times below; a lost block of the cache is computed again.
-    told = facts(statement_rows(scripts)).cache()
+    """file, position, verdict, rule_ids, paired_with of every statement; an empty script has one finding of its own.
+
+    The facts are read five times, so they are cached (a lost block is computed again); the caller releases
+    them with ``spark.catalog.clearCache()`` when it has used the result.
+    """
+    levels: list[DataFrame] = []
+    told = facts(statement_rows(scripts, levels)).cache()
+    told.count()
+    for df in levels:
+        df.unpersist()
     rows = told.select("file", "position", "text", "facts")
     empty = scripts.join(rows.select("file").distinct(), "file", "left_anti").select("file", F.array(F.lit(0)).alias("position"), F.lit("").alias("text"), F.create_map(F.lit("statementKind"), F.lit("s:EmptyInput")).alias("facts"))
     all_rows = rows.unionByName(empty).withColumn("finding", F.struct("file", "position"))
@@ -241,6 +356,35 @@ _GOLDEN: list[tuple[str, str, str, str]] = [
         "SAFE",
         "add-check-constraint-not-valid,pair-not-valid-validated,pair-validated-check-set-not-null,set-not-null,validate-constraint",
     ),
+    ("hidden-after-dashes", "COMMENT ON TABLE t IS '-- '; DROP TABLE x;", "BLOCKED", "comment-on,drop-table"),
+    ("hidden-between-marks", "COMMENT ON TABLE t IS '/*'; DROP TABLE x; COMMENT ON TABLE t IS '*/';", "BLOCKED", "comment-on,drop-table"),
+    ("hidden-by-name", 'COMMENT ON TABLE "a--b" IS NULL; DROP TABLE x;', "BLOCKED", "comment-on,drop-table"),
+    ("hidden-between-dollars", "COMMENT ON TABLE t IS '$$'; DROP TABLE x; COMMENT ON TABLE t IS '$$';", "BLOCKED", "comment-on,drop-table"),
+    ("hidden-by-escape", "COMMENT ON TABLE t IS E'it\\'; DROP TABLE x; COMMENT ON TABLE t IS '\\''; DROP TABLE y;", "BLOCKED", "comment-on,drop-table"),
+    ("escape-inert", "COMMENT ON TABLE t IS E'it\\'; DROP TABLE x; --';", "SAFE", "comment-on"),
+    ("nested-comment", "/* a /* b */ DROP TABLE x; */ CREATE TABLE t (a int);", "SAFE", "create-table"),
+    ("open-quote", "CREATE TABLE t (a text DEFAULT 'x);", "REVIEW_REQUIRED", ""),
+    ("dollar-inert", "INSERT INTO t VALUES ($a$DROP TABLE t$a$);", "REVIEW_REQUIRED", ""),
+    ("where-in-subquery", "UPDATE t SET a = (SELECT b FROM u WHERE u.id = 1);", "BLOCKED", "update-without-where"),
+    ("where-as-name", 'UPDATE t SET "where" = 1;', "BLOCKED", "update-without-where"),
+    ("default-expression", "ALTER TABLE t ADD COLUMN x timestamptz DEFAULT now() + random() * interval '1 day';", "REVIEW_REQUIRED", ""),
+    ("default-cast", "ALTER TABLE t ADD COLUMN x timestamp DEFAULT pg_catalog.now()::timestamp NOT NULL;", "SAFE", "add-column-nonvolatile-default"),
+    ("statement-time", "ALTER TABLE t ADD COLUMN x timestamptz DEFAULT statement_timestamp();", "REVIEW_REQUIRED", "add-column-volatile-default"),
+    ("body-as-text", "CREATE FUNCTION f() RETURNS void AS 'DROP TABLE t' LANGUAGE sql;", "BLOCKED", "create-function-container,drop-table"),
+    ("body-atomic", "CREATE FUNCTION f() RETURNS void LANGUAGE sql BEGIN ATOMIC UPDATE t SET a = CASE WHEN b THEN 1 END WHERE c; DELETE FROM t; END; CREATE TABLE u (a int);", "BLOCKED", "create-function-container,create-table,delete-without-where"),
+    ("body-other-language", "DO LANGUAGE plpython3u $$ import os $$;", "REVIEW_REQUIRED", "container-body-not-inspected"),
+    ("body-inert", "DO $$ BEGIN RAISE NOTICE 'DROP TABLE t'; END; $$;", "SAFE", "do-block-container"),
+    ("body-inert-dollars", "DO $$ BEGIN /* SET lock_timeout = 0; */ RAISE NOTICE $m$SET lock_timeout = 0;$m$; END $$; ALTER TABLE t ADD COLUMN n text;", "SAFE", "add-column-nullable-no-default,do-block-container"),
+    ("body-lock", "DO $$ BEGIN LOCK TABLE t; CALL p(); END $$;", "REVIEW_REQUIRED", "do-block-container"),
+    ("body-select", "CREATE FUNCTION f() RETURNS int AS $$ SELECT 1 $$ LANGUAGE sql;", "REVIEW_REQUIRED", "create-function-container"),
+    ("body-in-body", "DO $a$ BEGIN CREATE FUNCTION f() RETURNS void AS $b$ BEGIN DROP TABLE t; END $b$ LANGUAGE plpgsql; END $a$;", "BLOCKED", "create-function-container,do-block-container,drop-table"),
+    ("body-too-deep", "DO $a$ BEGIN DO $b$ BEGIN DO $c$ BEGIN NULL; END $c$; END $b$; END $a$;", "BLOCKED", "do-block-container,nesting-depth-exceeded"),
+    ("case-in-body", "DO $$ BEGIN UPDATE t SET a = CASE WHEN b THEN 1 ELSE 2 END WHERE c = 1; END $$;", "REVIEW_REQUIRED", "do-block-container"),
+    ("action-unknown", "ALTER TABLE t ADD COLUMN x numeric(10,2) DEFAULT 0, ENABLE ROW LEVEL SECURITY;", "REVIEW_REQUIRED", "add-column-nonvolatile-default"),
+    ("create-as", "CREATE TABLE t AS SELECT 1;", "REVIEW_REQUIRED", ""),
+    ("unnamed-constraint", "ALTER TABLE t ADD UNIQUE (a);", "REVIEW_REQUIRED", "add-unique-constraint"),
+    ("names-differ-in-case", 'ALTER TABLE "T" ADD CONSTRAINT c FOREIGN KEY (a) REFERENCES b (id) NOT VALID; ALTER TABLE t VALIDATE CONSTRAINT c;', "SAFE", "add-foreign-key-not-valid,validate-constraint"),
+    ("reset-all", "RESET ALL;", "BLOCKED", "disarms-timeout-guc"),
     ("set-before-check", "ALTER TABLE t ALTER COLUMN a SET NOT NULL; ALTER TABLE t ADD CONSTRAINT c CHECK (a IS NOT NULL) NOT VALID;", "REVIEW_REQUIRED", "add-check-constraint-not-valid,set-not-null"),
 ]
 EXAMPLES = [(file, sql) for file, sql, _, _ in _GOLDEN]
