@@ -70,3 +70,9 @@ def job_result(code: Column, report: Column) -> Column:
 def safe_message(message: Column, otherwise: Column) -> Column:
     """The first line of an error's message, or of what stands for it."""
     return F.substring_index(F.coalesce(message, otherwise.cast("string")), "\n", 1)
+
+
+def json_equal(a: Column, b: Column) -> Column:
+    """Whether two JSON texts hold the same value, whatever the order of their keys; malformed ones equal nothing."""
+    x, y = (F.to_json(F.try_parse_json(c)) for c in (a, b))
+    return F.coalesce(x == y, F.lit(False))

@@ -61,3 +61,48 @@ def ruleset_failures(rulesets: DataFrame, required_types: list[str], required_co
 def targets_branch(include: Column, branch: str = "refs/heads/main") -> Column:
     """Whether an include list names the branch, the default branch or everything; exclusions are not looked at."""
     return F.arrays_overlap(include, F.array(F.lit(branch), F.lit("~DEFAULT_BRANCH"), F.lit("~ALL")))
+
+
+def expected_contexts(rulesets: DataFrame, name: str) -> list[str]:
+    """Contexts that a committed ruleset requires, in order; none is an error, as it would require nothing."""
+    found = [r["c"] for r in rulesets.where(F.col("name") == name).select(F.explode("contexts").alias("c")).distinct().orderBy("c").collect()]
+    if not found:
+        raise ValueError("no expected context")
+    return found
+
+
+def payload_faults(payloads: DataFrame) -> DataFrame:
+    """name, faults of ruleset payloads (name, enforcement, contexts, rules, bypass_actors) that must not be sent."""
+    found = F.array(
+        F.concat(F.lit("bypass list "), bypass_fault(F.col("bypass_actors"))),
+        F.when(~F.col("enforcement").eqNullSafe("active"), F.lit("not active")),
+        F.when(F.coalesce(F.size("contexts"), F.lit(0)) <= 0, F.lit("no required context")),
+        F.when(F.col("name").isNull(), F.lit("no name")),
+        F.when(F.col("rules").isNull(), F.lit("no rules")),
+    )
+    return payloads.select("name", F.filter(found, lambda x: x.isNotNull()).alias("faults"))
+
+
+def journal_or_empty(journal: DataFrame | None, like: DataFrame) -> DataFrame:
+    """The journal of a base commit; a base that had none is an empty journal of the same columns."""
+    return like.limit(0) if journal is None else journal
+
+
+def escaping_imports(files: DataFrame, root: str, path: str = "path", text: str = "text") -> DataFrame:
+    """path, specifier of relative imports in files under ``root`` that lead out of it, in order, repeats included.
+
+    Lines that begin a comment or go on in one are left out. Steps back are counted against the file's depth in
+    ``root``: an import leaves it when at some point it has gone back further than that.
+    """
+    pattern = r"""(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)(['"])(\.[^'"]*)\1"""
+    code = F.filter(F.split(text, "\n"), lambda x: ~F.ltrim(x).rlike(r"^(//|/\*|\*)"))
+    inside = files.where(F.col(path).startswith(root.rstrip("/") + "/"))
+    depth = F.size(F.split(F.substr(path, F.lit(len(root.rstrip("/")) + 2)), "/")) - 1
+    found = inside.select(path, depth.alias("depth"), F.posexplode(F.regexp_extract_all(F.array_join(code, "\n"), F.lit(pattern), F.lit(2))).alias("position", "specifier"))
+    state = F.struct(F.col("depth").cast("int").alias("at"), F.col("depth").cast("int").alias("least"))
+
+    def step(acc, part):
+        at = acc["at"] + F.when(part == "..", -1).when(part.isin(".", ""), 0).otherwise(1)
+        return F.struct(at.cast("int").alias("at"), F.least(acc["least"], at).cast("int").alias("least"))
+
+    return found.where(F.aggregate(F.split("specifier", "/"), state, step)["least"] < 0).orderBy(path, "position").select(path, "specifier")

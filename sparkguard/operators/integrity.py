@@ -52,10 +52,52 @@ def content_hash(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("row_count"), F.md5(F.coalesce(joined, F.lit("")).cast("binary")).alias("content_md5"))
 
 
-def scalable_hash(df: DataFrame) -> DataFrame:
-    """row_count and the order-free sum of row hashes: combined in every task, safe against repeated rows."""
-    each = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(each).alias("hash_sum"))
+def scalable_hash(df: DataFrame, columns: Sequence[Column] | None = None) -> DataFrame:
+    """row_count and the order-free sum of row hashes: combined in every task, safe against repeated rows.
+
+    A row's hash is the first 60 bits of the md5 of its values' texts; a null differs from every text. The sum of
+    fewer than 10**20 rows is exact, and 0 for an empty table.
+    """
+    texts = [F.concat(F.lit("v"), c.cast("string")) for c in (columns or [F.col(f"`{c}`") for c in df.columns])]
+    line = F.concat_ws("\x1f", *[F.coalesce(t, F.lit("n")) for t in texts])
+    each = F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(each), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").alias("hash_sum"))
+
+
+def compare_hashes(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """table_name, expected_hash, actual_hash, status of every expected table: ok, mismatch or missing.
+
+    An empty expectation vouches for nothing: it is one row with the status nothing-expected.
+    """
+    e, a = expected.select("table_name", F.col("hash").alias("expected_hash")), actual.select("table_name", F.col("hash").alias("actual_hash"), F.lit(True).alias("there"))
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("expected_hash").eqNullSafe(F.col("actual_hash")), "ok").otherwise("mismatch")
+    found = e.join(a, "table_name", "left").select("table_name", "expected_hash", "actual_hash", status.alias("status"))
+    none = expected.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return found.unionByName(none.select(F.lit(None).cast("string").alias("table_name"), F.lit(None).cast(found.schema["expected_hash"].dataType).alias("expected_hash"), F.lit(None).cast(found.schema["actual_hash"].dataType).alias("actual_hash"), F.lit("nothing-expected").alias("status")))
+
+
+def schemas_equal(expected: Column, actual: Column) -> Column:
+    """Whether two schema dumps are equal once canonical; an empty side never is."""
+    e, a = (F.coalesce(canonical_schema_text(c), F.lit("")) for c in (expected, actual))
+    return (e != "") & (e == a)
+
+
+def collect_manifest(tables: dict[str, DataFrame], core: Sequence[str]) -> DataFrame:
+    """table_name, row_count, hash_sum of every table; refused where a core table is missing."""
+    lost = sorted(set(core) - set(tables))
+    if lost:
+        raise ValueError("core tables missing: " + ", ".join(lost))
+    return reduce(DataFrame.unionByName, [scalable_hash(df).select(F.lit(name).alias("table_name"), "row_count", "hash_sum") for name, df in tables.items()])
+
+
+def passed(status: DataFrame) -> DataFrame:
+    """status row -> condition by outcome alone, whatever its age: never-ran, failed or passed."""
+    return status.withColumn("condition", F.when(F.col("last_run_at").isNull(), "never-ran").when(F.col("outcome").eqNullSafe("PASS"), "passed").otherwise("failed"))
+
+
+def drill_outcome(checks: DataFrame, run: str) -> DataFrame:
+    """run, outcome: PASS where every recorded tier passed, FAIL otherwise; a run without checks has no row to write."""
+    return checks.groupBy(run).agg(F.when(F.bool_and(F.coalesce("passed", F.lit(False))), "PASS").otherwise("FAIL").alias("outcome"))
 
 
 def positional_differences(expected: DataFrame, actual: DataFrame, order: Sequence[str], columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -73,7 +115,7 @@ def canonical_schema_text(text: Column) -> Column:
     """Schema dump without carriage returns, session markers, comment lines and blank runs, trimmed."""
     unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     kept = F.array_join(F.filter(F.split(unix, "\n"), lambda line: ~line.rlike(r"^\\(un)?restrict") & ~line.rlike(r"^--")), "\n")
-    return F.trim(F.regexp_replace(kept, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
 def line_difference(left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame:

@@ -40,3 +40,34 @@ def quantity_label(n: Column, unit: Column) -> Column:
 def cascade_delete(children: DataFrame, child_key: str, deleted: DataFrame, parent_key: str) -> DataFrame:
     """Children that stay when the parents in ``deleted`` go."""
     return children.join(deleted.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
+
+
+def servings_label(n: Column) -> Column:
+    return F.when(n == 1, "Scaled for one").otherwise(F.concat(F.lit("Scaled for "), plain_number(n)))
+
+
+def first_letter(name: Column) -> Column:
+    return F.substring(name, 1, 1)
+
+
+def numbered_steps(steps: DataFrame, parent: str, order: str, timer: str) -> DataFrame:
+    """Steps with ``step_number`` from 1 within their parent; an empty timer is none."""
+    from pyspark.sql import Window
+
+    at = Window.partitionBy(parent).orderBy(order)
+    return steps.withColumns({"step_number": F.row_number().over(at), timer: F.nullif(F.col(timer), F.lit(""))})
+
+
+def find_first(rows: DataFrame, column: str, value: str, order: str) -> DataFrame:
+    """The first row with that value; none where nothing is found."""
+    return rows.where(F.col(column) == value).orderBy(order).limit(1)
+
+
+def backfilled(rows: DataFrame, column: str, value: Column, where: Column) -> DataFrame:
+    """Rows with a new value where the condition holds; where it is unknown the old one stays."""
+    return rows.withColumn(column, F.when(where, value).otherwise(F.col(column)))
+
+
+def with_defaults(rows: DataFrame, id_col: str, at_col: str) -> DataFrame:
+    """Rows with an id and a creation time of their own where they have none; write them before they are read twice."""
+    return rows.withColumns({id_col: F.coalesce(id_col, F.uuid()), at_col: F.coalesce(at_col, F.current_timestamp())})

@@ -132,3 +132,42 @@ def apply_pairings(findings: DataFrame, pairs: DataFrame) -> DataFrame:
         F.when(lowered, F.array_sort(F.concat("rule_ids", "more"))).otherwise(F.col("rule_ids")).alias("rule_ids"),
         F.when(lowered, F.col("paired_with")).alias("paired_with"),
     )
+
+
+#: What must stay blocked whatever the catalogue says, and what no rule may decide.
+FLOOR_FACTS: list[dict[str, str]] = [
+    *[{"statementKind": f"s:{k}"} for k in ("DropTable", "DropSchema", "DropDatabase", "Truncate", "DropColumn")],
+    *[{"statementKind": f"s:{k}", "hasWhereClause": "b:false"} for k in ("Delete", "Update")],
+    {"statementKind": "s:ExecuteDynamic", "dynamicSqlUnresolved": "b:true"},
+    *[{"statementKind": f"s:{k}", "disarmsTimeout": "b:true"} for k in ("SetGuc", "AlterSystem", "AlterDatabaseSet", "AlterRoleSet")],
+]
+_NEUTRAL = {
+    **dict.fromkeys(("schema", "table", "column", "constraintName", "indexName", "usingIndexName"), "n:"),
+    **dict.fromkeys(("concurrently", "notValid", "checkProvesNotNull", "hasWhereClause", "dynamicSqlUnresolved", "bodyInspected", "transactionHostile", "nestingLimitExceeded", "disarmsTimeout"), "b:false"),
+    **{"defaultVolatility": "s:none", "sourceContext": "s:top-level", "nestingDepth": "i:0"},
+}
+CANARY_FACTS: list[dict[str, str]] = [
+    {"statementKind": "s:Unrecognized"},
+    *[{"statementKind": "s:Unrecognized", f: "b:true"} for f in ("concurrently", "notValid", "checkProvesNotNull", "hasWhereClause", "dynamicSqlUnresolved", "bodyInspected", "transactionHostile")],
+    *[{"statementKind": "s:Unrecognized", "sourceContext": f"s:{c}"} for c in ("do-block", "function-body")],
+    *[{"statementKind": "s:Unrecognized", "defaultVolatility": f"s:{v}"} for v in ("literal", "immutable", "stable", "volatile", "unknown-function")],
+    {"statementKind": "s:AddUniqueConstraint", "usingIndexName": "s:some_other_index_name"},
+]
+
+
+def catalogue_faults(rules: DataFrame) -> DataFrame:
+    """check, subject, verdict of what makes a catalogue unfit: invalid rules, floor facts not blocked, canaries not sent to review."""
+    cases = [("floor", i, {**_NEUTRAL, **f}) for i, f in enumerate(FLOOR_FACTS)] + [("canary", i, {**_NEUTRAL, **f}) for i, f in enumerate(CANARY_FACTS)]
+    facts = rules.sparkSession.createDataFrame([(f"{c}-{i}", f) for c, i, f in cases], "case string, facts map<string,string>")
+    found = classify(facts, rules, "case")
+    bad = found.where(F.when(F.col("case").startswith("floor"), F.col("verdict") != BLOCKED).otherwise(F.col("verdict") != REVIEW))
+    cases_bad = bad.select(F.substring_index("case", "-", 1).alias("check"), F.col("case").alias("subject"), "verdict")
+    return invalid_rules(rules).select(F.lit("rule").alias("check"), F.col("rule_id").alias("subject"), "verdict").unionByName(cases_bad)
+
+
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """The catalogue, once nothing is wrong with it; otherwise an error that names every fault (there are at most 28 and the rules)."""
+    faults = catalogue_faults(rules).collect()
+    if faults:
+        raise ValueError("unfit rules: " + ", ".join(sorted(f"{r['check']} {r['subject']} {r['verdict']}" for r in faults)))
+    return rules

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ANALYZER_EXIT = {"SAFE": 0, "REVIEW_REQUIRED": 10, "BLOCKED": 20, "PARSE_ERROR": 30, "RULES_INVALID": 40}
+RUNNER_EXIT = {"APPLIED": 0, "REFUSED_BLOCKED": 21, "REFUSED_PARSE_FAILURE": 31, "REFUSED_MIXED_FILE": 41, "REFUSED_STALE_MARKER": 51, "EXECUTION_FAILED": 61, "REFUSED_TIMEOUTS_NOT_IN_EFFECT": 71}
 TIMEOUTS = {"lock_timeout": "3000", "statement_timeout": "30000"}
 
 
@@ -62,3 +63,56 @@ def journal_faults(journal: DataFrame, files: DataFrame) -> DataFrame:
     lost = journal.join(files, "tag", "left_anti").select(F.lit("entry-without-file").alias("fault"), F.col("tag").alias("subject"))
     extra = files.join(journal, "tag", "left_anti").select(F.lit("file-without-entry").alias("fault"), F.col("tag").alias("subject"))
     return idx.unionByName(when).unionByName(lost).unionByName(extra)
+
+
+def run_gates(scripts: DataFrame, run: str, order: str, stale: Column, unparsed: Column, blocked: Column, mixed: Column) -> DataFrame:
+    """run, outcome, code, refused_at: what a run of ordered scripts may do before it executes anything.
+
+    Markers left unresolved refuse before all else, then any script that could not be classified, whatever its
+    place; then the first blocked or mixed script in order stops the run there (``refused_at``).
+    """
+    refusal = F.when(blocked, "REFUSED_BLOCKED").when(mixed, "REFUSED_MIXED_FILE")
+    first = F.min(F.when(refusal.isNotNull(), F.struct(F.col(order).alias("at"), refusal.alias("outcome"))))
+    found = scripts.groupBy(run).agg(F.coalesce(F.bool_or(stale), F.lit(False)).alias("stale"), F.coalesce(F.bool_or(unparsed), F.lit(False)).alias("unparsed"), first.alias("first"))
+    gated = F.col("stale") | F.col("unparsed")
+    outcome = F.when(F.col("stale"), "REFUSED_STALE_MARKER").when(F.col("unparsed"), "REFUSED_PARSE_FAILURE").otherwise(F.coalesce("first.outcome", F.lit("APPLIED")))
+    codes = F.create_map(*[F.lit(x) for pair in RUNNER_EXIT.items() for x in pair])
+    return found.select(run, outcome.alias("outcome"), F.element_at(codes, outcome).alias("code"), F.when(~gated, F.col("first.at")).alias("refused_at"))
+
+
+def stale_markers(markers: DataFrame, run: str, name: str) -> DataFrame:
+    """run, message: a refusal that names every unresolved marker, in order of id."""
+    rows = markers.where((F.col("state") == "in_flight") | ((F.col("state") == "failed") & ~F.col("wrapped")))
+    named = F.array_sort(F.collect_list(F.struct("id", F.concat(F.col(name), F.lit(" ("), F.col("state"), F.lit(")")).alias("text"))))["text"]
+    return rows.groupBy(run).agg(F.concat(F.lit("unresolved: "), F.array_join(named, ", ")).alias("message"))
+
+
+def resolve_events(markers: DataFrame, at: Column) -> DataFrame:
+    """Events that resolve every unresolved marker: rows to append, nothing is changed."""
+    return unresolved(markers).withColumns({"state": F.lit("resolved"), "finished_at": at})
+
+
+def recovery_report(markers: DataFrame, invalid: DataFrame) -> DataFrame:
+    """kind, subject of what an interrupted run left: unresolved markers and invalid indexes; nothing is repaired."""
+    left = unresolved(markers).select(F.lit("marker").alias("kind"), F.col("id").cast("string").alias("subject"))
+    return left.unionByName(invalid.select(F.lit("invalid-index").alias("kind"), F.concat_ws(".", "schema_name", "index_name").alias("subject")))
+
+
+STATES = ("in_flight", "applied", "failed", "refused", "resolved")
+
+
+def run_entries(log: DataFrame, run_id: str) -> DataFrame:
+    """Entries of one run by id; a state that no run can have fails the read."""
+    fine = F.when(F.col("state").isin(*STATES), F.col("state")).otherwise(F.raise_error(F.concat(F.lit("unknown state "), F.coalesce("state", F.lit("null")))))
+    return log.where(F.col("run_id") == run_id).withColumn("state", fine).orderBy("id")
+
+
+def run_report(skipped: DataFrame, applied: DataFrame, order: str) -> DataFrame:
+    """Skipped and handled scripts together, in order."""
+    return skipped.unionByName(applied, allowMissingColumns=True).orderBy(order)
+
+
+def applied_count_fault(ledger: DataFrame, journal: DataFrame) -> DataFrame:
+    """applied, expected of a ledger that holds another number of entries than the journal; no row if it is fine."""
+    counted = ledger.agg(F.count(F.lit(1)).alias("applied")).join(F.broadcast(journal.agg(F.count(F.lit(1)).alias("expected"))), F.lit(True))
+    return counted.where("applied <> expected")

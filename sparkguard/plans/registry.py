@@ -87,9 +87,18 @@ def content_hash_by_table(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+_MONEY = "CAST({0} AS DECIMAL(18,2))"
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *(_MONEY.format(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), "l_returnflag", "l_linestatus", "CAST(l_shipdate AS DATE)"]
+
+
+def hash_sql(name: str, columns: list[str]) -> str:
+    texts = ", ".join(f"coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in columns)
+    return f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws(chr(31), {texts})), 1, 15) AS HUGEINT)), 0) AS DECIMAL(38,0)) AS hash_sum FROM {name}"
+
+
+@query(f"SELECT row_count, hash_sum FROM ({hash_sql('lineitem', _LINE_COLUMNS)})")
 def content_hash_scalable(spark, sf_dir):
-    return integrity.scalable_hash(table(spark, sf_dir, "lineitem"))
+    return integrity.scalable_hash(table(spark, sf_dir, "lineitem"), [F.expr(c) for c in _LINE_COLUMNS])
 
 
 @query(
@@ -189,15 +198,9 @@ def rule_match_theta_join(spark, sf_dir):
     return rules.classify(facts, rules.rule_table(spark)).select("finding_id", "verdict", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
-_FLOOR = [{"statementKind": f"s:{k}"} for k in ("DropTable", "DropSchema", "DropDatabase", "Truncate", "DropColumn")]
-_FLOOR += [{"statementKind": f"s:{k}", "hasWhereClause": "b:false"} for k in ("Delete", "Update")]
-_FLOOR += [{"statementKind": "s:ExecuteDynamic", "dynamicSqlUnresolved": "b:true"}]
-_FLOOR += [{"statementKind": f"s:{k}", "disarmsTimeout": "b:true"} for k in ("SetGuc", "AlterSystem", "AlterDatabaseSet", "AlterRoleSet")]
-
-
 @query("SELECT CAST(12 AS BIGINT) AS checked, CAST(0 AS BIGINT) AS not_blocked, CAST(0 AS BIGINT) AS invalid_rules")
 def floor_self_check(spark, sf_dir):
-    facts = spark.createDataFrame(list(enumerate(_FLOOR)), "finding_id int, facts map<string,string>")
+    facts = spark.createDataFrame(list(enumerate(rules.FLOOR_FACTS)), "finding_id int, facts map<string,string>")
     catalogue = rules.rule_table(spark)
     invalid = rules.invalid_rules(catalogue).agg(F.count(F.lit(1)).alias("invalid_rules"))
     found = rules.classify(facts, catalogue).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("verdict") != rules.BLOCKED).alias("not_blocked"))
@@ -384,7 +387,7 @@ _DUMP = "-- dumped\r\n\\restrict abc\r\nCREATE TABLE a (\r\n  x int\r\n);\n\n\n\
 
 @query("SELECT 'CREATE TABLE a (' || chr(10) || '  x int' || chr(10) || ');' || chr(10) || chr(10) || 'CREATE TABLE b ();' AS canonical")
 def schema_text_canonicalise(spark, sf_dir):
-    canonical = F.regexp_replace(integrity.canonical_schema_text(F.col("t")), r"^\s+|\s+$", "")
+    canonical = integrity.canonical_schema_text(F.col("t"))
     return spark.createDataFrame([(_DUMP,)], "t string").select(canonical.alias("canonical"))
 
 
@@ -471,3 +474,6 @@ def sequence_state(spark, sf_dir):
     kind = "schema_name string, sequence_name string, last_value int"
     e = spark.createDataFrame([("public", "a", None), ("public", "b", 2), ("public", "d", 1)], kind)
     return catalog.sequence_differences(e, spark.createDataFrame([("public", "a", None), ("public", "b", None), ("public", "c", 4)], kind))
+
+
+from . import gates  # noqa: E402, F401  (registers more queries)

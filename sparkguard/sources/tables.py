@@ -72,3 +72,55 @@ def backup(tables: dict[str, DataFrame], folder: str) -> None:
 
 def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
+
+
+CORPUS = "entries array<struct<file string, `group` string, expectedVerdict string, expectedRuleIds array<string>, why string, pairId string, half string>>"
+RULES_FILE = "version int, rules array<struct<id string, category string, match string, verdict string, rationale string>>, notes string"
+
+
+def corpus_entries(spark: SparkSession, path: str) -> DataFrame:
+    """file, group, expectedVerdict, expectedRuleIds, why, pairId, half of a corpus manifest."""
+    return json_records(spark, path, CORPUS).select(F.explode("entries").alias("e")).select("e.*")
+
+
+def rules_file(spark: SparkSession, path: str) -> DataFrame:
+    """rule_id, category, match, verdict, rationale of a JSON catalogue; matched values become typed texts.
+
+    A value is one or a list of texts, booleans, numbers or null.
+    """
+    rows = json_records(spark, path, RULES_FILE).select(F.explode("rules").alias("r")).select("r.*")
+    raw = lambda v: F.when(v.isNull() | (v == "null"), "n:").when(v.isin("true", "false"), F.concat(F.lit("b:"), v)).when(v.rlike(r"^-?[0-9]"), F.concat(F.lit("i:"), v)).otherwise(F.concat(F.lit("s:"), F.regexp_replace(v, '^"|"$', "")))
+    entries = F.map_from_entries(F.transform(F.json_object_keys("match"), lambda k: F.struct(k, F.to_json(F.variant_get(F.parse_json("match"), F.lit("$"), "map<string,variant>")[k]))))
+    values = F.transform_values(entries, lambda k, v: F.when(v.startswith("["), F.transform(F.from_json(v, "array<variant>"), lambda x: raw(F.to_json(x)))).otherwise(F.array(raw(v))))
+    return rows.select(F.col("id").alias("rule_id"), "category", values.alias("match"), "verdict", "rationale")
+
+
+def artifact_faults(artifacts: DataFrame, digests: DataFrame) -> DataFrame:
+    """file, expected, found of files (file, sha256) of a manifest that are missing or have another digest."""
+    actual = digests.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("sha256").alias("found"))
+    return artifacts.select("file", F.col("sha256").alias("expected")).join(actual, "file", "left").where(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def restore(spark: SparkSession, folder: str, names: list[str], prefix: str = "") -> dict[str, DataFrame]:
+    """Tables of a backup written over those of the session's catalog."""
+    out = {}
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").write.mode("overwrite").saveAsTable(prefix + name)
+        out[name] = spark.table(prefix + name)
+    return out
+
+
+def ensure_tables(spark: SparkSession, schemas: dict[str, str]) -> None:
+    """Empty tables of declared columns, where they are not there yet."""
+    for name, columns in schemas.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+
+
+def with_automated_half(status: DataFrame, automated: DataFrame) -> DataFrame:
+    """A drill status whose automated half is replaced by the one row of ``automated``; the human half is carried through."""
+    return automated.select(F.struct("*").alias("automated")).join(F.broadcast(status.select("human").limit(1)), F.lit(True), "left")
+
+
+def session_facts(spark: SparkSession) -> DataFrame:
+    """database, version of the session."""
+    return spark.range(1).select(F.current_database().alias("database"), F.version().alias("version"))

@@ -166,3 +166,86 @@ def test_streamed_states_equal_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
     markers.keep_table(markers.latest_states(stream, "k", "seq", "state"), "states", str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(rows(spark.table("states"))) == sorted(rows(runner.latest_state(data, "k", "seq", "state")))
+
+
+def test_long_strings_and_comments_are_read_whole(spark):
+    odd = [
+        ("long-string", "COMMENT ON TABLE t IS '" + "it''s; DROP TABLE x; -- " * 20_000 + "'; DROP TABLE y;", "BLOCKED"),
+        ("long-comment", "/* " + "*** a / b ** DROP TABLE x; '\n" * 20_000 + " ***/ CREATE TABLE t (a int);", "SAFE"),
+        ("long-list", "DROP TABLE " + ", ".join(f"t{k}" for k in range(3000)) + ";", "BLOCKED"),
+        ("deep", "CREATE TABLE t (a int CHECK (" + "(" * 30 + "1" + ")" * 30 + " > 0));", "REVIEW_REQUIRED"),
+        ("many", "CREATE TABLE t (a int);\n" * 2000, "SAFE"),
+        ("null", None, "REVIEW_REQUIRED"),
+    ]
+    found = statements.verdicts(spark.createDataFrame([r[:2] for r in odd], "file string, sql string"), rules.rule_table(spark))
+    assert {r.file: r.verdict for r in found.collect()} == {f: v for f, _, v in odd}
+
+
+def test_rules_from_json_are_those_of_the_catalogue(spark, tmp_path):
+    import json
+
+    import pytest
+
+    def plain(v):
+        kind, _, text = v.partition(":")
+        return {"n": None, "b": text == "true"}.get(kind, text)
+
+    def shown(values):
+        found = [plain(v) for v in values]
+        return found if len(found) > 1 else found[0]
+
+    made = [{"id": i, "category": c, "match": {k: shown(v) for k, v in m.items()}, "verdict": v, "rationale": "why"} for i, c, m, v in rules.RULES]
+    (tmp_path / "rules.json").write_text(json.dumps({"version": 2, "rules": made}))
+    read = rules.checked_rules(tables.rules_file(spark, str(tmp_path / "rules.json")))
+    assert {r.rule_id: (r.category, r.match, r.verdict) for r in read.collect()} == {i: (c, m, v) for i, c, m, v in rules.RULES}
+    with pytest.raises(ValueError, match="floor floor-3"):
+        rules.checked_rules(read.where("rule_id <> 'truncate'"))
+
+
+def test_backup_restore_and_digests(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, None), (2, "")], "id int, t string"), spark.createDataFrame([], "x long")
+    tables.backup({"a": a, "b": b}, str(tmp_path / "dump"))
+    back = tables.restore(spark, str(tmp_path / "dump"), ["a", "b"], "restored_")
+    assert sorted(map(str, rows(back["a"]))) == sorted(map(str, rows(a))) and back["b"].count() == 0
+    tables.restore(spark, str(tmp_path / "dump"), ["a"], "restored_")
+    assert spark.table("restored_a").count() == 2
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.dump").write_text("one")
+    good = tables.file_digests(spark, str(tmp_path / "files"))
+    wanted = spark.createDataFrame([("x.dump", good.first().sha256), ("y.dump", "0" * 64)], "file string, sha256 string")
+    assert [r.file for r in tables.artifact_faults(wanted, good).collect()] == ["y.dump"]
+    tables.ensure_tables(spark, {"run_log": "id long, state string"})
+    tables.ensure_tables(spark, {"run_log": "id long, state string"})
+    tables.append(spark.createDataFrame([(1, "applied")], "id long, state string"), "run_log")
+    assert spark.table("run_log").count() == 1
+
+
+def test_status_keeps_its_human_half(spark):
+    old = spark.createDataFrame([(("2024", "PASS"), ("2023", "by hand"))], "automated struct<at string, outcome string>, human struct<at string, note string>")
+    new = tables.with_automated_half(old, spark.createDataFrame([("2025", "FAIL")], "at string, outcome string")).first()
+    assert tuple(new.automated) == ("2025", "FAIL") and tuple(new.human) == ("2023", "by hand")
+    first = tables.with_automated_half(old.limit(0), spark.createDataFrame([("2025", "PASS")], "at string, outcome string")).first()
+    assert first.human is None and first.automated.outcome == "PASS"
+
+
+def test_run_entries_and_counts(spark):
+    import pytest
+
+    log = spark.createDataFrame([(2, "r", "resolved"), (1, "r", "applied"), (3, "s", "odd")], "id long, run_id string, state string")
+    assert [r.id for r in runner.run_entries(log, "r").collect()] == [1, 2]
+    with pytest.raises(Exception, match="unknown state odd"):
+        runner.run_entries(log, "s").collect()
+    assert rows(runner.applied_count_fault(log, log)) == [] and rows(runner.applied_count_fault(log, log.limit(1))) == [(3, 1)]
+    assert rows(integrity.compare_hashes(log.limit(0).selectExpr("state table_name", "id hash"), log.selectExpr("state table_name", "id hash"))) == [(None, None, None, "nothing-expected")]
+    with pytest.raises(ValueError, match="core tables"):
+        integrity.collect_manifest({"a": log}, ["a", "b"])
+
+
+def test_ruleset_contexts_and_payloads(spark):
+    import pytest
+
+    kept = spark.createDataFrame([("main", ["lint", "test"]), ("other", [])], "name string, contexts array<string>")
+    assert history.expected_contexts(kept, "main") == ["lint", "test"]
+    with pytest.raises(ValueError, match="no expected context"):
+        history.expected_contexts(kept, "other")
+    assert history.journal_or_empty(None, kept).count() == 0 and history.journal_or_empty(kept, kept).count() == 2
