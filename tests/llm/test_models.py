@@ -63,6 +63,76 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.held_out_scores(awkward(spark).limit(0), none).count() == 0
 
 
+@there
+def test_models_on_held_out_rows_of_the_table(spark):
+    docs, marks = spark.read.parquet(SF + "/documents.parquet"), spark.read.parquet(SF + "/labels.parquet")
+    lang = {r.doc_id: r.lang for r in docs.where("lang IS NOT NULL").collect()}
+    found = [r for r in language_id.held_out_predictions(docs).collect() if r.held_out and r.doc_id in lang and r.lang_pred != "und"]
+    assert len(found) > 100 and np.mean([r.lang_pred == lang[r.doc_id] for r in found]) > 0.97
+    toxic = {r.doc_id: r.toxic for r in marks.where("toxic IS NOT NULL").collect()}
+    rows = [(r.score, toxic[r.doc_id]) for r in toxicity.held_out_scores(docs, marks).collect() if r.held_out and r.doc_id in toxic]
+    bad, good = [s for s, t in rows if t], [s for s, t in rows if not t]
+    assert np.mean([[b > g for g in good] for b in bad]) > 0.9
+
+
+def test_draws_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 70, f"words {i} of {'dies' if i % 3 else 'this'} text " * (1 + i % 4), "de" if i % 3 else "en") for i in range(400)]
+    docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(70)], "doc_id long, toxic int")
+    other = docs.repartition(7, "text").sortWithinPartitions(F.desc("text"))
+    a, b = language_id.train(docs, training=60), language_id.train(other, training=60)
+    assert a.languages == b.languages and np.array_equal(a.values, b.values)
+    a, b = toxicity.train(docs, labels, (9, 15)), toxicity.train(other, labels, (9, 15))
+    assert a.bias == b.bias and np.array_equal(a.weight, b.weight)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, chr(0x100 + i % 450) * 8, f"l{i % 450}") for i in range(900)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) > 420
+
+
+def test_language_model_equals_plain_kernels():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefgh" if k % 2 else "efghijkl"), 30)) for k in range(40)]
+    import pyarrow as pa
+
+    from sparkguard.llm.grams import presence
+
+    slots = list(presence(pa.array(texts), language_id.ORDERS, language_id.BITS, pad=True))
+    langs = ["x" if k % 2 else "y" for k in range(30)]
+    model = language_id.fit([s.astype("<i4") for s in slots[:30]], langs, 100)
+    sets = [set(s.tolist()) for s in slots]
+    kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets[:30]] for a in sets])
+    values, vectors = np.linalg.eigh(kernel[:30])
+    good = values > 1e-6 * values[-1]
+    z = kernel @ (vectors[:, good] / np.sqrt(values[good]))
+    goal = np.array([[1.0 if n == m else -1.0 for m in ("x", "y")] for n in langs])  # both languages weigh the same
+    centre, middle = z[:30].mean(axis=0), goal.mean(axis=0)
+    coef = np.linalg.solve((z[:30] - centre).T @ (z[:30] - centre) + language_id.RIDGE * np.eye(z.shape[1]), (z[:30] - centre).T @ (goal - middle))
+    plain = (z[30:] - centre) @ coef + middle
+    held = np.zeros((10, language_id.SIZE), np.float32)
+    for k, s in enumerate(slots[30:]):
+        held[k, s] = 1
+    assert np.allclose((held @ model.values) / np.sqrt(held.sum(axis=1, keepdims=True)) + model.bias, plain, atol=1e-3)
+    best, _ = model.predict(pa.array(texts[30:]))
+    assert [model.languages[b] for b in best] == ["x" if k % 2 else "y" for k in range(30, 40)]
+
+
+def test_toxicity_ratios_equal_plain_counts():
+    docs = [[0, 1, 2], [0, 1], [0, 1, 3], [2, 3], [2, 3, 0], [3, 2, 4]]
+    toxic = np.array([1, 1, 1, 0, 0, 0])
+    model = toxicity.fit([np.array(d) for d in docs], toxic, 6)
+    p, q = ([1 + sum(s in d for d, t in zip(docs, toxic, strict=True) if t == c) for s in range(6)] for c in (1, 0))
+    for s in range(6):
+        ratio = math.log((p[s] / sum(p)) / (q[s] / sum(q)))
+        seen = p[s] + q[s] - 2 >= toxicity.MIN_DOCUMENTS
+        assert math.isclose(model.square[s], ratio**2 if seen else 0, rel_tol=1e-5)
+        assert model.weight[s] * ratio >= 0  # each slot speaks for the class that its ratio names
+    scores = [model.score(np.array(d)) for d in docs]
+    assert min(scores[:3]) > 0.5 > max(scores[3:])
+
+
 def brute_top_k(rows, k, every):
     """Exact integers; a product beyond a long counts as the nearest long."""
     whole = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows]
@@ -137,6 +207,16 @@ def test_preferences(spark):
     assert chat_format.format_preferences(df.limit(0)).count() == 0
 
 
+def test_pairs_of_large_and_negative_ids_and_repeated_turns(spark):
+    ids = [2**53, 2**53 + 1, 2**53 + 2, 2**62, 2**62 + 1, -4, -3, -2, -1, 0, 1, None]
+    turns = [(i, 0, "user", "hi") for i in ids] + [(i, 1, "assistant", f"a{i}") for i in ids] + [(0, 1, "assistant", "a0")] * 2 + [(1, None, "system", "s")]
+    pairs = chat_format.neighbouring_pairs(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("pair_id", F.lit("x")))
+    got = {r.pair_id: r for r in chat_format.format_preferences(pairs).collect()}
+    assert set(got) == {i // 2 for i in ids if i is not None}
+    assert got[-2].chosen.startswith("<|assistant|>\na-4") and got[-2].rejected.startswith("<|assistant|>\na-3") and got[2**52].n_prompt_turns == 1
+    assert got[0].n_prompt_turns == 0 and got[0].chosen.count("a0<|end|>") == 3 and got[0].rejected.startswith("<|system|>")
+
+
 @there
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_sql(spark, name):

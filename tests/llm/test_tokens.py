@@ -48,13 +48,22 @@ def test_forced_boundaries_give_the_librarys_ids_and_text():
 
 
 def test_counts(spark):
-    docs, ids = awkward(spark), library(BYTE)
+    rows, ids = [*BASE, BASE[0], BASE[0], BASE[6], (1, "another text"), (77, "long words, " * 800_000)], library(BYTE)
+    docs = awkward(spark, rows)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs).collect())
-    want = sorted((str(i), len((t or "").encode()), n := len(ids(t)), n > 1024) for i, t in BASE)
+    want = sorted((str(i), len((t or "").encode()), n := len(ids(t)), n > 1024) for i, t in rows)
     assert got == want
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_repeated_and_long_texts_make_the_round_trip(spark):
+    t = tokenizers.Tokenizer.from_file(WORD)
+    rows = [BASE[0], BASE[0], (1, "another text"), (None, "n"), (None, "n"), (2, "Some words again, " * 500_000)]
+    digest = lambda text: hashlib.sha256(struct.pack(f"<{len(ids := t.encode(text, add_special_tokens=False).ids)}I", *ids)).hexdigest()
+    got = [(str(r.doc_id), r.ids_sha256) for r in bpe.round_trip_digests(awkward(spark, rows)).collect()]
+    assert sorted(got) == sorted((str(i), digest(text)) for i, text in rows)
+
+
 def test_round_trip_digests(spark):
     t = tokenizers.Tokenizer.from_file(WORD)
     got = {r.doc_id: r for r in bpe.round_trip_digests(awkward(spark)).collect()}
@@ -112,6 +121,61 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack_documents(awkward(spark).limit(0)).count() == 0
 
 
+def plain_best_two_fit(lengths, capacity):
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                held.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and left and len(held) > 1:
+            room = gap + held[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= room]
+            best = max((p[0] for p in pairs), default=0)
+            if best > held[-1]:
+                _, a, b = next(p for p in sorted(pairs, key=lambda p: (-p[0], p[1])) if p[0] == best)
+                left.append(held.pop())
+                left.remove(a)
+                left.remove(b)
+                left.sort(reverse=True)
+                held += [a, b]
+        bins.append(sorted(held))
+    return bins
+
+
+def test_packing_equals_a_plain_best_two_fit():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        lengths = rng.integers(1, int(rng.integers(20, 101)), 60)
+        bins, _ = packing.best_two_fit(lengths, 100)
+        got = [sorted(lengths[bins == b].tolist()) for b in range(bins.max() + 1)]
+        assert got == plain_best_two_fit(lengths.tolist(), 100)
+
+
+def test_repeated_and_full_pieces_are_spread_over_groups(spark):
+    rows = spark.createDataFrame([(7, 50)] * 300 + [(8, 100)] * 40, "doc_id long, length long")
+    got = packing.pack_lengths(rows, 100, 50).collect()
+    assert len({r.sequence_id >> 32 for r in got if r.length == 50}) > 1
+    full = [r for r in got if r.length == 100]
+    assert len({r.sequence_id for r in full}) == 40 and {r.offset for r in full} == {0}
+
+
+def test_written_ids_of_repeated_and_long_rows(spark):
+    ids = library(BYTE)
+    rows = [(5, "same"), (5, "same"), (5, "other"), (None, "n"), (None, "n"), (9, "word " * 2_000_000), (2**53 + 1, "x"), (-3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = token_output.write_ids(docs, block_ids=100, bucket_bytes=1 << 20)
+    got = sorted(token_output.read_digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -3, 5, 5, 5, 9, 2**53 + 1]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    sizes = {i: len(ids(t)) + 1 for i, t in rows if i not in (5, None)}
+    assert {r.doc_id: r.n_tokens for r in got if r.doc_id in sizes} == sizes
+    assert token_output.document_ids(spark, path, 2**53 + 1) == [*ids("x"), 0]
+    assert token_output.document_ids(spark, path, 5) in ([*ids("same"), 0], [*ids("other"), 0])
+
+
 def test_best_two_fit_is_near_the_bound():
     for seed, top in ((1, 4096), (2, 1200), (3, 90)):
         lengths = np.random.default_rng(seed).integers(1, top + 1, 3000)
