@@ -23,7 +23,7 @@ into a group that it has no link in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +127,9 @@ class Signer:
             out.append((key[held > 0] if fewer else key, n - k - left_out if fewer else 1))
         return out
 
+    def of(self, sets: list[np.ndarray]) -> list[list[tuple[np.ndarray, int]]]:
+        return [self.signatures(s) for s in sets]
+
 
 def _documents(n: int):
     """rid, doc_id, n_shingles and the two halves of the set's digest."""
@@ -228,22 +231,23 @@ def _range_rows(entry: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray],
     return pairs, ties, _counted(entry[many & fine])
 
 
-def _signed(n: int, ranges: int):
+def _signed(n: int, ranges: int, make_signer: Callable[[], Signer] = Signer):
     """Rows (key, kind, data): entries of a range of signatures, ties and numbers of heavy signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, merger = Signer(), _Merger()
+        signer, merger = make_signer(), _Merger()
         for batch in batches:
             for _, texts in slices(batch.column("text"), BLOCK_BYTES):
-                held, seen = [], set()
+                held, sets = [], {}
                 for s in shingle_sets(texts, n):
-                    if len(s) and (name := set_digest(s)[0]) not in seen:
-                        seen.add(name)
-                        for slot, (sig, need) in enumerate(signer.signatures(s)):
-                            mine = np.zeros(len(sig), _ENTRY)
-                            mine["high"], mine["low"] = sig >> np.uint64(32), (sig >> np.uint64(24)) & np.uint64(255)
-                            mine["set"], mine["slot"], mine["need"] = name, slot, min(need, 255)
-                            held.append(mine)
+                    if len(s):
+                        sets.setdefault(set_digest(s)[0], s)
+                for name, signed in zip(sets, signer.of(list(sets.values())), strict=True):
+                    for slot, (sig, need) in enumerate(signed):
+                        mine = np.zeros(len(sig), _ENTRY)
+                        mine["high"], mine["low"] = sig >> np.uint64(32), (sig >> np.uint64(24)) & np.uint64(255)
+                        mine["set"], mine["slot"], mine["need"] = name, slot, min(need, 255)
+                        held.append(mine)
                 if not held:
                     continue
                 entry, ties, counts = merger.block(np.concatenate(held))
@@ -354,26 +358,30 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similar: tupl
         yield np.full(len(j), i), j
 
 
-def _check_cell(rows: pa.Table) -> pa.Table:
+def _check_cell(similar: tuple[int, int]):
     """Links of a cell: two blocks of a group, or one with itself; a forest of them is enough."""
-    ids, block = rows.column("set").to_numpy(), rows.column("block").to_numpy()
-    sets = [np.frombuffer(d, np.uint64) for d in rows.column("elements").to_pylist()]
-    names = np.unique(block)
-    parts = [np.flatnonzero(block == b) for b in names]
-    left, right = parts[0], parts[-1]
-    links = _forest((ids[left[i]], ids[right[j]]) for i, j in similar_pairs([sets[x] for x in left], [sets[x] for x in right]))
-    u, v = np.array(links, np.int64).reshape(-1, 2).T
-    return pa.table({"u": pa.array(u.copy()), "v": pa.array(v.copy())})
 
+    def run(rows: pa.Table) -> pa.Table:
+        ids, block = rows.column("set").to_numpy(), rows.column("block").to_numpy()
+        sets = [np.frombuffer(d, np.uint64) for d in rows.column("elements").to_pylist()]
+        names = np.unique(block)
+        parts = [np.flatnonzero(block == b) for b in names]
+        left, right = parts[0], parts[-1]
+        links = _forest((ids[left[i]], ids[right[j]]) for i, j in similar_pairs([sets[x] for x in left], [sets[x] for x in right], similar))
+        u, v = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"u": pa.array(u.copy()), "v": pa.array(v.copy())})
+
+    return run
 
-def _cells(members: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def _cells(members: DataFrame, pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Links of the given cells (group, a, b): each names two blocks of a group."""
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("a", "b"))))
     placed = members.join(sides, ["group", "block"])
-    return placed.groupBy("group", "a", "b").applyInArrow(_check_cell, "u long, v long")
+    return placed.groupBy("group", "a", "b").applyInArrow(_check_cell(similar), "u long, v long")
 
 
-def _group_links(members: DataFrame) -> DataFrame:
+def _group_links(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Exact links of candidate groups (set, group, n, elements), enough of them for the components.
 
     A group up to CELL_ELEMENTS is one cell. A larger one is cut into blocks; each block is checked with
@@ -384,7 +392,7 @@ def _group_links(members: DataFrame) -> DataFrame:
     total = members.select("n").agg(F.sum("n")).first()[0] or 0
     sized = sized.withColumn("blocks", F.ceil(F.col("all") / CELL_ELEMENTS))
     small = join_hot(members, sized.where("blocks = 1"), ["group"], "all", total).withColumn("block", F.lit(0).cast("long"))
-    links = materialize(small.withColumn("a", F.lit(0)).groupBy("group").applyInArrow(_check_cell, "u long, v long"), "join-links")
+    links = materialize(small.withColumn("a", F.lit(0)).groupBy("group").applyInArrow(_check_cell(similar), "u long, v long"), "join-links")
     large = materialize(join_hot(members, sized.where("blocks > 1"), ["group"], "all", total), "join-large")
     if large.isEmpty():
         discard(large)
@@ -392,7 +400,7 @@ def _group_links(members: DataFrame) -> DataFrame:
     by_hash = large.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     blocks = by_hash.select("group", F.col("block").alias("a")).distinct()
     star = blocks.select("group", "a", F.col("a").alias("b")).union(blocks.where("a > 0").select("group", F.lit(0).cast("long").alias("a"), F.col("a").alias("b")))
-    first = materialize(_cells(by_hash.drop("all", "blocks"), star), "join-links")
+    first = materialize(_cells(by_hash.drop("all", "blocks"), star, similar), "join-links")
     found = components(first)
     labelled = large.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     # Blocks of one component each where it is large, of many small ones otherwise.
@@ -403,16 +411,18 @@ def _group_links(members: DataFrame) -> DataFrame:
     sides = again.groupBy("group", "block").agg(F.max("whole").alias("whole"))
     pairs = sides.alias("x").join(sides.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False)))
     pairs = pairs.select(F.col("x.group").alias("group"), F.col("x.block").alias("a"), F.col("y.block").alias("b"))
-    rest = _cells(again.select("set", "group", "n", "elements", "block"), pairs)
+    rest = _cells(again.select("set", "group", "n", "elements", "block"), pairs, similar)
     out = links.union(first).union(materialize(rest, "join-links"))
     discard(large)
     discard(again)
     return out
 
 
-def similar_rows(base: DataFrame, words: int = WORDS) -> DataFrame:
+def similar_rows(base: DataFrame, words: int = WORDS, make_signer: Callable[[], Signer] = Signer, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, kept of rows (rid, doc_id, text) of a materialized table; rid is a key.
 
+    ``make_signer`` gives what signs the sets of a block so that sets as similar as ``similar`` share what they need.
+
     Of each component one row is kept: the one with the smallest doc_id (null last), then rid. Rows without
     words are all kept.
     """
@@ -423,7 +433,7 @@ def similar_rows(base: DataFrame, words: int = WORDS) -> DataFrame:
     classes = materialize(some.groupBy("set", "second").agg(lead, F.count(F.lit(1)).alias("size")).withColumn("cid", F.monotonically_increasing_id()), "join-classes")
     total, elements = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     ranges = max(2 * partitions(spark), elements * 2 // (3 * RANGE_SIGNATURES))
-    signed = base.select("text").mapInArrow(_signed(words, ranges), "key int, kind int, data binary")
+    signed = base.select("text").mapInArrow(_signed(words, ranges, make_signer), "key int, kind int, data binary")
     found = materialize(signed.groupBy("key").applyInArrow(_range_ties, _RANGE), "join-pairs")
     groups = materialize(components(_candidate_edges(found)).withColumnsRenamed({"node": "set", "component": "group"}), "join-groups")
     discard(found)
@@ -431,7 +441,7 @@ def similar_rows(base: DataFrame, words: int = WORDS) -> DataFrame:
     wanted = classes.join(groups, "set").select(F.col("lead.rid").alias("rid"), F.col("cid").alias("set"), "group")
     members = materialize(base.select("rid", "text").join(wanted, "rid").select("text", "set", "group").mapInArrow(_set_rows(words), "set long, group long, n long, elements binary"), "join-members")
     discard(groups)
-    links = _group_links(members)
+    links = _group_links(members, similar)
     placed = classes.join(components(links).withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     placed = materialize(placed, "join-placed")
     discard(members)
