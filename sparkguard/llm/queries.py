@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, token_counts, token_output, topk_search, toxicity
+from . import bpe, chat_format, exact_dedup, language_id, lexical, minhash, ngram_join, packing, periodic_runs, token_counts, token_output, topk_search, toxicity
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, token_output.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -64,10 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat_format.ORACLE,
     "op4_topk_search": topk_search.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
 }
