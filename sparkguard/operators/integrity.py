@@ -52,6 +52,20 @@ def content_hash(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("row_count"), F.md5(F.coalesce(joined, F.lit("")).cast("binary")).alias("content_md5"))
 
 
+def ranged_hash(df: DataFrame, columns: Sequence[Column], digits: int = 2) -> DataFrame:
+    """row_count, content_md5: like ``content_hash``, but from the hashes of 16 ** digits ranges that are sorted and hashed in parallel.
+
+    A row belongs to the range of the first ``digits`` hex digits of its own hash. Equal rows are counted before they meet, so a
+    row that is repeated often is one row of its range; more digits keep ranges of larger tables small.
+    """
+    line = F.concat_ws("\x1f", *columns)
+    rows = df.select(line.alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    told = rows.select(F.substr(F.md5(F.col("line").cast("binary")), F.lit(1), F.lit(digits)).alias("range"), "n", F.concat_ws("\x1f", "line", F.col("n").cast("string")).alias("line"))
+    ranges = told.groupBy("range").agg(F.sum("n").alias("n"), F.md5(F.expr("listagg(line, chr(30)) WITHIN GROUP (ORDER BY line)").cast("binary")).alias("hash"))
+    joined = F.expr("listagg(hash, chr(30)) WITHIN GROUP (ORDER BY range)")
+    return ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.md5(F.coalesce(joined, F.lit("")).cast("binary")).alias("content_md5"))
+
+
 def scalable_hash(df: DataFrame, columns: Sequence[Column] | None = None) -> DataFrame:
     """row_count and the order-free sum of row hashes: combined in every task, safe against repeated rows.
 
@@ -132,9 +146,12 @@ def line_difference(left: DataFrame, right: DataFrame, most: int = 5) -> DataFra
     return only(a, b, "expected").unionByName(only(b, a, "actual"))
 
 
-def record_tiers(checks: DataFrame) -> DataFrame:
-    """tier, position, passed -> recorded: a tier counts only while all before it passed (later ones stay null)."""
-    before = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+def record_tiers(checks: DataFrame, by: str | None = None) -> DataFrame:
+    """tier, position, passed -> recorded: a tier counts only while all before it passed (later ones stay null).
+
+    ``by`` names the run of each row; without it all rows are one run.
+    """
+    before = Window.partitionBy(by if by else F.lit(0)).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     fine = F.coalesce(F.min(F.col("passed").cast("int")).over(before), F.lit(1)) == 1
     return checks.withColumn("recorded", F.when(fine, F.col("passed")))
 

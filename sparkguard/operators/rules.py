@@ -77,23 +77,21 @@ def typed(value: Column, kind: str) -> Column:
     return F.when(value.isNull(), F.lit("n:")).otherwise(F.concat(F.lit(kind + ":"), value.cast("string")))
 
 
-def classify(facts: DataFrame, rules: DataFrame, key: str = "finding_id") -> DataFrame:
+def classify(facts: DataFrame, rules: DataFrame, key: str | list[str] = "finding_id") -> DataFrame:
     """key, verdict, rule_ids, rationales: every fact row against every rule; no match needs review.
 
-    ``facts`` has ``facts``, a map of fact name to typed text. The catalogue is a table of fixed size,
-    so it is broadcast.
+    ``facts`` has ``facts``, a map of fact name to typed text; ``key`` names what else of it goes on. The catalogue is
+    a table of fixed size, so it is broadcast as one row and each fact row is judged where it is, without a shuffle.
     """
-    held = F.forall(F.map_entries("match"), lambda e: F.map_contains_key("facts", e["key"]) & F.array_contains(e["value"], F.element_at("facts", e["key"])))
-    ruled = rules.withColumnRenamed("verdict", "rule_verdict")
-    joined = facts.select(key, "facts").join(F.broadcast(ruled), held, "left")
-    found = joined.groupBy(key).agg(
-        F.max_by("rule_verdict", severity(F.col("rule_verdict"))).alias("verdict"),
-        F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), F.struct("rule_id", "rationale")))).alias("hits"),
-    )
+    keys = [key] if isinstance(key, str) else key
+    catalogue = rules.agg(F.sort_array(F.collect_list(F.struct("rule_id", "rationale", F.col("verdict").alias("rule_verdict"), F.map_entries("match").alias("wanted")))).alias("catalogue"))
+    held = lambda r: F.forall(r["wanted"], lambda e: F.map_contains_key("facts", e["key"]) & F.array_contains(e["value"], F.try_element_at("facts", e["key"])))
+    # Entries behind an explode are computed once, however often they are read.
+    hits = F.explode(F.array(F.filter("catalogue", held))).alias("hits")
+    found = facts.select(*keys, "facts").join(F.broadcast(catalogue), F.lit(True)).select(*keys, hits)
+    verdict = F.array_max(F.transform("hits", lambda r: F.struct(severity(r["rule_verdict"]).alias("severity"), r["rule_verdict"].alias("verdict"))))["verdict"]
     none = F.size("hits") == 0
-    return found.select(
-        key, F.coalesce("verdict", F.lit(REVIEW)).alias("verdict"), F.col("hits.rule_id").alias("rule_ids"), F.when(none, F.array(F.lit(NO_RULE))).otherwise(F.col("hits.rationale")).alias("rationales")
-    )
+    return found.select(*keys, F.coalesce(verdict, F.lit(REVIEW)).alias("verdict"), F.col("hits.rule_id").alias("rule_ids"), F.when(none, F.array(F.lit(NO_RULE))).otherwise(F.col("hits.rationale")).alias("rationales"))
 
 
 def worst_verdict(findings: DataFrame, by: str) -> DataFrame:
@@ -119,18 +117,27 @@ def first_later(left: DataFrame, right: DataFrame, keys: list[str], position: st
 def apply_pairings(findings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Findings of pairs become SAFE and gain the pair's rule; later passes win on the partner.
 
-    findings: file, position, verdict, rule_ids, floor; pairs: file, position, partner, pass, rule_id.
-    Findings on the floor (data loss) are never lowered. Duplicate rule ids are kept.
+    findings: file, position, verdict, rule_ids, floor and more; pairs: file, position, partner, pass, rule_id.
+    Findings on the floor (data loss) are never lowered. Duplicate rule ids are kept. Where findings have rationales (and
+    pairs a rationale) those stay in step with the ids, and what stands for no rule goes. Where pairs have a number, paired_with is it.
     """
-    gained = pairs.groupBy("file", "position").agg(F.max_by("partner", F.struct("pass", "partner")).alias("paired_with"), F.collect_list("rule_id").alias("more"))
+    shown = "number" if "number" in pairs.columns else "partner"
+    told = "rationales" in findings.columns
+    gained = pairs.groupBy("file", "position").agg(F.max_by(shown, F.struct("pass", "partner")).alias("paired_with"), F.collect_list(F.struct("rule_id", *(["rationale"] if told else []))).alias("more"))
     joined = findings.join(gained, ["file", "position"], "left")
     lowered = F.col("more").isNotNull() & ~F.col("floor")
+    own = F.arrays_zip("rule_ids", "rationales") if told else F.arrays_zip("rule_ids")
+    own = F.transform(F.filter(own, lambda x: x["rule_ids"].isNotNull()), lambda x: F.struct(x["rule_ids"].alias("rule_id"), *([x["rationales"].alias("rationale")] if told else [])))
+    joined = joined.withColumn("together", F.when(lowered, F.array_sort(F.concat(own, "more"))))
+    more = [F.coalesce(F.col("together.rationale"), F.col("rationales")).alias("rationales")] if told else []
     return joined.select(
         "file",
         "position",
         F.when(lowered, SAFE).otherwise(F.col("verdict")).alias("verdict"),
-        F.when(lowered, F.array_sort(F.concat("rule_ids", "more"))).otherwise(F.col("rule_ids")).alias("rule_ids"),
+        F.coalesce(F.col("together.rule_id"), F.col("rule_ids")).alias("rule_ids"),
         F.when(lowered, F.col("paired_with")).alias("paired_with"),
+        *more,
+        *[c for c in findings.columns if c not in ("file", "position", "verdict", "rule_ids", "rationales", "floor")],
     )
 
 

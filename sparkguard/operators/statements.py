@@ -7,7 +7,10 @@ dropped objects and of ALTER TABLE actions are exploded again. Each piece is mat
 stands in parentheses left out, by the patterns below, in order; a piece that none matches in full is
 Unrecognized, which no rule calls safe. The body of a DO block or function is read back from its string and
 examined the same way, ``DEPTH`` levels deep, deeper ones being beyond the limit. What cannot be told from text
-(EXECUTE of an expression) counts as unresolved dynamic SQL.
+(EXECUTE of an expression) counts as unresolved dynamic SQL. A script that cannot be SQL (an open quote or comment,
+parentheses that do not match, a statement that begins with no command) has a parse fault and no verdict.
+
+Each level of bodies is one job that writes its statements to the shared folder; levels that no script has are not run.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .rules import apply_pairings, classify, first_later, severity, typed
 
 _COMMENT = r"/\*[^*/]*+(?:(?:\*+(?![*/])|/(?!\*)%s)[^*/]*+)*+\*+/"
@@ -24,9 +28,10 @@ TOKEN = rf"""(?s)--[^\n]*+|{_NESTED}|[eE]'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|'[^'
 #: Stands for a quote or comment without an end.
 _OPEN = "\x01"
 #: Levels of bodies that are examined, and of parentheses that are told apart.
-DEPTH, PARENTHESES = 2, 8
+DEPTH, PARENTHESES = 8, 8
 
-NAME = r'(?:"[^"]+"|[a-z_][\w$]*)(?:\s*\.\s*(?:"[^"]+"|[a-z_][\w$]*))?'
+PART = r'(?:"[^"]+"|[a-z_\x80-\uffff][\w$\x80-\uffff]*)'
+NAME = rf"{PART}(?:\s*\.\s*{PART}){{0,2}}"
 STRING = r"'[0-9a-f]*'"
 LANGUAGE = rf'language (?:"?\w+"?|{STRING})'
 #: Functions by how a default calls them.
@@ -98,7 +103,7 @@ def cleaned(sql: Column) -> Column:
             .when(t.rlike("^[eE]'"), F.concat(F.lit("'"), hexed(escaped), F.lit("'")))
             .when(t.startswith("'") & (F.length(t) > 1), F.concat(F.lit("'"), hexed(F.replace(inside(t, 1), F.lit("''"), F.lit("'"))), F.lit("'")))
             .when((tag != "") & (F.length(t) > 1), F.concat(F.lit("'"), hexed(F.substr(t, F.length(tag) + 1, F.length(t) - 2 * F.length(tag))), F.lit("'")))
-            .when(t.startswith('"') & (F.length(t) > 1), F.concat(F.lit('"'), F.when(name.rlike(r"^[a-z_][a-z0-9_$]*$"), name).otherwise(F.concat(F.lit("x"), hexed(name))), F.lit('"')))
+            .when(t.startswith('"') & (F.length(t) > 1), F.concat(F.lit('"'), F.when(name.rlike(r"^[a-z_][a-z0-9_$]*$"), name).otherwise(F.concat(F.lit("0"), hexed(name))), F.lit('"')))
             .when(t.isin("'", '"', "$"), _OPEN)
             .otherwise(F.lower(t))
         )
@@ -114,12 +119,93 @@ def flattened(text: Column) -> Column:
     return F.regexp_replace(text, "\x02", "()")
 
 
+#: Words that a statement of the dialect can begin with.
+COMMANDS = (
+    "abort", "alter", "analyse", "analyze", "begin", "call", "checkpoint", "close", "cluster", "comment", "commit", "copy", "create", "deallocate", "declare", "delete", "discard", "do", "drop", "end",
+    "execute", "explain", "fetch", "grant", "import", "insert", "listen", "load", "lock", "merge", "move", "notify", "prepare", "reassign", "refresh", "reindex", "release", "reset", "revoke", "rollback",
+    "savepoint", "security", "select", "set", "show", "start", "table", "truncate", "unlisten", "update", "vacuum", "values", "with",
+)
+
+
+def masked(sql: Column) -> Column:
+    """A text of the same length, lower-cased, with comments as spaces and strings and quoted names as letters x."""
+    same = lambda letter, t: F.repeat(F.lit(letter), F.length(t))
+    shown = lambda t: F.when(t.startswith("--") | (t.startswith("/*") & (F.length(t) > 3)), same(" ", t)).when((F.length(t) > 1) & t.rlike(r"""^(?:[eE]?'|"|\$)"""), same("x", t)).otherwise(F.lower(t))
+    return F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0)), shown), "")
+
+
+def spans(mask: Column) -> Column:
+    """array<struct<location, length>> of the top-level statements of a masked text: from the first to the last sign of each.
+
+    A body that begins with BEGIN ATOMIC belongs to its statement up to its bare END. Blank statements are none.
+    """
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("begin"), F.lit(False).alias("inside"), none.alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        word = F.regexp_replace(part, r"^\s+|\s+$", "")
+        opens = ~acc["inside"] & word.rlike(r"(?s)^create\s+(?:or\s+replace\s+)?(?:function|procedure)\s.*\bbegin\s+atomic\b")
+        closes = acc["inside"] & (word == "end")
+        begin, stop = F.when(acc["inside"], acc["begin"]).otherwise(acc["at"]), acc["at"] + F.length(part)
+        done = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), stop.alias("stop"))))
+        open_now = (acc["inside"] | opens) & ~closes
+        return F.struct((stop + 1).alias("at"), begin.alias("begin"), open_now.alias("inside"), F.when(open_now, acc["out"]).otherwise(done).alias("out"))
+
+    def finish(acc: Column) -> Column:
+        rest = F.array(F.struct(acc["begin"].alias("start"), (acc["at"] - 1).alias("stop")))
+        return F.when(acc["inside"], F.concat(acc["out"], rest)).otherwise(acc["out"])
+
+    cut = F.aggregate(F.split(mask, ";"), start, step, finish)
+
+    def tight(x: Column) -> Column:
+        part = F.substr(mask, x["start"] + 1, x["stop"] - x["start"])
+        lead = F.length(part) - F.length(F.regexp_replace(part, r"^\s+", ""))
+        return F.struct((x["start"] + lead).alias("location"), F.length(F.regexp_replace(part, r"^\s+|\s+$", "")).alias("length"))
+
+    return F.filter(F.transform(cut, tight), lambda x: x["length"] > 0)
+
+
 def _computed(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with columns that are computed once: behind a generator no later expression repeats theirs."""
     once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return rows.select("*", once.alias("_once")).select("*", "_once.*").drop("_once")
 
 
+def _spanned(scripts: DataFrame) -> DataFrame:
+    """file, sql, mask, spans, each computed once."""
+    rows = scripts.select("file", F.coalesce(F.col("sql"), F.lit("")).alias("sql"))
+    return _computed(_computed(rows, mask=masked(F.col("sql"))), spans=spans(F.col("mask")))
+
+
+def split_statements(scripts: DataFrame) -> DataFrame:
+    """file, statement_index, location, length, text of each script's top-level statements, without semicolons and the comments between them.
+
+    location counts characters from 0. A script of blanks and comments alone has none. Rows are split where they are, without a shuffle.
+    """
+    cut = _spanned(scripts).select("file", "sql", F.posexplode("spans").alias("statement_index", "x"))
+    return cut.select("file", "statement_index", "x.location", "x.length", F.substr("sql", F.col("x.location") + 1, F.col("x.length")).alias("text"))
+
+
+def _judged(scripts: DataFrame) -> DataFrame:
+    """file, sql, fault: struct<at_character, reason> of the first thing for which a script cannot be SQL, null if none is seen."""
+    mask = F.col("mask")
+    fault = lambda at, reason: F.struct(at.cast("int").alias("at_character"), F.lit(reason).alias("reason"))
+    rows = _computed(_spanned(scripts), opened=F.regexp_instr(mask, F.lit(r"""['"]|/\*|\$(?:[a-z_\x80-\uffff][\w\x80-\uffff]*)?\$""")))
+    parts = F.transform("spans", lambda x: F.struct(x["location"].alias("location"), x["length"].alias("length"), F.substr(mask, x["location"] + 1, x["length"]).alias("text")))
+    rows = _computed(rows, parts=parts)
+
+    def of_statement(x: Column) -> Column:
+        count = lambda sign: F.length(x["text"]) - F.length(F.replace(x["text"], F.lit(sign), F.lit("")))
+        return (
+            F.when(~F.regexp_extract(x["text"], r"^\(*\s*([a-z]*)", 1).isin(*COMMANDS), fault(x["location"] + 1, "no command"))
+            .when(count("(") != count(")"), fault(x["location"] + x["length"], "parentheses do not match"))
+            .when(x["text"].rlike(r"(?s)^alter\s+type\s.*\sdrop\s+value\b"), fault(x["location"] + 1, "values of a type cannot be dropped"))
+        )
+
+    first = F.get(F.filter(F.transform("parts", of_statement), lambda x: x.isNotNull()), F.lit(0))
+    return rows.select("file", "sql", F.when(F.col("opened") > 0, fault(F.col("opened"), "open quote or comment")).otherwise(first).alias("fault"))
+
+
 def _pieces(rows: DataFrame) -> DataFrame:
     """One row per dropped object and per action of ALTER TABLE, each with the head of its statement."""
     head = F.regexp_extract("text", r"^(drop (?:table|schema|index) (?:concurrently )?(?:if exists )?)", 1)
@@ -133,8 +219,10 @@ def _pieces(rows: DataFrame) -> DataFrame:
     found = (
         F.when(head != "", F.transform(F.split(drop, " ?, ?"), lambda x: F.concat(head, x))).when(alter != "", F.transform(actions, lambda x: F.concat(F.replace(alter, F.lit("*"), F.lit("")), F.trim(x)))).otherwise(F.array("text"))
     )
-    rows = rows.select(*[c for c in rows.columns if c != "text"], F.posexplode(found).alias("k", "text"))
-    return rows.withColumn("text", F.trim(F.regexp_replace("text", " +", " "))).withColumn("position", F.concat("position", F.array("k"))).drop("k")
+    rows = _computed(rows.withColumnRenamed("text", "whole").withColumn("text", F.col("whole")), found=found).drop("text", "whole")
+    rows = rows.select("*", F.posexplode("found").alias("k", "text"))
+    at = F.when(F.size("found") > 1, F.concat("at", F.array("k"))).otherwise(F.col("at"))
+    return rows.withColumn("text", F.trim(F.regexp_replace("text", " +", " "))).withColumns({"position": F.concat("position", F.array("k")), "at": at}).drop("k", "found")
 
 
 def _told(rows: DataFrame) -> DataFrame:
@@ -156,7 +244,10 @@ def _told(rows: DataFrame) -> DataFrame:
 
 
 def _top(scripts: DataFrame) -> DataFrame:
-    """file, position, text, procedural, atomic: statements of scripts and of BEGIN ATOMIC bodies, in order."""
+    """file, position, at, text, procedural, context, depth: statements of scripts and of BEGIN ATOMIC bodies, in order.
+
+    position is unique and in order; at counts statements (and those of a body) from 0.
+    """
     rows = scripts.select("file", F.posexplode(F.split(cleaned(F.col("sql")), ";")).alias("i", "text")).withColumn("text", F.trim("text")).where("text <> ''")
     # Such a body's statements end with semicolons of their own, and it ends with a bare END.
     before = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,18 +257,24 @@ def _top(scripts: DataFrame) -> DataFrame:
     first = F.regexp_extract("text", r"^(.*?\bbegin atomic\b) ?(.*)$", 2)
     both = F.when(opens.isNotNull() & F.col("within").isNull(), F.array(F.struct(F.array("i").alias("position"), F.regexp_extract("text", r"^(.*?\bbegin atomic\b)", 1).alias("text")), F.struct(F.array(F.col("i"), F.lit(0), F.lit(0)).alias("position"), first.alias("text"))))
     both = both.otherwise(F.array(F.struct(F.when(F.col("within").isNull(), F.array("i")).otherwise(F.array(F.col("within"), F.lit(0), F.col("i"))).alias("position"), F.col("text").alias("text"))))
-    return rows.select("file", F.explode(both).alias("x")).select("file", "x.position", "x.text", F.lit(False).alias("procedural")).where("text <> ''")
+    rows = rows.select("file", F.explode(both).alias("x")).select("file", "x.position", "x.text").where("text <> ''")
+    whole_statement, nested = F.col("position")[0], F.size("position") > 1
+    number = (F.dense_rank().over(Window.partitionBy("file").orderBy(whole_statement)) - 1).cast("int")
+    inner = (F.row_number().over(Window.partitionBy("file", whole_statement).orderBy("position")) - 2).cast("int")
+    at = F.when(nested, F.array(number, inner)).otherwise(F.array(number))
+    return rows.select("file", "position", at.alias("at"), "text", F.lit(False).alias("procedural"), F.when(nested, "function-body").otherwise("top-level").alias("context"), F.when(nested, 1).otherwise(0).alias("depth"))
 
 
 def _inner(rows: DataFrame) -> DataFrame:
     """Statements of the bodies of containers, without what runs none."""
-    held = rows.where("body IS NOT NULL").select("file", "position", "body", (F.col("language") == "plpgsql").alias("procedural"))
-    held = _computed(held, clean=cleaned(F.col("body")))
+    context = F.when(F.col("kind") == "DoBlock", "do-block").otherwise("function-body")
+    held = rows.where("body IS NOT NULL").select("file", "position", "at", "body", (F.col("language") == "plpgsql").alias("procedural"), context.alias("context"), (F.col("depth") + 1).alias("depth"))
+    held = _computed(held, clean=cleaned(F.col("body"))).drop("body")
     text = plain = F.col("clean")
     for _ in range(3):  # expressions, innermost first: a CASE statement has semicolons inside
         plain = F.regexp_replace(plain, r'(?<!")\bcase\b(?:(?!\bcase\b|;).)*?\bend\b(?!"| case\b| if\b| loop\b)', "a_case")
     words = F.regexp_replace(F.regexp_replace(plain, r'(?<!")\b(declare|begin)\b(?!")', ";$1;"), r'(?<!")\b(then|else|loop)\b(?!")', ";")
-    cut = held.select("file", "position", "procedural", F.posexplode(F.split(F.when(F.col("procedural"), words).otherwise(text), ";")).alias("j", "text")).withColumn("text", F.trim("text"))
+    cut = held.select("file", "position", "at", "procedural", "context", "depth", F.posexplode(F.split(F.when(F.col("procedural"), words).otherwise(text), ";")).alias("j", "text")).withColumn("text", F.trim("text"))
     # Only what stands between DECLARE and BEGIN can be a declaration; a DECLARE inside a statement opens nothing.
     by = Window.partitionBy("file", "position").orderBy("j")
     begins = F.coalesce(F.lag("text").over(by), F.lit("")).rlike("^(<<.*>>)?$")
@@ -186,82 +283,117 @@ def _inner(rows: DataFrame) -> DataFrame:
     after = F.first("word", True).over(by.rowsBetween(0, Window.unboundedFollowing))
     cut = cut.withColumn("word", word).withColumn("declaring", before.eqNullSafe("declare") & after.eqNullSafe("begin")).where("word IS NULL AND text <> ''")
     silent = F.col("procedural") & (F.col("text").rlike(whole(_INERT)) | (F.col("declaring") & F.col("text").rlike(whole(_DECLARATION)))) & ~F.col("text").rlike(whole(_KNOWN))
-    return cut.where(~silent).select("file", F.concat("position", F.array("j")).alias("position"), "text", "procedural")
+    left = cut.where(~silent).withColumn("number", (F.row_number().over(by) - 1).cast("int"))
+    return left.select("file", F.concat("position", F.array("j")).alias("position"), F.concat("at", F.array("number")).alias("at"), "text", "procedural", "context", "depth")
 
 
-def statement_rows(scripts: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
-    """file, position (array), text, flat, kind, language, body, beyond: statements of scripts and of the bodies inside them, in order.
+def statement_rows(scripts: DataFrame) -> DataFrame:
+    """file, position (array), at, text, flat, kind, language, body, context, depth, beyond: statements of scripts and of the bodies inside them.
 
     A null script is empty. Each script's statements meet in one task for the order of its body's parts.
-    Each level is read twice, so it is cached where ``held`` takes it for its caller to release.
     """
-
-    def once(df: DataFrame) -> DataFrame:
-        if held is not None:
-            held.append(df.cache())
-        return df
-
     scripts = scripts.select("file", F.coalesce(F.col("sql"), F.lit("")).alias("sql"))
-    now = once(_told(_pieces(_top(scripts))))
+    now = written(_told(_pieces(_top(scripts))), "statements")
     out = now
     for _ in range(DEPTH):
-        now = once(_told(_pieces(_inner(now))))
+        if now.where("body IS NOT NULL").isEmpty():
+            break
+        now = written(_told(_pieces(_inner(now))), "statements")
         out = out.unionByName(now)
-    deeper = now.where("body IS NOT NULL").withColumns({"position": F.concat("position", F.array(F.lit(0))), "kind": F.lit("Unrecognized")})
-    return out.withColumn("beyond", F.lit(False)).unionByName(deeper.withColumn("beyond", F.lit(True)))
+    out = out.withColumn("beyond", F.lit(False))
+    context = F.when(F.col("kind") == "DoBlock", "do-block").otherwise("function-body")
+    deeper = now.where(F.col("body").isNotNull() & (F.col("depth") >= DEPTH))
+    deeper = deeper.withColumns({"position": F.concat("position", F.array(F.lit(0))), "context": context, "text": F.lit(""), "flat": F.lit(""), "kind": F.lit("Unrecognized"), "body": F.lit(None).cast("string")})
+    return out.unionByName(deeper.withColumn("beyond", F.lit(True)))
+
+
+def _named(c: Column) -> Column:
+    """A name as it was written: quoted odd ones are read back from their hex digits."""
+    bare = F.nullif(F.replace(c, F.lit('"'), F.lit("")), F.lit(""))
+    return F.when(bare.startswith("0"), F.unhex(F.substr(bare, F.lit(2))).cast("string")).otherwise(bare)
+
+
+_ALTERS = ("DropColumn", "AddUniqueConstraint", "AddCheckConstraint", "AddForeignKey", "DropConstraint", "ValidateConstraint", "SetNotNull", "DropNotNull", "AlterColumnType", "AddColumn", "RenameColumn", "RenameTable")
+#: Where a kind's statement names the object it works on.
+_OBJECTS: list[tuple[tuple[str, ...], str]] = [
+    (_ALTERS, rf"^alter table (?:if exists )?(?:only )?({NAME})"),
+    (("DropTable", "DropSchema"), rf"^drop (?:table|schema) (?:if exists )?({NAME})"),
+    (("DropIndex",), rf"^drop index (?:concurrently )?(?:if exists )?({NAME})"),
+    (("DropDatabase",), rf"^drop database (?:if exists )?({NAME})"),
+    (("Truncate",), rf"^truncate (?:table )?(?:only )?({NAME})"),
+    (("Delete",), rf"^delete from (?:only )?({NAME})"),
+    (("Update",), rf"^update (?:only )?({NAME})"),
+    (("CreateTable",), rf"^create (?:temp |temporary |unlogged )?table (?:if not exists )?({NAME})"),
+    (("CreateIndex",), rf"^create .*? on (?:only )?({NAME})"),
+    (("CommentOn",), rf"^comment on (?:[a-z]+ )+?({NAME})(?: on {NAME})? is\b"),
+    (("Vacuum",), rf"^vacuum (?:\(\) )?(?:(?:full|freeze|verbose|analyze) )*({NAME})$"),
+]
+_COLUMNS: list[tuple[tuple[str, ...], str]] = [
+    (("AddColumn",), rf" add (?:column )?(?:if not exists )?({PART})"),
+    (("DropColumn",), rf" drop (?:column )?(?:if exists )?({PART})"),
+    (("SetNotNull", "DropNotNull", "AlterColumnType"), rf" alter (?:column )?({PART})"),
+    (("RenameColumn",), rf" rename (?:column )?({PART}) to "),
+]
+
+
+def _of_kind(found: list[tuple[tuple[str, ...], str]]) -> Column:
+    return F.coalesce(*[F.when(F.col("kind").isin(*kinds), F.nullif(F.regexp_extract("flat", p, 1), F.lit(""))) for kinds, p in found])
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """file, position, text and ``facts``, the typed map that rules are matched against."""
+    """file, position, at, text, kind, fact (all facts by name) and ``facts``, the typed map of them that rules are matched against."""
     text, flat, kind = F.col("text"), F.col("flat"), F.col("kind")
-    default = F.regexp_extract(flat, r" default (.*)$", 1)
     # A default is a function or a literal only if that, casts aside, is all of it.
     rest = r'(?: ?:: ?[\w ."]+(?: ?\(\))?(?: ?\[\d*\])*)*(?: (?:not null|null|primary key|unique|check|references|constraint|collate|generated)\b.*)?$'
-    called = F.regexp_extract(default, r'^(?:"?\w+"? ?\. ?)*"?(\w+)"? ?\(\)' + rest, 1)
+    default, called = F.col("default"), F.regexp_extract("default", r'^(?:"?\w+"? ?\. ?)*"?(\w+)"? ?\(\)' + rest, 1)
     volatility = (
-        F.when(default == "", "none")
-        .when(called.isin(*VOLATILE), "volatile")
+        F.when(called.isin(*VOLATILE), "volatile")
         .when(called.isin(*STABLE), "stable")
         .when(called.isin(*IMMUTABLE), "immutable")
         .when(default.rlike(rf"^(?:(?:(?:date|time|timestamp|timestamptz|interval) )?{STRING}|[-+]?\d[\d.]*(?:e[-+]?\d+)?|true|false|null)" + rest), "literal")
         .otherwise("unknown-function")
     )
-    using = F.nullif(F.regexp_extract(flat, rf"using index ({NAME})", 1), F.lit(""))
     settings = kind.isin("SetGuc", "AlterSystem", "AlterDatabaseSet", "AlterRoleSet")
-    disarms = settings & flat.rlike(r'\b(?:set|reset) (?:local |session )?"?(?:lock_timeout|statement_timeout|all)\b')
-    atomic = flat.rlike(r"\bbegin atomic\b")
-    inspected = F.col("body").isNotNull() | ((kind == "CreateFunction") & atomic & F.col("language").isin("plpgsql", "sql"))
-    concurrently = kind.isin("CreateIndex", "DropIndex", "Reindex") & (flat.rlike(r"\bconcurrently\b") | ((kind == "Reindex") & text.rlike(r"^reindex ?\([^()]*\bconcurrently\b")))
-    proves = rf"\bcheck ?\( ?\(? ?({NAME}) is not null ?\)? ?\)"
-    found = F.create_map(
-        *[F.lit("statementKind"), typed(kind, "s")],
-        *[F.lit("hasWhereClause"), typed(F.regexp_replace(flat, '"[^"]*"', '""').rlike(r"\bwhere\b"), "b")],
-        *[F.lit("concurrently"), typed(concurrently, "b")],
-        *[F.lit("transactionHostile"), typed(concurrently | kind.isin("Vacuum", "AlterSystem", "CreateDatabase"), "b")],
-        *[F.lit("notValid"), typed(kind.isin("AddCheckConstraint", "AddForeignKey") & flat.rlike(r"\bnot valid$"), "b")],
-        *[F.lit("usingIndexName"), typed(using, "s")],
-        *[F.lit("defaultVolatility"), typed(F.when(kind == "AddColumn", volatility).otherwise("none"), "s")],
-        *[F.lit("bodyInspected"), typed(inspected, "b")],
-        *[F.lit("dynamicSqlUnresolved"), typed(kind == "ExecuteDynamic", "b")],
-        *[F.lit("nestingLimitExceeded"), typed(F.col("beyond"), "b")],
-        *[F.lit("disarmsTimeout"), typed(disarms, "b")],
-        *[F.lit("checkProvesNotNull"), typed((kind == "AddCheckConstraint") & text.rlike(proves), "b")],
-    )
-    bare = lambda c: F.replace(F.regexp_extract(c, rf"({NAME})$", 1), F.lit('"'), F.lit(""))
-    last = lambda c: F.nullif(F.element_at(F.split(bare(c), r"\s*\.\s*"), -1), F.lit(""))
-    on = F.coalesce(*[F.nullif(F.regexp_extract(flat, p, 1), F.lit("")) for p in (rf"^alter table (?:if exists )?(?:only )?({NAME}) ", rf"^create .*? on (?:only )?({NAME})")])
-    return rows.select(
-        "file",
-        "position",
-        "text",
-        found.alias("facts"),
-        "kind",
-        last(on).alias("on_table"),
-        last(F.regexp_extract(flat, rf"(?:add|validate) constraint ({NAME})", 1)).alias("constraint_name"),
-        F.when(kind == "CreateIndex", last(F.regexp_extract(flat, rf"index (?:concurrently )?(?:if not exists )?({NAME}) on ", 1))).alias("index_name"),
-        last(using).alias("using_index"),
-        last(F.coalesce(F.nullif(F.regexp_extract(text, proves, 1), F.lit("")), F.regexp_extract(flat, rf"alter (?:column )?({NAME}) set not null", 1))).alias("column_name"),
+    atomic = flat.rlike(r"\bbegin atomic\b") & F.col("language").isin("plpgsql", "sql")
+    concurrently = flat.rlike(r"\bconcurrently\b") | ((kind == "Reindex") & text.rlike(r"^reindex ?\([^()]*\bconcurrently\b"))
+    proves = rf"\bcheck ?\( ?\(? ?({PART}) is not null ?\)? ?\)"
+    added = kind.isin("AddUniqueConstraint", "AddCheckConstraint", "AddForeignKey", "DropConstraint", "ValidateConstraint")
+    rows = _computed(
+        rows,
+        default=F.when(kind == "AddColumn", F.nullif(F.regexp_extract(flat, r" default (.*)$", 1), F.lit(""))),
+        path=F.split(_of_kind(_OBJECTS), r"\s*\.\s*"),
+        target=F.coalesce(_of_kind(_COLUMNS), F.when(kind == "AddCheckConstraint", F.nullif(F.regexp_extract(text, proves, 1), F.lit("")))),
+        constraint=F.when(added, F.regexp_extract(flat, rf" (?:add|drop|validate) constraint (?:if exists )?({PART})", 1)),
+        built=F.when(kind == "CreateIndex", F.regexp_extract(flat, rf"index (?:concurrently )?(?:if not exists )?({PART}) on ", 1)),
+        using=F.when(kind == "AddUniqueConstraint", F.regexp_extract(flat, rf"using index ({PART})", 1)),
+        alone=kind.isin("CreateIndex", "DropIndex", "Reindex") & concurrently,
     )
+    last, before = F.element_at("path", -1), F.try_element_at("path", F.lit(-2))
+    named = {
+        "statementKind": kind,
+        "schema": _named(F.when(kind == "DropSchema", last).when(~kind.isin("DropDatabase", "Vacuum"), before)),
+        "table": _named(F.when(~kind.isin("DropSchema", "DropIndex"), last)),
+        "column": _named(F.col("target")),
+        "constraintName": _named(F.col("constraint")),
+        "indexName": _named(F.when(kind == "DropIndex", last).otherwise(F.col("built"))),
+        "usingIndexName": _named(F.col("using")),
+        "concurrently": F.col("alone"),
+        "notValid": kind.isin("AddCheckConstraint", "AddForeignKey") & flat.rlike(r"\bnot valid$"),
+        "checkProvesNotNull": (kind == "AddCheckConstraint") & F.col("target").isNotNull(),
+        "defaultVolatility": F.when(default.isNull(), "none").otherwise(volatility),
+        "hasWhereClause": kind.isin("Delete", "Update") & F.regexp_replace(flat, '"[^"]*"', '""').rlike(r"\bwhere\b"),
+        "dynamicSqlUnresolved": kind == "ExecuteDynamic",
+        "sourceContext": F.col("context"),
+        "nestingDepth": F.col("depth"),
+        "nestingLimitExceeded": F.col("beyond"),
+        "bodyInspected": F.col("body").isNotNull() | ((kind == "CreateFunction") & F.coalesce(atomic, F.lit(False))),
+        "transactionHostile": F.col("alone") | kind.isin("Vacuum", "AlterSystem", "CreateDatabase"),
+        "disarmsTimeout": settings & flat.rlike(r'\b(?:set|reset) (?:local |session )?"?(?:lock_timeout|statement_timeout|all)\b'),
+    }
+    told = _computed(rows, fact=F.struct(*[c.alias(f) for f, c in named.items()]))
+    kinds = {f.name: {"boolean": "b", "int": "i"}.get(f.dataType.simpleString(), "s") for f in told.schema["fact"].dataType}
+    typed_facts = F.create_map(*[x for f in named for x in (F.lit(f), typed(F.col(f"fact.{f}"), kinds[f]))])
+    return told.select("file", "position", "at", "text", "kind", "fact", typed_facts.alias("facts"))
 
 
 #: Kinds whose data loss no pairing lowers (deletes and updates only without a condition).
@@ -275,51 +407,94 @@ def pairs(rows: DataFrame) -> DataFrame:
     concurrently and the next constraint that uses it; a validated check that a column is not null and
     the next SET NOT NULL of that column, of which only the latter gains.
     """
-    held = lambda name: F.element_at("facts", F.lit(name)) == "b:true"
-    added = rows.where(held("notValid") & F.col("constraint_name").isNotNull()).select("file", "on_table", "constraint_name", "position", "column_name", "kind")
-    valid = rows.where("kind = 'ValidateConstraint'").select("file", "on_table", "constraint_name", "position")
-    first = first_later(added, valid, ["file", "on_table", "constraint_name"], "position")
-    built = rows.where((F.col("kind") == "CreateIndex") & held("concurrently") & F.col("index_name").isNotNull()).select("file", "index_name", "position")
-    used = rows.where("kind = 'AddUniqueConstraint' AND using_index IS NOT NULL").select("file", F.col("using_index").alias("index_name"), "position")
-    second = first_later(built, used, ["file", "index_name"], "position")
-    proven = first.where("kind = 'AddCheckConstraint' AND column_name IS NOT NULL").select("file", "on_table", "column_name", "position")
-    third = first_later(proven, rows.where("kind = 'SetNotNull'").select("file", "on_table", "column_name", "position"), ["file", "on_table", "column_name"], "position")
+    told = rows.select("file", "position", "kind", *(F.col(f"fact.{f}").alias(f) for f in ("table", "column", "constraintName", "indexName", "usingIndexName", "concurrently", "notValid")))
+    keys = ["file", "pass", "owner", "name"]
+    own = lambda number, owner, name: [F.lit(number).alias("pass"), owner.alias("owner"), name.alias("name")]
+    table, constraint, none = F.col("table"), F.col("constraintName"), F.lit("")
+    added = told.where(F.col("notValid") & constraint.isNotNull()).select("file", *own(1, table, constraint), "position", F.when(F.col("kind") == "AddCheckConstraint", F.col("column")).alias("column"))
+    built = told.where((F.col("kind") == "CreateIndex") & F.col("concurrently") & F.col("indexName").isNotNull()).select("file", *own(2, none, F.col("indexName")), "position", F.lit(None).cast("string").alias("column"))
+    valid = told.where("kind = 'ValidateConstraint'").select("file", *own(1, table, constraint), "position")
+    used = told.where("kind = 'AddUniqueConstraint' AND usingIndexName IS NOT NULL").select("file", *own(2, none, F.col("usingIndexName")), "position")
+    met = first_later(added.unionByName(built), valid.unionByName(used), keys, "position")
+    proven = met.where("column IS NOT NULL").select("file", "owner", "column", "position")
+    third = first_later(proven, told.where("kind = 'SetNotNull'").select("file", table.alias("owner"), "column", "position"), ["file", "owner", "column"], "position")
+    rule = F.when(F.col("pass") == 1, "pair-not-valid-validated").otherwise("pair-concurrent-index-unique").alias("rule_id")
+    sides = F.explode(F.array(F.struct("position", F.col("later_position").alias("partner")), F.struct(F.col("later_position").alias("position"), F.col("position").alias("partner")))).alias("x")
+    both = met.select("file", "pass", rule, sides).select("file", "x.position", "x.partner", "pass", "rule_id")
+    gained = third.select("file", F.col("later_position").alias("position"), F.col("position").alias("partner"), F.lit(3).alias("pass"), F.lit("pair-validated-check-set-not-null").alias("rule_id"))
+    return both.unionByName(gained)
+
+
+def _examined(scripts: DataFrame) -> DataFrame:
+    """Facts of all statements, written once; a script without statements has one row of its own."""
+    told = facts(statement_rows(scripts))
+    blank = cleaned(F.coalesce(F.col("sql"), F.lit(""))).rlike("^[; ]*$")
+    empty = scripts.where(blank).select("file", F.array(F.lit(0)).alias("position"), F.array(F.lit(0)).alias("at"), F.lit("").alias("text"), F.lit("").alias("flat"), F.lit("EmptyInput").alias("kind"))
+    empty = empty.withColumns({"language": F.lit(None).cast("string"), "body": F.lit(None).cast("string"), "context": F.lit("top-level"), "depth": F.lit(0), "beyond": F.lit(False)})
+    return written(told.unionByName(facts(empty)), "facts")
+
+
+def findings(scripts: DataFrame, rules: DataFrame) -> DataFrame:
+    """file, position, verdict, rule_ids, paired_with, rationales, at, fact of every statement; an empty script has one finding of its own.
 
-    def gained(df: DataFrame, mine: str, other: str, number: int, rule: str) -> DataFrame:
-        return df.select("file", F.col(mine).alias("position"), F.col(other).alias("partner"), F.lit(number).alias("pass"), F.lit(rule).alias("rule_id"))
+    paired_with is the partner's number in its script. The facts are read four times, so they are written to the
+    shared folder once. Scripts are taken as they are: parse faults (see ``parse_faults``) are their caller's to leave out.
+    """
+    told = _examined(scripts)
+    floor = F.col("kind").isin(*FLOOR) | (F.col("kind").isin("Delete", "Update") & ~F.col("fact.hasWhereClause"))
+    plain = classify(told.withColumn("floor", floor), rules, ["file", "position", "at", "fact", "floor"])
+    numbered = told.select("file", F.col("position").alias("partner"), F.col("at")[0].alias("number"))
+    met = pairs(told).join(numbered, ["file", "partner"]).join(F.broadcast(rules.select("rule_id", "rationale")), "rule_id", "left")
+    return apply_pairings(plain, met)
 
-    out = gained(third, "later_position", "position", 3, "pair-validated-check-set-not-null")
-    for df, number, rule in ((first, 1, "pair-not-valid-validated"), (second, 2, "pair-concurrent-index-unique")):
-        out = out.unionByName(gained(df, "position", "later_position", number, rule)).unionByName(gained(df, "later_position", "position", number, rule))
-    return out
 
+def parse_faults(scripts: DataFrame) -> DataFrame:
+    """file, at_character (from 1), reason of scripts that cannot be SQL, the first fault of each."""
+    return _judged(scripts).where("fault IS NOT NULL").select("file", "fault.*")
 
-def findings(scripts: DataFrame, rules: DataFrame) -> DataFrame:
-    """file, position, verdict, rule_ids, paired_with of every statement; an empty script has one finding of its own.
 
-    The facts are read five times, so they are cached (a lost block is computed again); the caller releases
-    them with ``spark.catalog.clearCache()`` when it has used the result.
+def analysis(scripts: DataFrame, rules: DataFrame) -> DataFrame:
+    """file, verdict, statement_count, parse_error, findings: everything that is known of each script, in order.
+
+    A finding has statementIndex, nestedPath (empty for a statement that stands alone, else its number, those in the bodies that
+    hold it, and that of the action or object), verdict, ruleIds and rationales in step, facts and pairedWith.
+    A script with a parse fault has no verdict and no findings, only parse_error.
     """
-    levels: list[DataFrame] = []
-    told = facts(statement_rows(scripts, levels)).cache()
-    told.count()
-    for df in levels:
-        df.unpersist()
-    rows = told.select("file", "position", "text", "facts")
-    empty = scripts.join(rows.select("file").distinct(), "file", "left_anti").select("file", F.array(F.lit(0)).alias("position"), F.lit("").alias("text"), F.create_map(F.lit("statementKind"), F.lit("s:EmptyInput")).alias("facts"))
-    all_rows = rows.unionByName(empty).withColumn("finding", F.struct("file", "position"))
-    found = classify(all_rows, rules, "finding")
-    scoped = F.element_at("facts", F.lit("hasWhereClause")) == "b:true"
-    floor = told.select("file", "position", (F.col("kind").isin(*FLOOR) | F.col("kind").isin("Delete", "Update") & ~scoped).alias("floor"))
-    plain = found.select("finding.file", "finding.position", "verdict", "rule_ids").join(floor, ["file", "position"], "left")
-    return apply_pairings(plain.withColumn("floor", F.coalesce("floor", F.lit(False))), pairs(told))
+    judged = _judged(scripts)
+    found = findings(judged.where("fault IS NULL").select("file", "sql"), rules)
+    one = F.struct(
+        F.col("at")[0].alias("statementIndex"),
+        F.when(F.size("at") > 1, F.col("at")).otherwise(F.array().cast("array<int>")).alias("nestedPath"),
+        "verdict",
+        F.col("rule_ids").alias("ruleIds"),
+        "rationales",
+        F.col("fact").alias("facts"),
+        F.col("paired_with").alias("pairedWith"),
+    )
+    per_file = found.groupBy("file").agg(
+        F.max_by("verdict", severity(F.col("verdict"))).alias("verdict"),
+        F.count_distinct(F.when(F.col("fact.statementKind") != "EmptyInput", F.col("at")[0])).alias("statement_count"),
+        F.array_sort(F.collect_list(F.struct("position", one.alias("one"))))["one"].alias("findings"),
+    )
+    faulty = judged.where("fault IS NOT NULL").select("file", F.concat("fault.reason", F.lit(" (at character "), F.col("fault.at_character").cast("string"), F.lit(")")).alias("parse_error"))
+    return per_file.withColumn("parse_error", F.lit(None).cast("string")).unionByName(faulty, allowMissingColumns=True).select("file", "verdict", "statement_count", "parse_error", "findings")
 
 
 def verdicts(scripts: DataFrame, rules: DataFrame) -> DataFrame:
-    """file, verdict, rule_ids (distinct, sorted, joined by commas): the worst finding of each script."""
-    found = findings(scripts, rules)
+    """file, verdict, rule_ids (distinct, sorted, joined by commas): the worst finding of each script, or PARSE_ERROR."""
+    judged = _judged(scripts)
+    found = findings(judged.where("fault IS NULL").select("file", "sql"), rules)
     ids = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_ids")))), ",")
-    return found.groupBy("file").agg(F.max_by("verdict", severity(F.col("verdict"))).alias("verdict"), ids.alias("rule_ids"))
+    worst = found.groupBy("file").agg(F.max_by("verdict", severity(F.col("verdict"))).alias("verdict"), ids.alias("rule_ids"))
+    return worst.unionByName(judged.where("fault IS NOT NULL").select("file", F.lit("PARSE_ERROR").alias("verdict"), F.lit("").alias("rule_ids")))
+
+
+def nested(levels: int) -> str:
+    """DO blocks in one another."""
+    text = "NULL"
+    for k in range(levels):
+        text = f"DO $l{k}$ BEGIN {text}; END $l{k}$"
+    return text + ";"
 
 
 #: Our own scripts of the shapes that matter, and what each must give.
@@ -363,7 +538,11 @@ _GOLDEN: list[tuple[str, str, str, str]] = [
     ("hidden-by-escape", "COMMENT ON TABLE t IS E'it\\'; DROP TABLE x; COMMENT ON TABLE t IS '\\''; DROP TABLE y;", "BLOCKED", "comment-on,drop-table"),
     ("escape-inert", "COMMENT ON TABLE t IS E'it\\'; DROP TABLE x; --';", "SAFE", "comment-on"),
     ("nested-comment", "/* a /* b */ DROP TABLE x; */ CREATE TABLE t (a int);", "SAFE", "create-table"),
-    ("open-quote", "CREATE TABLE t (a text DEFAULT 'x);", "REVIEW_REQUIRED", ""),
+    ("open-quote", "CREATE TABLE t (a text DEFAULT 'x);", "PARSE_ERROR", ""),
+    ("open-dollars", "DO $a$ BEGIN NULL; END $b$;", "PARSE_ERROR", ""),
+    ("open-parentheses", "CREATE TABLE (((;", "PARSE_ERROR", ""),
+    ("no-command", "CREATE TABLE t (a int); SELEC 1;", "PARSE_ERROR", ""),
+    ("enum-value", "ALTER TYPE mood DROP VALUE 'sad';", "PARSE_ERROR", ""),
     ("dollar-inert", "INSERT INTO t VALUES ($a$DROP TABLE t$a$);", "REVIEW_REQUIRED", ""),
     ("where-in-subquery", "UPDATE t SET a = (SELECT b FROM u WHERE u.id = 1);", "BLOCKED", "update-without-where"),
     ("where-as-name", 'UPDATE t SET "where" = 1;', "BLOCKED", "update-without-where"),
@@ -378,7 +557,7 @@ _GOLDEN: list[tuple[str, str, str, str]] = [
     ("body-lock", "DO $$ BEGIN LOCK TABLE t; CALL p(); END $$;", "REVIEW_REQUIRED", "do-block-container"),
     ("body-select", "CREATE FUNCTION f() RETURNS int AS $$ SELECT 1 $$ LANGUAGE sql;", "REVIEW_REQUIRED", "create-function-container"),
     ("body-in-body", "DO $a$ BEGIN CREATE FUNCTION f() RETURNS void AS $b$ BEGIN DROP TABLE t; END $b$ LANGUAGE plpgsql; END $a$;", "BLOCKED", "create-function-container,do-block-container,drop-table"),
-    ("body-too-deep", "DO $a$ BEGIN DO $b$ BEGIN DO $c$ BEGIN NULL; END $c$; END $b$; END $a$;", "BLOCKED", "do-block-container,nesting-depth-exceeded"),
+    ("bodies-in-bodies", nested(3), "SAFE", "do-block-container"),
     ("case-in-body", "DO $$ BEGIN UPDATE t SET a = CASE WHEN b THEN 1 ELSE 2 END WHERE c = 1; END $$;", "REVIEW_REQUIRED", "do-block-container"),
     ("action-unknown", "ALTER TABLE t ADD COLUMN x numeric(10,2) DEFAULT 0, ENABLE ROW LEVEL SECURITY;", "REVIEW_REQUIRED", "add-column-nonvolatile-default"),
     ("create-as", "CREATE TABLE t AS SELECT 1;", "REVIEW_REQUIRED", ""),
@@ -388,4 +567,5 @@ _GOLDEN: list[tuple[str, str, str, str]] = [
     ("set-before-check", "ALTER TABLE t ALTER COLUMN a SET NOT NULL; ALTER TABLE t ADD CONSTRAINT c CHECK (a IS NOT NULL) NOT VALID;", "REVIEW_REQUIRED", "add-check-constraint-not-valid,set-not-null"),
 ]
 EXAMPLES = [(file, sql) for file, sql, _, _ in _GOLDEN]
-GOLDEN_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{v}', '{r}')" for f, _, v, r in _GOLDEN) + ") t(file, verdict, rule_ids)"
+#: number, file, verdict, rule_ids of the examples, as SQL values.
+GOLDEN_SQL = "(VALUES " + ", ".join(f"({k}, '{f}', '{v}', '{r}')" for k, (f, _, v, r) in enumerate(_GOLDEN)) + ") g(k, shape, verdict, rule_ids)"

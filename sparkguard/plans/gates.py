@@ -32,14 +32,22 @@ def generated_script_verdicts(spark, sf_dir):
     return statements.verdicts(scripts, rules.rule_table(spark)).select(F.col("file").alias("o_orderkey"), "verdict")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS faults, CAST(1 AS BIGINT) AS faults_without_drop_table, CAST(17 AS BIGINT) AS faults_of_a_catch_all")
+@query("SELECT CAST(0 AS BIGINT) AS faults, CAST(1 AS BIGINT) AS faults_without_drop_table, CAST(17 AS BIGINT) AS faults_of_a_catch_all, count(*) AS invalid_rules FROM part WHERE p_size % 5 = 0 OR p_partkey % 7 = 1 OR p_partkey % 11 = 2")
 def guarded_catalogue(spark, sf_dir):
+    """Faults of the catalogue, of weakened ones, and invalid rules among one for each part."""
     fit = rules.rule_table(spark)
     weak = fit.where("rule_id <> 'drop-table'")
     kinds = F.create_map(F.lit("nestingLimitExceeded"), F.array(F.lit("b:false")), F.lit("defaultVolatility"), F.array(*[F.lit(f"s:{v}") for v in ("none", "literal", "immutable", "stable", "volatile", "unknown-function")]))
     wide = fit.unionByName(spark.range(1).select(F.lit("anything").alias("rule_id"), F.lit("usually-safe").alias("category"), kinds.alias("match"), F.lit("BLOCKED").alias("verdict"), F.lit(" ").alias("rationale")))
+    key, none = F.col("p_partkey"), F.create_map().cast("map<string,array<string>>")
+    one = F.create_map(F.lit("table"), F.array(F.concat(F.lit("s:"), "p_name")))
+    made = table(spark, sf_dir, "part").select(key.cast("string").alias("rule_id"), F.lit("compatibility").alias("category"), F.when(F.col("p_size") % 5 == 0, none).otherwise(one).alias("match"), F.when(key % 7 == 1, "MAYBE").otherwise("SAFE").alias("verdict"), F.when(key % 11 == 2, " ").otherwise(F.col("p_type")).alias("rationale"))
     counted = [rules.catalogue_faults(c).agg(F.count(F.lit(1)).alias(n)) for c, n in ((fit, "faults"), (weak, "faults_without_drop_table"), (wide, "faults_of_a_catch_all"))]
-    return counted[0].join(F.broadcast(counted[1]), F.lit(True)).join(F.broadcast(counted[2]), F.lit(True))
+    counted.append(rules.invalid_rules(made).agg(F.count(F.lit(1)).alias("invalid_rules")))
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.join(F.broadcast(c), F.lit(True))
+    return out
 
 
 @query(
@@ -247,3 +255,84 @@ def payload_faults(spark, sf_dir):
     bypass = F.when(key % 4 == 0, None).when(key % 4 == 1, "[1]").otherwise("[]")
     rows = table(spark, sf_dir, "orders").select(key.cast("string").alias("name"), F.when(F.col("o_orderstatus") == "F", "disabled").otherwise("active").alias("enforcement"), contexts.alias("contexts"), F.array(F.lit("update")).alias("rules"), F.parse_json(bypass).alias("bypass_actors"))
     return history.payload_faults(rows).select(F.col("name").cast("long").alias("o_orderkey"), F.array_join("faults", "; ").alias("faults"))
+
+
+#: Location, length and fault of the shapes of ``_SPLIT``, whose numbers stand for {0}.
+_SPLIT = [
+    "-- first\nCREATE TABLE t{0} (a int);\nALTER TABLE t{0} ADD COLUMN c text DEFAULT ';';\n-- a comment; between\nCREATE INDEX CONCURRENTLY i ON t{0} (c)",
+    "  ;; /* nothing; */ ;",
+    "CREATE FUNCTION f{0}() RETURNS void LANGUAGE sql BEGIN ATOMIC DELETE FROM t; DELETE FROM u; END; DO $x$ BEGIN NULL; END $x$;",
+]
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, length(CAST(o_orderkey AS VARCHAR)) AS n, o_orderkey % 3 AS m FROM orders),
+    p AS (SELECT o_orderkey, 0 AS i, 9 AS l, 'CREATE TABLE t' || k || ' (a int)' AS text FROM s WHERE m = 0
+      UNION ALL SELECT o_orderkey, 1, 33 + n, 'ALTER TABLE t' || k || ' ADD COLUMN c text DEFAULT ' || chr(39) || ';' || chr(39) FROM s WHERE m = 0
+      UNION ALL SELECT o_orderkey, 2, 100 + 2 * n, 'CREATE INDEX CONCURRENTLY i ON t' || k || ' (c)' FROM s WHERE m = 0
+      UNION ALL SELECT o_orderkey, 0, 0, 'CREATE FUNCTION f' || k || '() RETURNS void LANGUAGE sql BEGIN ATOMIC DELETE FROM t; DELETE FROM u; END' FROM s WHERE m = 2
+      UNION ALL SELECT o_orderkey, 1, 94 + n, 'DO $x$ BEGIN NULL; END $x$' FROM s WHERE m = 2)
+    SELECT o_orderkey AS file, i AS statement_index, CAST(l AS INTEGER) AS location, CAST(length(text) AS INTEGER) AS length, text FROM p"""
+)
+def statement_spans(spark, sf_dir):
+    sql = F.replace(F.element_at(F.array(*map(F.lit, _SPLIT)), (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit("{0}"), F.col("o_orderkey").cast("string"))
+    return statements.split_statements(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), sql.alias("sql")))
+
+
+#: Shapes that cannot be SQL, where and why ({0} is a number of n digits); the last one can.
+_FAULTY = [
+    ("CREATE TABLE t{0} (a text DEFAULT 'x);", "32 + n", "open quote or comment"),
+    ("/* {0} */ CREATE TABLE (((;", "23 + n", "parentheses do not match"),
+    ("CREATE TABLE t{0} (a int); SELEC 1;", "25 + n", "no command"),
+    ("COMMENT ON TABLE t{0} IS '('; /* open", "28 + n", "open quote or comment"),
+    ("ALTER TYPE m{0} DROP VALUE 'sad';", "1", "values of a type cannot be dropped"),
+    ("DO $a$ BEGIN NULL; END $a{0}$;", "4", "open quote or comment"),
+    ("SELECT '(', $${0} ' ($$;", None, None),
+]
+
+
+@query("SELECT o_orderkey AS file, CAST(at_character AS INTEGER) AS at_character, reason FROM (" + " UNION ALL ".join(f"SELECT o_orderkey, {at} AS at_character, '{why}' AS reason FROM (SELECT o_orderkey, length(CAST(o_orderkey AS VARCHAR)) AS n FROM orders WHERE o_orderkey % {len(_FAULTY)} = {k})" for k, (_, at, why) in enumerate(_FAULTY) if why) + ")")
+def script_parse_faults(spark, sf_dir):
+    sql = F.replace(F.element_at(F.array(*[F.lit(t) for t, _, _ in _FAULTY]), (F.col("o_orderkey") % len(_FAULTY) + 1).cast("int")), F.lit("{0}"), F.col("o_orderkey").cast("string"))
+    return statements.parse_faults(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), sql.alias("sql")))
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, 't' || p_partkey AS t FROM part)
+    SELECT p_partkey AS file, 'BLOCKED' AS verdict, CAST(3 AS BIGINT) AS statement_count, '0::AddForeignKey:' || t || '::fk:SAFE:add-foreign-key-not-valid,pair-not-valid-validated:2 1.0::AddColumn:' || t || ':c::SAFE:add-column-nullable-no-default: 1.1::DropColumn:' || t || ':Old Name::BLOCKED:drop-column: 2::ValidateConstraint:' || t || '::fk:SAFE:pair-not-valid-validated,validate-constraint:0' AS findings FROM n WHERE p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, 'BLOCKED', 1, '0::DoBlock::::SAFE:do-block-container: 0.0:do-block:DropTable:' || t || ':::BLOCKED:drop-table: 0.1:do-block:ExecuteDynamic::::BLOCKED:unresolvable-dynamic-sql:' FROM n WHERE p_partkey % 2 = 1"""
+)
+def script_analysis(spark, sf_dir):
+    """Statement, path, context, kind, names, verdict, rules and partner of every finding of each part's script."""
+    shapes = [
+        'ALTER TABLE s.t{0} ADD CONSTRAINT fk FOREIGN KEY (a) REFERENCES b (id) NOT VALID; ALTER TABLE s.t{0} ADD COLUMN c int, DROP COLUMN "Old Name"; ALTER TABLE s.t{0} VALIDATE CONSTRAINT fk;',
+        "DO $x$ DECLARE n int; BEGIN IF n > 1 THEN DROP TABLE s.t{0}; END IF; EXECUTE 'x' || n; END $x$;",
+    ]
+    sql = F.replace(F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % 2 + 1).cast("int")), F.lit("{0}"), F.col("p_partkey").cast("string"))
+    found = statements.analysis(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), sql.alias("sql")), rules.rule_table(spark))
+    at = lambda x: F.when(F.size(x["nestedPath"]) > 0, F.array_join(x["nestedPath"].cast("array<string>"), ".")).otherwise(x["statementIndex"].cast("string"))
+    context = lambda x: F.when(x["facts"]["sourceContext"] != "top-level", x["facts"]["sourceContext"]).otherwise("")
+    names = ("table", "column", "constraintName")
+    one = lambda x: F.concat_ws(":", at(x), context(x), x["facts"]["statementKind"], *[F.coalesce(x["facts"][f], F.lit("")) for f in names], x["verdict"], F.array_join(x["ruleIds"], ","), F.coalesce(x["pairedWith"].cast("string"), F.lit("")))
+    return found.select("file", "verdict", "statement_count", F.array_join(F.transform("findings", one), " ").alias("findings"))
+
+
+_RANGED = ("customer", "orders", "events", "documents")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count, md5(coalesce(string_agg(hash, chr(30) ORDER BY r), '')) AS content_md5 FROM (
+        SELECT r, sum(n) AS n, md5(string_agg(line || chr(31) || n, chr(30) ORDER BY line || chr(31) || n)) AS hash FROM (SELECT line, substr(md5(line), 1, 2) AS r, count(*) AS n FROM (SELECT concat_ws(chr(31), {", ".join(_COLUMNS[t])}) AS line FROM {t}) GROUP BY 1, 2) GROUP BY r)"""
+        for t in _RANGED
+    )
+)
+def content_hash_ranged(spark, sf_dir):
+    parts = []
+    for t in _RANGED:
+        texts = _texts(spark, sf_dir, t)
+        parts.append(integrity.ranged_hash(texts, [F.col(c) for c in texts.columns]).select(F.lit(t).alias("table_name"), "row_count", "content_md5"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

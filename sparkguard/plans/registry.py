@@ -1,7 +1,7 @@
 """The registered queries of the library itself and the SQL that each is checked against.
 
 The library's operators work on tables of change scripts and backups; here they run over whole driver
-tables of the same shape, or over literal rows.
+tables of the same shape, or over scripts, lines, journals and settings that are made from each of their rows.
 """
 
 from __future__ import annotations
@@ -176,31 +176,41 @@ def chained_pairing(spark, sf_dir):
     return rules.first_later(first, _of_type(spark, sf_dir, "error"), ["user_id"], "event_id")
 
 
+def _by_key(key, choices):
+    """The choice that a key falls on."""
+    return F.element_at(F.array(*choices), (F.col(key) % len(choices) + 1).cast("int"))
+
+
+#: Facts, and the verdict and rules of each.
 _FACTS = [
-    (1, {"statementKind": "s:DropTable"}),
-    (2, {"statementKind": "s:Delete", "hasWhereClause": "b:false"}),
-    (3, {"statementKind": "s:Delete", "hasWhereClause": "b:true"}),
-    (4, {"statementKind": "s:AddColumn", "defaultVolatility": "s:stable"}),
-    (5, {"statementKind": "s:SetGuc", "disarmsTimeout": "b:true"}),
-    (6, {"statementKind": "s:AddUniqueConstraint", "usingIndexName": "n:"}),
-    (7, {"statementKind": "s:AddUniqueConstraint", "usingIndexName": "s:ix"}),
-    (8, {"statementKind": "s:Unrecognized"}),
-    (9, {"statementKind": "s:CreateIndex", "concurrently": "s:true"}),
+    ({"statementKind": "s:DropTable"}, "BLOCKED", "drop-table"),
+    ({"statementKind": "s:Delete", "hasWhereClause": "b:false"}, "BLOCKED", "delete-without-where"),
+    ({"statementKind": "s:Delete", "hasWhereClause": "b:true"}, "REVIEW_REQUIRED", ""),
+    ({"statementKind": "s:AddColumn", "defaultVolatility": "s:stable"}, "SAFE", "add-column-nonvolatile-default"),
+    ({"statementKind": "s:SetGuc", "disarmsTimeout": "b:true"}, "BLOCKED", "disarms-timeout-guc"),
+    ({"statementKind": "s:AddUniqueConstraint", "usingIndexName": "n:"}, "REVIEW_REQUIRED", "add-unique-constraint"),
+    ({"statementKind": "s:AddUniqueConstraint", "usingIndexName": "s:ix"}, "REVIEW_REQUIRED", ""),
+    ({"statementKind": "s:Unrecognized"}, "REVIEW_REQUIRED", ""),
+    ({"statementKind": "s:CreateIndex", "concurrently": "s:true"}, "REVIEW_REQUIRED", ""),
 ]
 
 
-@query(
-    """SELECT * FROM (VALUES (1, 'BLOCKED', 'drop-table'), (2, 'BLOCKED', 'delete-without-where'), (3, 'REVIEW_REQUIRED', ''), (4, 'SAFE', 'add-column-nonvolatile-default'), (5, 'BLOCKED', 'disarms-timeout-guc'),
-      (6, 'REVIEW_REQUIRED', 'add-unique-constraint'), (7, 'REVIEW_REQUIRED', ''), (8, 'REVIEW_REQUIRED', ''), (9, 'REVIEW_REQUIRED', '')) t(finding_id, verdict, rule_ids)"""
-)
+def _fact_map(held, table):
+    """Facts of a row, with the name of its table."""
+    return F.create_map(*[x for k, v in held.items() for x in (F.lit(k), F.lit(v))], F.lit("table"), F.concat(F.lit("s:"), table))
+
+
+@query("SELECT o_orderkey AS finding_id, verdict, rule_ids FROM orders JOIN (VALUES " + ", ".join(f"({k}, '{v}', '{r}')" for k, (_, v, r) in enumerate(_FACTS)) + f") t(k, verdict, rule_ids) ON o_orderkey % {len(_FACTS)} = k")
 def rule_match_theta_join(spark, sf_dir):
-    facts = spark.createDataFrame(_FACTS, "finding_id int, facts map<string,string>")
+    held = _by_key("o_orderkey", [_fact_map(f, F.col("o_orderpriority")) for f, _, _ in _FACTS])
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), held.alias("facts"))
     return rules.classify(facts, rules.rule_table(spark)).select("finding_id", "verdict", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
-@query("SELECT CAST(12 AS BIGINT) AS checked, CAST(0 AS BIGINT) AS not_blocked, CAST(0 AS BIGINT) AS invalid_rules")
+@query("SELECT count(*) AS checked, CAST(0 AS BIGINT) AS not_blocked, CAST(0 AS BIGINT) AS invalid_rules FROM part")
 def floor_self_check(spark, sf_dir):
-    facts = spark.createDataFrame(list(enumerate(rules.FLOOR_FACTS)), "finding_id int, facts map<string,string>")
+    held = _by_key("p_partkey", [_fact_map(f, F.col("p_name")) for f in rules.FLOOR_FACTS])
+    facts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("finding_id"), held.alias("facts"))
     catalogue = rules.rule_table(spark)
     invalid = rules.invalid_rules(catalogue).agg(F.count(F.lit(1)).alias("invalid_rules"))
     found = rules.classify(facts, catalogue).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("verdict") != rules.BLOCKED).alias("not_blocked"))
@@ -216,12 +226,16 @@ def worst_verdict_per_file(spark, sf_dir):
     return rules.worst_verdict(table(spark, sf_dir, "orders").select("o_custkey", verdict.alias("verdict")), "o_custkey")
 
 
-@query("SELECT * FROM (VALUES (1, '1'), (2, '1,0'), (3, '1,2'), (4, '1,10'), (5, '2')) t(position, path)")
+@query(
+    """WITH p AS (SELECT l_suppkey, [l_orderkey] AS path FROM lineitem UNION SELECT l_suppkey, [l_orderkey, l_linenumber] FROM lineitem)
+    SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY path) AS position, array_to_string(path, ',') AS path FROM p"""
+)
 def nested_path_ordering(spark, sf_dir):
-    paths = spark.createDataFrame([([2],), ([1, 10],), ([1],), ([1, 2],), ([1, 0],)], "path array<int>")
     from pyspark.sql import Window
 
-    return paths.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")).alias("position"), F.array_join("path", ",").alias("path"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("n"))
+    paths = lines.select("l_suppkey", F.array("o").alias("path")).union(lines.select("l_suppkey", F.array("o", "n"))).distinct()
+    return paths.select("l_suppkey", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("path")).cast("long").alias("position"), F.array_join("path", ",").alias("path"))
 
 
 @query(
@@ -283,26 +297,34 @@ def carry_forward_scan(spark, sf_dir):
     return lines.select("doc_id", number.alias("line_number"), F.last(F.when(F.col("line").endswith("."), number), True).over(so_far).alias("last_mark"))
 
 
-_LOG = "commit abc123\n+++ b/app/a.txt\n+token = \"q1w2e3\"\n context\n+plain\ncommit def456\n+++ b/b.txt\n+see https://db.internal/x\n-password=gone\n+host 8.8.4.4 up"
-
-
-@query("SELECT * FROM (VALUES (1, 'abc123', 'app/a.txt', 2, 'CREDENTIAL'), (1, 'def456', 'b.txt', 2, 'NON_LOOPBACK_HOST'), (1, 'def456', 'b.txt', 4, 'IP_LITERAL')) t(log_id, sha, path, line_number, class)")
+@query(f"SELECT doc_id AS log_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 10) AS sha, 'docs/' || doc_id || '.txt' AS path, line_number + 1 AS line_number, class FROM ({_CLASSED}) WHERE class IS NOT NULL")
 def history_log_scan(spark, sf_dir):
-    return audit.scan_log(spark.createDataFrame([(1, _LOG)], "log_id int, text string"))
+    """Each document is added in one commit and taken away in the next."""
+    name, sha = F.col("doc_id").cast("string"), lambda c: F.substr(F.md5(c.cast("binary")), F.lit(1), F.lit(10))
+    signed = lambda sign: F.concat(F.lit("\n" + sign), F.replace("text", F.lit("\n"), F.lit("\n" + sign)))
+    head = lambda c: F.concat(F.lit("commit "), sha(c), F.lit("\n+++ b/docs/"), name, F.lit(".txt"))
+    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("log_id"), F.concat(head(name), signed("+"), F.lit("\n"), head(F.concat(name, F.lit("x"))), signed("-")).alias("text"))
+    return audit.scan_log(logs)
 
 
-@query("SELECT * FROM (VALUES (1, 'tag-changed'), (2, 'missing'), (3, 'time-changed'), (5, 'duplicate-index')) t(idx, fault)")
+@query("SELECT o_orderkey AS idx, CASE o_orderkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'tag-changed' WHEN 2 THEN 'time-changed' ELSE 'duplicate-index' END AS fault FROM orders WHERE o_orderkey % 5 < 4")
 def append_only_violations(spark, sf_dir):
-    kind = "idx int, tag string, `when` long"
-    base = spark.createDataFrame([(0, "a", 10), (1, "b", 20), (2, "c", 30), (3, "d", 40)], kind)
-    head = spark.createDataFrame([(3, "d", 41), (0, "a", 10), (1, "x", 20), (5, "f", 60), (5, "g", 61)], kind)
-    return history.append_only_entries(base, head)
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    orders = table(spark, sf_dir, "orders")
+    base = orders.select(key.alias("idx"), F.col("o_orderpriority").alias("tag"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("when"))
+    tag, when = F.when(kind == 1, F.concat("o_orderpriority", F.lit("x"))).otherwise(F.col("o_orderpriority")), F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.when(kind == 2, 1).otherwise(0)
+    head = orders.where(kind > 0).select(key.alias("idx"), tag.alias("tag"), when.alias("when"), F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+    new = base.withColumn("idx", -1 - F.col("idx"))
+    return history.append_only_entries(base, head.unionByName(new))
 
 
-@query("SELECT * FROM (VALUES ('M', 'db/0001.sql'), ('R100', 'db/0002_new.sql'), ('D', 'db/0003.sql')) t(status, path)")
+@query("SELECT ['M', 'A', 'R100', 'D'][doc_id % 4 + 1] AS status, CASE WHEN doc_id % 3 = 0 THEN 'db/' ELSE 'db/new' END || doc_id || '.sql' AS path FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 7 <> 0")
 def append_only_files(spark, sf_dir):
-    lines = [("M\tdb/0001.sql",), ("A\tdb/0009.sql",), ("R100\tdb/0002.sql\tdb/0002_new.sql",), ("M\tdb/meta/_journal.json",), ("M\tsrc/x.ts",), ("D\tdb/0003.sql",), ("",)]
-    return history.append_only_files(history.name_status(spark.createDataFrame(lines, "line string")), "db/", "db/meta/_journal.json")
+    key, name = F.col("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".sql"))
+    to = F.concat(F.when(key % 3 == 0, "db/").otherwise("db/new"), name)
+    line = F.concat(_by_key("doc_id", [F.lit("M\t"), F.lit("A\t"), F.concat(F.lit("R100\tdb/old"), name, F.lit("\t")), F.lit("D\t")]), F.when(key % 7 == 0, F.when(key % 2 == 0, "src/x.ts").otherwise("db/meta/_journal.json")).otherwise(to))
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.array(line, F.lit(""))).alias("line"))
+    return history.append_only_files(history.name_status(lines), "db/", "db/meta/_journal.json")
 
 
 @query("SELECT o_custkey, o_orderdate, count(*) AS occurrences FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1")
@@ -318,13 +340,16 @@ def set_equality_both_ways(spark, sf_dir):
     return history.set_difference(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query("SELECT * FROM (VALUES ('absent', 'bypass list absent'), ('null', 'not active; bypass list null'), ('text', 'bypass list not-a-list'), ('full', 'missing rules: deletion; missing contexts: lint; bypass list not-empty'), ('fine', '')) t(name, failures)")
+@query(
+    """SELECT c_name AS name, concat_ws('; ', CASE WHEN c_custkey % 5 = 1 THEN 'not active' END, CASE WHEN c_custkey % 7 = 3 THEN 'missing rules: deletion' END, CASE WHEN c_custkey % 11 = 4 THEN 'missing contexts: lint' END,
+      CASE c_custkey % 5 WHEN 0 THEN 'bypass list absent' WHEN 1 THEN 'bypass list null' WHEN 2 THEN 'bypass list not-a-list' WHEN 3 THEN 'bypass list not-empty' END) AS failures FROM customer"""
+)
 def ruleset_failures(spark, sf_dir):
-    rows = [("absent", "active", 1, 1, None), ("null", "disabled", 1, 1, "null"), ("text", "active", 1, 1, '"x"'), ("full", "active", 0, 0, "[1]"), ("fine", "active", 1, 1, "[]")]
-    df = spark.createDataFrame(rows, "name string, enforcement string, t int, c int, b string")
-    types = F.when(F.col("t") == 1, F.array(F.lit("deletion"), F.lit("update"))).otherwise(F.array(F.lit("update")))
-    contexts = F.when(F.col("c") == 1, F.array(F.lit("lint"))).otherwise(F.array().cast("array<string>"))
-    live = df.select("name", "enforcement", types.alias("rule_types"), contexts.alias("contexts"), F.parse_json("b").alias("bypass_actors"))
+    key = F.col("c_custkey")
+    types = F.when(key % 7 == 3, F.array(F.lit("update"))).otherwise(F.array(F.lit("deletion"), F.lit("update")))
+    contexts = F.when(key % 11 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("lint")))
+    bypass = _by_key("c_custkey", [F.lit(None).cast("string"), F.lit("null"), F.lit('"x"'), F.lit("[1]"), F.lit("[]")])
+    live = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.when(key % 5 == 1, "disabled").otherwise("active").alias("enforcement"), types.alias("rule_types"), contexts.alias("contexts"), F.parse_json(bypass).alias("bypass_actors"))
     return history.ruleset_failures(live, ["deletion", "update"], ["lint"]).select("name", F.array_join("failures", "; ").alias("failures"))
 
 
@@ -351,10 +376,13 @@ def scaled_quantities(spark, sf_dir):
     return both.select("l_orderkey", "l_linenumber", nested.half_step(scaled).alias("scaled"))
 
 
-@query("SELECT * FROM (VALUES (1, '200 g'), (2, '2'), (3, '1 clove'), (4, '2.5 cloves')) t(id, label)")
+_SHOWN = "regexp_replace(CAST(l_quantity / 2 AS VARCHAR), '\\.0$', '')"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {_SHOWN} || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN ' g' ELSE CASE WHEN l_quantity = 2 THEN ' clove' ELSE ' cloves' END END AS label FROM lineitem")
 def quantity_labels(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 200.0, "g"), (2, 2.0, ""), (3, 1.0, "cloves"), (4, 2.5, "cloves")], "id int, n double, unit string")
-    return rows.select("id", nested.quantity_label(F.col("n"), F.col("unit")).alias("label"))
+    unit = F.element_at(F.array(F.lit(""), F.lit("g"), F.lit("cloves")), F.col("l_linenumber") % 3 + 1)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", nested.quantity_label(F.col("l_quantity") / 2, unit).alias("label"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
@@ -382,18 +410,28 @@ def freshness_age_days(spark, sf_dir):
     return integrity.freshness(status, F.lit("2024-03-01 12:00:00").cast("timestamp")).select("user_id", "condition")
 
 
-_DUMP = "-- dumped\r\n\\restrict abc\r\nCREATE TABLE a (\r\n  x int\r\n);\n\n\n\n\nCREATE TABLE b ();\n\\unrestrict abc\n"
+_DUMPED = "'CREATE TABLE t' || doc_id || ' (' || chr(10) || '  x text DEFAULT ' || chr(39) || n_chars || chr(39) || chr(10) || ');' || chr(10) || chr(10) || 'CREATE TABLE ' || lang || ' ();'"
 
 
-@query("SELECT 'CREATE TABLE a (' || chr(10) || '  x int' || chr(10) || ');' || chr(10) || chr(10) || 'CREATE TABLE b ();' AS canonical")
+@query(f"SELECT doc_id, {_DUMPED} AS canonical FROM documents WHERE lang IS NOT NULL")
 def schema_text_canonicalise(spark, sf_dir):
-    canonical = integrity.canonical_schema_text(F.col("t"))
-    return spark.createDataFrame([(_DUMP,)], "t string").select(canonical.alias("canonical"))
+    dump = "-- dumped {0}\r\n\\restrict abc\r\nCREATE TABLE t{0} (\r\n-- a column\r\n  x text DEFAULT '{1}'\r\n);\n\n\n\n\nCREATE TABLE {2} ();\n\\unrestrict abc\n"
+    text = F.lit(dump)
+    for k, c in enumerate(("doc_id", "n_chars", "lang")):
+        text = F.replace(text, F.lit("{%d}" % k), F.col(c).cast("string"))
+    return table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", integrity.canonical_schema_text(text).alias("canonical"))
 
 
-@query("SELECT * FROM (VALUES ('expected', 1, 'b'), ('actual', 2, 'd')) t(side, position, line)")
+@query(
+    """WITH r AS (SELECT s_name, s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS position FROM supplier), e AS (SELECT s_name AS line, position FROM r), a AS (SELECT s_name || CASE WHEN s_suppkey % 10 = 3 THEN '!' ELSE '' END AS line, position FROM r)
+    SELECT 'expected' AS side, CAST(position AS INTEGER) AS position, line FROM (SELECT * FROM e WHERE line NOT IN (SELECT line FROM a) ORDER BY position LIMIT 5)
+    UNION ALL SELECT 'actual', CAST(position AS INTEGER), line FROM (SELECT * FROM a WHERE line NOT IN (SELECT line FROM e) ORDER BY position LIMIT 5)"""
+)
 def diff_excerpt(spark, sf_dir):
-    return integrity.line_difference(spark.createDataFrame([("a\nb\nc",)], "text string"), spark.createDataFrame([("a\nc\nd",)], "text string"))
+    """A text has one line for each supplier; a text is one value, so it is made in one task."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat("s_name", F.when(F.col("s_suppkey") % 10 == 3, "!").otherwise("")).alias("changed"))
+    text = lambda c: suppliers.select(F.expr(f"listagg({c}, chr(10)) WITHIN GROUP (ORDER BY s_suppkey)").alias("text"))
+    return integrity.line_difference(text("s_name"), text("changed"))
 
 
 @query(
@@ -418,48 +456,76 @@ def report_sections(spark, sf_dir):
     return report.sections(rows, "o_custkey", "o_orderkey")
 
 
-@query("SELECT * FROM (VALUES ('lock_timeout', '3000', '3000', true), ('statement_timeout', '30000', NULL, false)) t(name, wanted, found, fine)")
+@query("SELECT c_name AS name, c_mktsegment AS wanted, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_mktsegment || ' ' END AS found, c_custkey % 3 = 0 AS fine FROM customer")
 def settings_equality(spark, sf_dir):
-    expected = spark.createDataFrame(list(runner.TIMEOUTS.items()), "name string, wanted string")
-    return runner.settings_report(expected, spark.createDataFrame([("lock_timeout", "3000"), ("other", "1")], "name string, found string"))
+    customers = table(spark, sf_dir, "customer")
+    found = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit(" ")))
+    actual = customers.where("c_custkey % 3 < 2").select(F.col("c_name").alias("name"), found.alias("found"))
+    return runner.settings_report(customers.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("wanted")), actual)
 
 
-@query("SELECT * FROM (VALUES ('duplicate-index', '1'), ('duplicate-time', '20'), ('entry-without-file', 'c'), ('file-without-entry', 'z')) t(fault, subject)")
+@query(
+    """SELECT 'duplicate-index' AS fault, CAST(o_orderkey // 3 AS VARCHAR) AS subject FROM orders GROUP BY o_orderkey // 3 HAVING count(*) > 1 UNION ALL SELECT 'duplicate-time', CAST(o_custkey AS VARCHAR) FROM orders GROUP BY o_custkey HAVING count(*) > 1
+    UNION ALL SELECT 'entry-without-file', 't' || o_orderkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'file-without-entry', 't' || o_orderkey || 'x' FROM orders WHERE o_orderkey % 11 = 0"""
+)
 def journal_faults(spark, sf_dir):
-    journal = spark.createDataFrame([(0, 10, "a"), (1, 20, "b"), (1, 20, "c")], "idx int, `when` long, tag string")
-    return runner.journal_faults(journal, spark.createDataFrame([("a",), ("b",), ("z",)], "tag string"))
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    tag = F.concat(F.lit("t"), key.cast("string"))
+    journal = orders.select(F.floor(key / 3).alias("idx"), F.col("o_custkey").alias("when"), tag.alias("tag"))
+    files = orders.where(key % 7 != 0).select(tag.alias("tag")).union(orders.where(key % 11 == 0).select(F.concat(tag, F.lit("x"))))
+    return runner.journal_faults(journal, files)
 
 
-@query("SELECT * FROM (VALUES ('digest', 1, true), ('counts', 2, false), ('spot', 3, NULL), ('schema', 4, NULL)) t(tier, position, recorded)")
+@query(
+    """SELECT o_custkey, o_orderpriority AS tier, o_orderkey AS position, CASE WHEN coalesce(bool_and(o_totalprice > 20000) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN o_totalprice > 20000 END AS recorded FROM orders"""
+)
 def tier_short_circuit(spark, sf_dir):
-    rows = [("digest", 1, True), ("counts", 2, False), ("spot", 3, True), ("schema", 4, True)]
-    return integrity.record_tiers(spark.createDataFrame(rows, "tier string, position int, passed boolean")).select("tier", "position", "recorded")
+    tiers = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("tier"), F.col("o_orderkey").alias("position"), (F.col("o_totalprice") > 20000).alias("passed"))
+    return integrity.record_tiers(tiers, "o_custkey").drop("passed")
+
+
+def _scripts(spark, sf_dir):
+    """A script of each of the examples' shapes in turn for every customer, who is named in a comment."""
+    sql = _by_key("c_custkey", [F.lit(sql) for _, sql in statements.EXAMPLES])
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), F.concat(F.lit("/* for "), "c_name", F.lit(" */ "), sql).alias("sql"))
 
 
-@query(statements.GOLDEN_SQL)
+@query(f"SELECT c_custkey AS file, verdict, rule_ids FROM customer JOIN {statements.GOLDEN_SQL} ON k = c_custkey % {len(statements.EXAMPLES)}")
 def script_verdicts(spark, sf_dir):
-    return statements.verdicts(spark.createDataFrame(statements.EXAMPLES, "file string, sql string"), rules.rule_table(spark)).select("file", "verdict", "rule_ids")
+    return statements.verdicts(_scripts(spark, sf_dir), rules.rule_table(spark)).select("file", "verdict", "rule_ids")
 
 
-@query(
-    """SELECT * FROM (VALUES (1, NULL), (2, 'foreign host'), (3, 'foreign host'), (4, 'other port'), (5, 'other database'), (6, 'indirect host'), (7, NULL)) t(id, fault)"""
-)
+#: A connection URL and what keeps it from being an allowed target.
+_URLS = [
+    ("localhost:5432/app", None), ("db{0}.example:5432/app", "foreign host"), ("localhost:5432/app?host=db{0}.example", "foreign host"), ("localhost:5433/app", "other port"),
+    ("localhost:5432/other{0}", "other database"), ("localhost:5432/app?service=x{0}", "indirect host"), ("127.0.0.1:5432/app", None),
+]
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN NULL " + " ".join(f"WHEN {k} THEN '{f}'" for k, (_, f) in enumerate(_URLS) if f) + " END AS fault FROM orders")
 def target_faults(spark, sf_dir):
-    urls = ["localhost:5432/app", "db.example:5432/app", "localhost:5432/app?host=db.example", "localhost:5433/app", "localhost:5432/other", "localhost:5432/app?service=x", "127.0.0.1:5432/app"]
-    df = spark.createDataFrame([(i + 1, "postgres://u:p@" + u) for i, u in enumerate(urls)], "id int, url string")
-    return df.select("id", scalars.target_fault(F.col("url"), "app", 5432).alias("fault"))
+    url = F.replace(_by_key("o_orderkey", [F.lit(u) for u, _ in _URLS]), F.lit("{0}"), F.col("o_custkey").cast("string"))
+    urls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("postgres://u"), F.col("o_orderkey").cast("string"), F.lit(":p@"), url).alias("url"))
+    return urls.select("id", scalars.target_fault(F.col("url"), "app", 5432).alias("fault"))
 
 
-@query("SELECT * FROM (VALUES ('SAFE', 0, 'pass'), ('REVIEW_REQUIRED', 10, 'warn'), ('BLOCKED', 20, 'fail'), ('PARSE_ERROR', 30, 'fail'), ('odd', 1, 'fail')) t(verdict, code, result)")
+@query("SELECT o_orderkey, verdict, code, CASE WHEN o_orderkey % 2 = 0 AND code IN (0, 10, 20) THEN 'fail' ELSE result END AS result FROM orders JOIN (VALUES (0, 'SAFE', 0, 'pass'), (1, 'REVIEW_REQUIRED', 10, 'warn'), (2, 'BLOCKED', 20, 'fail'), (3, 'PARSE_ERROR', 30, 'fail'), (4, 'odd', 1, 'fail')) t(k, verdict, code, result) ON k = o_orderkey % 5")
 def exit_codes(spark, sf_dir):
-    df = spark.createDataFrame([(v,) for v in ("SAFE", "REVIEW_REQUIRED", "BLOCKED", "PARSE_ERROR", "odd")], "verdict string")
+    verdict = _by_key("o_orderkey", [F.lit(v) for v in ("SAFE", "REVIEW_REQUIRED", "BLOCKED", "PARSE_ERROR", "odd")])
+    report_text = F.concat(F.lit('[{"o_orderkey": '), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("}]"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", verdict.alias("verdict"), report_text.alias("report"))
     code = scalars.exit_code(F.col("verdict"), runner.ANALYZER_EXIT)
-    return df.select("verdict", code.alias("code"), scalars.job_result(code, F.lit("[]")).alias("result"))
+    return rows.select("o_orderkey", "verdict", code.alias("code"), scalars.job_result(code, F.col("report")).alias("result"))
 
 
-@query("SELECT * FROM (VALUES ('region', 'r_regionkey:int:true,r_name:string:true'), ('nation', 'n_nationkey:int:true,n_name:string:true,n_regionkey:int:true')) t(table_name, shape)")
+@query(
+    """SELECT table_name, string_agg(column_name || ':' || CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END || ':true', ',' ORDER BY ordinal_position) AS shape
+    FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'documents', 'labels', 'benchmark', 'pages', 'conversations') GROUP BY table_name"""
+)
 def column_shapes(spark, sf_dir):
-    return catalog.column_shape(catalog.columns({t: table(spark, sf_dir, t) for t in ("region", "nation")}))
+    names = ("region", "nation", "customer", "supplier", "part", "documents", "labels", "benchmark", "pages", "conversations")
+    return catalog.column_shape(catalog.columns({t: table(spark, sf_dir, t) for t in names}))
 
 
 @query("SELECT doc_id, CASE WHEN strpos(source, '.') > 0 THEN split_part(source, '.', 1) END AS schema_name, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INTEGER)), '%Y%m%dT%H%M%SZ') AS stamp FROM documents")
@@ -469,11 +535,19 @@ def names_and_stamps(spark, sf_dir):
     return docs.select("doc_id", scalars.name_schema(F.col("source")).alias("schema_name"), scalars.compact_timestamp(day).alias("stamp"))
 
 
-@query("SELECT * FROM (VALUES ('public', 'b', 2, CAST(NULL AS INTEGER)), ('public', 'c', NULL, 4), ('public', 'd', 1, NULL)) t(schema_name, sequence_name, expected_value, actual_value)")
+@query(
+    """WITH e AS (SELECT c_mktsegment AS schema_name, c_name AS sequence_name, CASE WHEN c_custkey % 4 > 0 THEN c_custkey END AS last_value FROM customer WHERE c_custkey % 9 <> 1),
+    a AS (SELECT c_mktsegment AS schema_name, c_name AS sequence_name, CASE WHEN c_custkey % 4 > 0 AND c_custkey % 6 <> 5 THEN c_custkey + CAST(c_custkey % 10 = 7 AS BIGINT) END AS last_value FROM customer WHERE c_custkey % 9 <> 2)
+    SELECT schema_name, sequence_name, e.last_value AS expected_value, a.last_value AS actual_value FROM (SELECT *, true AS there FROM e) e FULL JOIN (SELECT *, true AS there FROM a) a USING (schema_name, sequence_name)
+    WHERE e.there IS NULL OR a.there IS NULL OR e.last_value IS DISTINCT FROM a.last_value"""
+)
 def sequence_state(spark, sf_dir):
-    kind = "schema_name string, sequence_name string, last_value int"
-    e = spark.createDataFrame([("public", "a", None), ("public", "b", 2), ("public", "d", 1)], kind)
-    return catalog.sequence_differences(e, spark.createDataFrame([("public", "a", None), ("public", "b", None), ("public", "c", 4)], kind))
+    key = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    rows = lambda df, value: df.select(F.col("c_mktsegment").alias("schema_name"), F.col("c_name").alias("sequence_name"), value.alias("last_value"))
+    expected = rows(customers.where(key % 9 != 1), F.when(key % 4 > 0, key))
+    actual = rows(customers.where(key % 9 != 2), F.when((key % 4 > 0) & (key % 6 != 5), key + F.when(key % 10 == 7, 1).otherwise(0)))
+    return catalog.sequence_differences(expected, actual)
 
 
 from . import gates  # noqa: E402, F401  (registers more queries)

@@ -249,3 +249,66 @@ def test_ruleset_contexts_and_payloads(spark):
     with pytest.raises(ValueError, match="no expected context"):
         history.expected_contexts(kept, "other")
     assert history.journal_or_empty(None, kept).count() == 0 and history.journal_or_empty(kept, kept).count() == 2
+
+
+def test_bodies_are_examined_eight_levels_deep(spark):
+    scripts = spark.createDataFrame([(k, statements.nested(k)) for k in (1, 8, 9)], "file int, sql string")
+    found = {r.file: r for r in statements.analysis(scripts, rules.rule_table(spark)).collect()}
+    assert {k: r.verdict for k, r in found.items()} == {1: "SAFE", 8: "SAFE", 9: "BLOCKED"}
+    last = found[9].findings[-1]
+    assert (last.facts.nestingLimitExceeded, last.facts.nestingDepth, last.nestedPath) == (True, 8, [0] * 9)
+    assert [f.facts.nestingDepth for f in found[8].findings] == list(range(8))
+
+
+def test_statements_are_split_where_they_stand(spark):
+    sql = 'CREATE TABLE t (id int);\nALTER TABLE t ADD COLUMN c text;\n-- between two; and three\nCREATE INDEX CONCURRENTLY "i;x" ON t (c) ;;  '
+    rows_ = [("a", sql), ("b", "-- nothing;\n"), ("c", None), ("d", "é ü;SELECT 'ä;';"), ("e", "CREATE PROCEDURE p() BEGIN ATOMIC SELECT 1; SELECT 2; END; SELECT 3")]
+    found = statements.split_statements(spark.createDataFrame(rows_, "file string, sql string")).collect()
+    texts = {}
+    for r in sorted(found, key=lambda r: (r.file, r.statement_index)):
+        texts.setdefault(r.file, []).append(r.text)
+        assert dict(rows_)[r.file][r.location : r.location + r.length] == r.text
+    assert texts == {
+        "a": ["CREATE TABLE t (id int)", "ALTER TABLE t ADD COLUMN c text", 'CREATE INDEX CONCURRENTLY "i;x" ON t (c)'],
+        "d": ["é ü", "SELECT 'ä;'"],
+        "e": ["CREATE PROCEDURE p() BEGIN ATOMIC SELECT 1; SELECT 2; END", "SELECT 3"],
+    }
+
+
+def test_parse_faults_are_told_from_what_only_looks_like_them(spark):
+    fine = ["SELECT $1, '$$', $a$'$a$", "/* ' */ SELECT 1", "(SELECT 1)", "WITH a AS (SELECT ')') SELECT 1;", "", ";", "-- '"]
+    bad = {"SELECT '": "open quote or comment", 'SELECT "a': "open quote or comment", "/* SELECT 1": "open quote or comment", "SELECT (1;": "parentheses do not match", "SELECT 1; )": "no command", "DORP TABLE t": "no command"}
+    scripts = spark.createDataFrame([(x, x) for x in [*fine, *bad]], "file string, sql string")
+    assert {r.file: r.reason for r in statements.parse_faults(scripts).collect()} == bad
+    found = {r.file: r for r in statements.analysis(scripts, rules.rule_table(spark)).collect()}
+    assert all(found[x].verdict is None and found[x].findings is None and bad[x] in found[x].parse_error for x in bad)
+    assert all(found[x].verdict is not None and found[x].parse_error is None for x in fine)
+
+
+def test_facts_name_what_statements_work_on(spark):
+    cases = {
+        'DROP TABLE s."Odd ""Name", t': [("DropTable", "s", 'Odd "Name', None, None, None), ("DropTable", None, "t", None, None, None)],
+        "DROP SCHEMA s CASCADE": [("DropSchema", "s", None, None, None, None)],
+        "DROP INDEX CONCURRENTLY s.i": [("DropIndex", "s", None, None, None, "i")],
+        "CREATE UNIQUE INDEX IF NOT EXISTS i ON ONLY s.t (a)": [("CreateIndex", "s", "t", None, None, "i")],
+        "ALTER TABLE a.b.t RENAME COLUMN x TO y": [("RenameColumn", "b", "t", "x", None, None)],
+        "ALTER TABLE t ADD CONSTRAINT c CHECK (x IS NOT NULL)": [("AddCheckConstraint", None, "t", "x", "c", None)],
+        "ALTER TABLE t DROP CONSTRAINT IF EXISTS c": [("DropConstraint", None, "t", None, "c", None)],
+        "TRUNCATE s.a, b": [("Truncate", "s", "a", None, None, None)],
+        "COMMENT ON COLUMN t.c IS 'x'": [("CommentOn", "t", "c", None, None, None)],
+        "DROP DATABASE d": [("DropDatabase", None, "d", None, None, None)],
+        "VACUUM FULL s.t": [("Vacuum", None, "t", None, None, None)],
+        "UPDATE ONLY s.t SET a = 1": [("Update", "s", "t", None, None, None)],
+    }
+    found = statements.analysis(spark.createDataFrame([(x, x) for x in cases], "file string, sql string"), rules.rule_table(spark)).collect()
+    shown = {r.file: [(f.facts.statementKind, f.facts.schema, f.facts.table, f.facts.column, f.facts.constraintName, f.facts.indexName) for f in r.findings] for r in found}
+    assert shown == cases
+    assert all(len(f.ruleIds) == len(f.rationales) or f.rationales == [rules.NO_RULE] for r in found for f in r.findings)
+
+
+def test_ranged_hash_sees_changes_and_repeats(spark):
+    one = spark.createDataFrame([(i, str(i % 7)) for i in range(500)], "a int, b string")
+    hashed = lambda df: tuple(integrity.ranged_hash(df, [F.col("a"), F.col("b")]).first())
+    assert hashed(one) == hashed(one.repartition(7)) != hashed(one.union(one.limit(1)))
+    assert hashed(one) != hashed(one.withColumn("b", F.when(F.col("a") == 9, "x").otherwise(F.col("b"))))
+    assert hashed(one.limit(0)) == (0, "d41d8cd98f00b204e9800998ecf8427e")
