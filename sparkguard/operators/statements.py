@@ -186,7 +186,7 @@ def split_statements(scripts: DataFrame) -> DataFrame:
     return cut.select("file", "statement_index", "x.location", "x.length", F.substr("sql", F.col("x.location") + 1, F.col("x.length")).alias("text"))
 
 
-def _judged(scripts: DataFrame) -> DataFrame:
+def judged(scripts: DataFrame) -> DataFrame:
     """file, sql, fault: struct<at_character, reason> of the first thing for which a script cannot be SQL, null if none is seen."""
     mask = F.col("mask")
     fault = lambda at, reason: F.struct(at.cast("int").alias("at_character"), F.lit(reason).alias("reason"))
@@ -450,7 +450,7 @@ def findings(scripts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def parse_faults(scripts: DataFrame) -> DataFrame:
     """file, at_character (from 1), reason of scripts that cannot be SQL, the first fault of each."""
-    return _judged(scripts).where("fault IS NOT NULL").select("file", "fault.*")
+    return judged(scripts).where("fault IS NOT NULL").select("file", "fault.*")
 
 
 def analysis(scripts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -460,8 +460,8 @@ def analysis(scripts: DataFrame, rules: DataFrame) -> DataFrame:
     hold it, and that of the action or object), verdict, ruleIds and rationales in step, facts and pairedWith.
     A script with a parse fault has no verdict and no findings, only parse_error.
     """
-    judged = _judged(scripts)
-    found = findings(judged.where("fault IS NULL").select("file", "sql"), rules)
+    told = judged(scripts)
+    found = findings(told.where("fault IS NULL").select("file", "sql"), rules)
     one = F.struct(
         F.col("at")[0].alias("statementIndex"),
         F.when(F.size("at") > 1, F.col("at")).otherwise(F.array().cast("array<int>")).alias("nestedPath"),
@@ -476,17 +476,17 @@ def analysis(scripts: DataFrame, rules: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("fact.statementKind") != "EmptyInput", F.col("at")[0])).alias("statement_count"),
         F.array_sort(F.collect_list(F.struct("position", one.alias("one"))))["one"].alias("findings"),
     )
-    faulty = judged.where("fault IS NOT NULL").select("file", F.concat("fault.reason", F.lit(" (at character "), F.col("fault.at_character").cast("string"), F.lit(")")).alias("parse_error"))
+    faulty = told.where("fault IS NOT NULL").select("file", F.concat("fault.reason", F.lit(" (at character "), F.col("fault.at_character").cast("string"), F.lit(")")).alias("parse_error"))
     return per_file.withColumn("parse_error", F.lit(None).cast("string")).unionByName(faulty, allowMissingColumns=True).select("file", "verdict", "statement_count", "parse_error", "findings")
 
 
 def verdicts(scripts: DataFrame, rules: DataFrame) -> DataFrame:
     """file, verdict, rule_ids (distinct, sorted, joined by commas): the worst finding of each script, or PARSE_ERROR."""
-    judged = _judged(scripts)
-    found = findings(judged.where("fault IS NULL").select("file", "sql"), rules)
+    told = judged(scripts)
+    found = findings(told.where("fault IS NULL").select("file", "sql"), rules)
     ids = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_ids")))), ",")
     worst = found.groupBy("file").agg(F.max_by("verdict", severity(F.col("verdict"))).alias("verdict"), ids.alias("rule_ids"))
-    return worst.unionByName(judged.where("fault IS NOT NULL").select("file", F.lit("PARSE_ERROR").alias("verdict"), F.lit("").alias("rule_ids")))
+    return worst.unionByName(told.where("fault IS NOT NULL").select("file", F.lit("PARSE_ERROR").alias("verdict"), F.lit("").alias("rule_ids")))
 
 
 def nested(levels: int) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import history, integrity, nested, report, rules, runner, statements
+from ..operators import history, integrity, nested, report, rules, runner, runs, statements
 from ..sources.tables import table
 from .registry import hash_sql, query
 
@@ -336,3 +336,55 @@ def content_hash_ranged(spark, sf_dir):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+#: Scripts by the remainder of their key, and verdict and policy of each; all others are the last one.
+_RUN_SHAPES = {
+    1: ("CREATE INDEX CONCURRENTLY i{0} ON t (a);", "SAFE", "unwrap"),
+    2: ("ALTER TABLE t{0} ALTER COLUMN a SET NOT NULL; CREATE TABLE u (a int);", "REVIEW_REQUIRED", "wrap"),
+    3: ("CREATE TABLE a (b int); DROP TABLE t{0};", "BLOCKED", "wrap"),
+    4: ("CREATE INDEX CONCURRENTLY i{0} ON t (a); CREATE TABLE u{0} (a int);", "SAFE", "mixed"),
+    5: ("-- nothing yet {0}", "REVIEW_REQUIRED", "wrap"),
+}
+_PLAIN_SHAPE = ("CREATE TABLE t{0} (a int);", "SAFE", "wrap")
+_RUN_MODULUS, _UNREADABLE = 40, 131
+_RUNS_SQL = f"""WITH s AS (SELECT o_custkey AS run, o_orderkey AS idx, 't' || o_orderkey AS tag, epoch_ms(o_orderdate) AS ms, o_orderkey % {_RUN_MODULUS} AS shape, o_orderkey % {_UNREADABLE} = 0 AS unreadable FROM orders),
+    l AS (SELECT o_custkey AS run, max(epoch_ms(o_orderdate)) AS last_at FROM orders WHERE o_totalprice > 450000 GROUP BY 1),
+    m AS (SELECT DISTINCT user_id AS run FROM events WHERE event_id % 97 = 0 AND (event_type = 'error' OR (event_type = 'view' AND NOT (value >= 50)))),
+    p AS (SELECT s.*, coalesce(last_at < ms, true) AS pending, m.run IS NOT NULL AS stale FROM s LEFT JOIN l USING (run) LEFT JOIN m ON m.run = s.run),
+    u AS (SELECT *, coalesce(bool_or(unreadable AND pending) OVER (PARTITION BY run), false) AS unparsed FROM p),
+    f AS (SELECT *, CASE WHEN pending AND NOT stale AND NOT unparsed THEN CASE shape WHEN 3 THEN 'REFUSED_BLOCKED' WHEN 4 THEN 'REFUSED_MIXED_FILE' END END AS refusal FROM u),
+    e AS (SELECT *, arg_min(refusal, idx) FILTER (WHERE refusal IS NOT NULL) OVER (PARTITION BY run) AS stop, min(idx) FILTER (WHERE refusal IS NOT NULL) OVER (PARTITION BY run) AS stop_at FROM f),
+    r AS (SELECT *, CASE WHEN NOT pending THEN 'skipped' WHEN stale OR unparsed OR idx > stop_at THEN 'not-run' WHEN idx = stop_at THEN 'refused' ELSE 'applied' END AS state,
+      CASE WHEN stale THEN 'REFUSED_STALE_MARKER' WHEN unparsed THEN 'REFUSED_PARSE_FAILURE' ELSE coalesce(stop, 'APPLIED') END AS outcome, CASE shape WHEN 2 THEN 'REVIEW_REQUIRED' WHEN 5 THEN 'REVIEW_REQUIRED' WHEN 3 THEN 'BLOCKED' ELSE 'SAFE' END AS v FROM e)"""
+
+
+def _planned(spark, sf_dir):
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    sql = F.lit(_PLAIN_SHAPE[0])
+    for k, (text, _, _) in _RUN_SHAPES.items():
+        sql = F.when(key % _RUN_MODULUS == k, text).otherwise(sql)
+    sql = F.replace(F.when(key % _UNREADABLE == 0, "CREATE TABLE t{0} (").otherwise(sql), F.lit("{0}"), key.cast("string"))
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    scripts = orders.select(F.col("o_custkey").alias("run"), key.alias("idx"), at.alias("when"), F.concat(F.lit("t"), key.cast("string")).alias("tag"), sql.alias("sql"))
+    ledger = orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("run"), at.alias("created_at"))
+    markers = _markers(spark, sf_dir).where("id % 97 = 0").withColumnRenamed("user_id", "run")
+    return runs.plan_runs(scripts, ledger, markers, rules.rule_table(spark))
+
+
+@query(
+    _RUNS_SQL
+    + """ SELECT run, idx, tag, state, CASE WHEN state IN ('applied', 'refused') THEN v END AS verdict, CASE WHEN state IN ('applied', 'refused') THEN CASE shape WHEN 5 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 1 END END AS statement_count,
+      CASE state WHEN 'applied' THEN shape <> 1 WHEN 'refused' THEN false END AS wrapped, outcome FROM r"""
+)
+def planned_runs(spark, sf_dir):
+    return _planned(spark, sf_dir).select("run", "idx", "tag", "state", "verdict", "statement_count", "wrapped", "outcome")
+
+
+@query(
+    _RUNS_SQL
+    + """ SELECT run, any_value(outcome) AS outcome, CASE any_value(outcome) WHEN 'APPLIED' THEN 0 WHEN 'REFUSED_BLOCKED' THEN 21 WHEN 'REFUSED_PARSE_FAILURE' THEN 31 WHEN 'REFUSED_MIXED_FILE' THEN 41 ELSE 51 END AS code, count(*) FILTER (WHERE state = 'applied') AS applied,
+      CASE max(CASE WHEN state IN ('applied', 'refused') THEN CASE v WHEN 'SAFE' THEN 0 WHEN 'REVIEW_REQUIRED' THEN 1 ELSE 2 END ELSE 0 END) WHEN 0 THEN 'SAFE' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'BLOCKED' END AS worst_verdict, max(CASE WHEN state = 'refused' THEN tag END) AS stopped_at FROM r GROUP BY run"""
+)
+def planned_outcomes(spark, sf_dir):
+    return runs.run_outcomes(_planned(spark, sf_dir))

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sparkguard.operators import audit, history, integrity, nested, report, rules, runner, statements
+from sparkguard.operators import audit, history, integrity, nested, report, rules, runner, runs, statements
 from sparkguard.sources import tables
 from sparkguard.streaming import markers
 
@@ -312,3 +312,44 @@ def test_ranged_hash_sees_changes_and_repeats(spark):
     assert hashed(one) == hashed(one.repartition(7)) != hashed(one.union(one.limit(1)))
     assert hashed(one) != hashed(one.withColumn("b", F.when(F.col("a") == 9, "x").otherwise(F.col("b"))))
     assert hashed(one.limit(0)) == (0, "d41d8cd98f00b204e9800998ecf8427e")
+
+
+def test_runs_are_planned_gate_by_gate(spark):
+    ok, index, drop = "CREATE TABLE t (a int)", "CREATE INDEX CONCURRENTLY i ON t (a)", "DROP TABLE t"
+    scripts = [
+        *[("plain", k, 10 * k, f"p{k}", x) for k, x in enumerate([ok, index, "", "UPDATE t SET a = 1 WHERE b"])],
+        *[("stopped", k, 10 * k, f"s{k}", x) for k, x in enumerate([ok, drop, ok])],
+        *[("mixed", k, 10 * k, f"m{k}", x) for k, x in enumerate([ok, f"{index}; {ok}", drop])],
+        *[("unread", k, 10 * k, f"u{k}", x) for k, x in enumerate([ok, "SELECT 'open"])],
+        *[("stale", k, 10 * k, f"z{k}", x) for k, x in enumerate([ok, ok])],
+        *[("late", k, w, f"l{k}", x) for k, (w, x) in enumerate([(5, ok), (30, drop), (31, ok)])],
+    ]
+    ledger = spark.createDataFrame([("late", 30), ("late", 7), ("other", 99)], "run string, created_at long")
+    markers = spark.createDataFrame([("stale", "failed", False), ("plain", "failed", True), ("plain", "resolved", False)], "run string, state string, wrapped boolean")
+    entries = runs.plan_runs(spark.createDataFrame(scripts, "run string, idx int, `when` long, tag string, sql string"), ledger, markers, rules.rule_table(spark)).cache()
+    assert {r.tag: (r.state, r.verdict, r.statement_count, r.wrapped) for r in entries.collect()} == {
+        "p0": ("applied", "SAFE", 1, True),
+        "p1": ("applied", "SAFE", 1, False),
+        "p2": ("applied", "REVIEW_REQUIRED", 0, True),
+        "p3": ("applied", "REVIEW_REQUIRED", 1, True),
+        "s0": ("applied", "SAFE", 1, True),
+        "s1": ("refused", "BLOCKED", 1, False),
+        "s2": ("not-run", None, None, None),
+        "m0": ("applied", "SAFE", 1, True),
+        "m1": ("refused", "SAFE", 2, False),
+        "m2": ("not-run", None, None, None),
+        **dict.fromkeys(("u0", "u1", "z0", "z1"), ("not-run", None, None, None)),
+        **dict.fromkeys(("l0", "l1"), ("skipped", None, None, None)),
+        "l2": ("applied", "SAFE", 1, True),
+    }
+    found = {r.run: (r.outcome, r.code, r.applied, r.worst_verdict, r.stopped_at) for r in runs.run_outcomes(entries).collect()}
+    assert found == {
+        "plain": ("APPLIED", 0, 4, "REVIEW_REQUIRED", None),
+        "stopped": ("REFUSED_BLOCKED", 21, 1, "BLOCKED", "s1"),
+        "mixed": ("REFUSED_MIXED_FILE", 41, 1, "SAFE", "m1"),
+        "unread": ("REFUSED_PARSE_FAILURE", 31, 0, "SAFE", None),
+        "stale": ("REFUSED_STALE_MARKER", 51, 0, "SAFE", None),
+        "late": ("APPLIED", 0, 1, "SAFE", None),
+    }
+    assert sorted(r.created_at for r in runs.ledger_rows(entries).collect()) == [0, 0, 0, 10, 20, 30, 31]
+    entries.unpersist()
