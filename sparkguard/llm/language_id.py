@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, fold
+from .common import drawn, fold, released
 from .grams import batches_of, gram_slots, presence
 
 ORDERS, BITS = (1, 2, 3), 13
@@ -122,7 +122,7 @@ def train(docs: DataFrame, training: int = TRAINING, landmarks: int = LANDMARKS,
     # At most a share of each language: bounded by the parameters and the number of languages.
     rows = few.join(F.broadcast(picked.select("lang", "draw", "text_hash")), ["lang", "draw", "text_hash"], "left_semi")
     texts = rows.groupBy("lang", "draw", "text_hash").agg(F.first("text").alias("text"))
-    found = texts.mapInArrow(_slots, "lang string, draw long, text_hash long, slots binary").collect()
+    found = texts.mapInArrow(released(_slots), "lang string, draw long, text_hash long, slots binary").collect()
     got = [(r["lang"], bytes(r["slots"])) for r in sorted(found, key=lambda r: (r["lang"], r["draw"], r["text_hash"]))]
     return fit([np.frombuffer(s, "<i4") for _, s in got], [lang for lang, _ in got], landmarks)
 
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; `und` with score 0 where the text is null or has no letter."""
     plain = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", lang_pred string, score double"
-    return plain.mapInArrow(_predict(model), schema)
+    return plain.mapInArrow(released(_predict(model)), schema)
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, materialize, partitions
+from .common import discard, join_hot, materialize, partitions, released
 from .components import components
 from .encoding import slices
 
@@ -427,19 +427,19 @@ def similar_rows(base: DataFrame, words: int = WORDS, make_signer: Callable[[],
     words are all kept.
     """
     spark = base.sparkSession
-    rows = materialize(base.select("rid", "doc_id", "text").mapInArrow(_documents(words), "rid long, doc_id long, n_shingles long, set long, second long"), "join-docs")
+    rows = materialize(base.select("rid", "doc_id", "text").mapInArrow(released(_documents(words)), "rid long, doc_id long, n_shingles long, set long, second long"), "join-docs")
     some = rows.where("n_shingles > 0")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("lead")
     classes = materialize(some.groupBy("set", "second").agg(lead, F.count(F.lit(1)).alias("size")).withColumn("cid", F.monotonically_increasing_id()), "join-classes")
     total, elements = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     ranges = max(2 * partitions(spark), elements * 2 // (3 * RANGE_SIGNATURES))
-    signed = base.select("text").mapInArrow(_signed(words, ranges, make_signer), "key int, kind int, data binary")
+    signed = base.select("text").mapInArrow(released(_signed(words, ranges, make_signer)), "key int, kind int, data binary")
     found = materialize(signed.groupBy("key").applyInArrow(_range_ties, _RANGE), "join-pairs")
     groups = materialize(components(_candidate_edges(found)).withColumnsRenamed({"node": "set", "component": "group"}), "join-groups")
     discard(found)
     # One row of each set that has company; its elements are computed again from its text.
     wanted = classes.join(groups, "set").select(F.col("lead.rid").alias("rid"), F.col("cid").alias("set"), "group")
-    members = materialize(base.select("rid", "text").join(wanted, "rid").select("text", "set", "group").mapInArrow(_set_rows(words), "set long, group long, n long, elements binary"), "join-members")
+    members = materialize(base.select("rid", "text").join(wanted, "rid").select("text", "set", "group").mapInArrow(released(_set_rows(words)), "set long, group long, n long, elements binary"), "join-members")
     discard(groups)
     links = _group_links(members, similar)
     placed = classes.join(components(links).withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

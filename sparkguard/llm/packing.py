@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released
 from .encoding import encoder, slices, tokenizer_path
 
 CAPACITY = 4096
@@ -136,5 +136,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, ca
     with those of the texts beside it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = rows.mapInArrow(_pieces(path or tokenizer_path("word_bpe_49k.json"), capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = rows.mapInArrow(released(_pieces(path or tokenizer_path("word_bpe_49k.json"), capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return pack_lengths(pieces, capacity, group_pieces)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, fold
+from .common import drawn, fold, released
 from .grams import batches_of, presence
 
 #: Orders of the n-grams and bits of a slot of each order.
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     share = F.when(F.col("toxic") == 1, sample[0]).otherwise(sample[1])
     chosen = drawn(sizes, "toxic", share, slots, FIT_BYTES).select("doc_id", "text_hash")
     texts = rows.join(F.broadcast(chosen), ["doc_id", "text_hash"], "left_semi").groupBy("toxic", "draw", "text_hash").agg(F.first("text").alias("text"))
-    found = texts.mapInArrow(_slots, "toxic int, draw long, text_hash long, slots binary").collect()
+    found = texts.mapInArrow(released(_slots), "toxic int, draw long, text_hash long, slots binary").collect()
     got = sorted(found, key=lambda r: (r["draw"], r["toxic"], r["text_hash"]))
     return fit([np.frombuffer(r["slots"], "<i4") for r in got], np.array([r["toxic"] for r in got], int), size)
 
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score (0 to 1, higher: likelier toxic) and predicted (score >= 0.5); null text counts as empty."""
     plain = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", score double, predicted int"
-    return plain.mapInArrow(_score(model), schema)
+    return plain.mapInArrow(released(_score(model)), schema)
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
