@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, language_id, lexical, minhash, ngram_join, packing, periodic_runs, token_counts, token_output, topk_search, toxicity
+from . import bpe, chat_format, exact_dedup, language_id, lexical, minhash, ngram_join, packing, periodic_runs, sql, token_counts, token_output, topk_search, toxicity
 from .common import table
 
 
@@ -85,5 +85,8 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat_format.ORACLE,
     "op4_topk_search": topk_search.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_ngram_join": sql.similar_sets(5, 80),
+    "op11_periodic_runs": sql.PERIODIC_RUNS,
     "op12_lexical_search": lexical.ORACLE,
+    "op13_minhash_dedup": sql.similar_sets(3, 85, kept=True),
 }
