@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A document is the set of its distinct hashed n-grams. Slot s is scaled by r_s = log((p_s / |p|) / (q_s / |q|)),
-p and q being how many toxic and clean training documents hold it; the scaled vector has length 1; logistic
-regression on such vectors gives the score. Training takes a bounded sample of labelled documents
+p and q being how many toxic and clean training documents hold it; slots whose ratio is within CONFIDENT standard errors
+of 0 are left out, as the many of a long text would outweigh the few that tell; the scaled vector has length 1;
+logistic regression on such vectors gives the score. Training takes a bounded sample of labelled documents
 (``SAMPLE`` documents and ``FIT_BYTES`` of each class, drawn by hash, whole texts); scoring is a map over the
 table without a shuffle.
 """
@@ -21,13 +22,15 @@ from .common import drawn, fold, released
 from .grams import batches_of, presence
 
 #: Orders of the n-grams and bits of a slot of each order.
-ORDERS, BITS = (4, 5), 17
+ORDERS, BITS = (5, 6), 18
 #: The most training documents of each class: toxic, clean.
 SAMPLE = (600, 1200)
 #: The most bytes that the slots of each class take: a document takes 8 a byte of text, up to 4 a slot.
 FIT_BYTES = 48 << 20
 #: A slot in fewer training documents has no weight.
 MIN_DOCUMENTS = 3
+#: A slot has no weight unless its ratio is this many standard errors, sqrt(1 / p_s + 1 / q_s), from 0.
+CONFIDENT = 2.0
 #: Training documents whose values are worked on at once.
 BLOCK = 100
 FOLDS, HELD_OUT = 5, 0
@@ -55,7 +58,7 @@ def fit(slots: list[np.ndarray], toxic: np.ndarray, size: int, rounds: int = 60,
     for s, label in zip(slots, toxic, strict=True):
         (p if label else q)[s] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio[p + q - 2 < MIN_DOCUMENTS] = 0
+    ratio[(p + q - 2 < MIN_DOCUMENTS) | (np.abs(ratio) < CONFIDENT * np.sqrt(1 / p + 1 / q))] = 0
     # A value is ratio[slot] / norm[document], so slots alone are kept and no array holds all documents' values.
     square = ratio**2
     slots = [s[ratio[s] != 0] for s in slots]

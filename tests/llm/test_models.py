@@ -56,6 +56,20 @@ def test_toxicity_of_held_out_texts(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
 
 
+def test_toxicity_of_long_texts_with_one_word(spark):
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("aeioulnrst"), rng.integers(3, 9))) for _ in range(2000)]
+    rows = []
+    for i in range(500):
+        words = list(rng.choice(plain, 40 if i % 2 else 700))
+        rows.append((i, " ".join([*words[:20], *(["nastyword"] if i % 5 == 0 else []), *words[20:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.held_out_scores(docs, marks).collect() if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id % 5 == 0]) > 0.9
+    assert np.mean([r.predicted for r in held if r.doc_id % 5]) < 0.05
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.held_out_scores(awkward(spark), none).collect()
@@ -119,7 +133,8 @@ def test_language_model_equals_plain_kernels():
     assert [model.languages[b] for b in best] == ["x" if k % 2 else "y" for k in range(30, 40)]
 
 
-def test_toxicity_ratios_equal_plain_counts():
+def test_toxicity_ratios_equal_plain_counts(monkeypatch):
+    monkeypatch.setattr(toxicity, "CONFIDENT", 0)  # six documents make no ratio certain
     docs = [[0, 1, 2], [0, 1], [0, 1, 3], [2, 3], [2, 3, 0], [3, 2, 4]]
     toxic = np.array([1, 1, 1, 0, 0, 0])
     model = toxicity.fit([np.array(d) for d in docs], toxic, 6)
@@ -133,6 +148,18 @@ def test_toxicity_ratios_equal_plain_counts():
     assert min(scores[:3]) > 0.5 > max(scores[3:])
 
 
+def test_toxicity_leaves_out_slots_of_uncertain_ratio():
+    docs = [[0, 1, 2], [0, 1], [0, 1, 3], [2, 3], [2, 3, 0], [3, 2, 4]] * 6
+    toxic = np.array([1, 1, 1, 0, 0, 0] * 6)
+    model = toxicity.fit([np.array(d) for d in docs], toxic, 6)
+    p, q = ([1 + sum(s in d for d, t in zip(docs, toxic, strict=True) if t == c) for s in range(6)] for c in (1, 0))
+    for s in range(6):
+        ratio = math.log((p[s] / sum(p)) / (q[s] / sum(q)))
+        certain = abs(ratio) >= toxicity.CONFIDENT * math.sqrt(1 / p[s] + 1 / q[s])
+        assert certain == (s < 4)  # slot 4 is within two standard errors of 0, slot 5 in no document
+        assert math.isclose(model.square[s], ratio**2 if certain else 0, rel_tol=1e-5)
+
+
 def brute_top_k(rows, k, every):
     """Exact integers; a product beyond a long counts as the nearest long."""
     whole = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows]
