@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Entries of an append-only comparison in one partition, about.
+ENTRIES = 500_000
+
+
 def name_status(lines: DataFrame, line: str = "line") -> DataFrame:
     """status, path of tab-separated lines; of renames the last path."""
     parts = F.split(line, "\t")
@@ -18,8 +22,14 @@ def append_only_files(changes: DataFrame, prefix: str, exempt: str) -> DataFrame
 
 
 def append_only_entries(base: DataFrame, head: DataFrame) -> DataFrame:
-    """idx, fault: base entries missing or changed in head, and indexes that head repeats. New ones are fine."""
-    h = head.select("idx", F.col("tag").alias("head_tag"), F.col("when").alias("head_when"), F.lit(True).alias("there"))
+    """idx, fault: base entries missing or changed in head, and indexes that head repeats. New ones are fine.
+
+    Both sides are dealt by idx once, for the join and the count, to as many partitions as their rows ask for: a task's
+    memory does not grow with the tables.
+    """
+    parts = (base.count() + head.count()) // ENTRIES + 1
+    base, head = (df.select("idx", "tag", "when").repartition(parts, "idx") for df in (base, head))
+    h = head.hint("merge").select("idx", F.col("tag").alias("head_tag"), F.col("when").alias("head_when"), F.lit(True).alias("there"))
     fault = (
         F.when(F.col("there").isNull(), "missing").when(~F.col("tag").eqNullSafe(F.col("head_tag")), "tag-changed").when(~F.col("when").eqNullSafe(F.col("head_when")), "time-changed")
     )

@@ -355,6 +355,15 @@ def test_runs_are_planned_gate_by_gate(spark):
     entries.unpersist()
 
 
+def test_entries_are_dealt_to_partitions_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(history, "ENTRIES", 100)
+    base = spark.range(1000).select(F.col("id").alias("idx"), F.lit("t").alias("tag"), F.lit(1).alias("when"))
+    head = base.where("idx <> 7").withColumn("tag", F.when(F.col("idx") == 8, "u").otherwise(F.col("tag"))).unionByName(base.where("idx = 9"))
+    found = history.append_only_entries(base, head)
+    assert sorted(rows(found)) == [(7, "missing"), (8, "tag-changed"), (9, "duplicate-index")]
+    assert found.rdd.getNumPartitions() >= 21
+
+
 def test_scripts_of_one_file_are_read_by_all_cores_and_once(spark):
     scripts = spark.range(500).coalesce(1).select(F.col("id").alias("file"), F.lit("DROP /* x */ TABLE t; -- y").alias("sql"))
     told = statements.read(scripts)
