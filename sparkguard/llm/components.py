@@ -11,17 +11,15 @@ from .common import discard, materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours are tied to the smallest among the node and its neighbours.
 
-    large: the larger neighbours of every node; else the smaller ones and the node itself.
+    large: the larger neighbours of every node; else the smaller ones and the node itself. Edges have u > v, here and in
+    the result, so a node's smallest neighbour is found under u alone: edges are not doubled, and a round is one small plan.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = near.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     if large:
-        out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        tied = edges.join(least.withColumnRenamed("u", "v"), "v", "left")
+        return tied.select("u", F.coalesce("m", "v").alias("v")).distinct()
+    tied = edges.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+    return tied.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -447,7 +447,9 @@ def similar_rows(base: DataFrame, words: int = WORDS, make_signer: Callable[[],
     discard(members)
     discard(classes)
     least = placed.groupBy("component").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("sets"))
-    of_set = join_hot(placed, least, ["component"], "sets", total).select("set", "second", "size", "first")
+    # Read three times below: written, so that the last plan does not hold its joins as often.
+    of_set = materialize(join_hot(placed, least, ["component"], "sets", total).select("set", "second", "size", "first"), "join-of-set")
+    discard(placed)
     joined = join_hot(some, of_set, ["set", "second"], "size", total)
     joined = joined.select("rid", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
     return joined.unionByName(rows.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkguard.llm import exact_dedup, ngram_join
-from sparkguard.llm.components import components
+from sparkguard.llm.components import _star, components
 
 from .helpers import BASE, awkward
 
@@ -160,3 +160,18 @@ def test_components_of_chains(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_round_of_components_is_one_small_plan(spark):
+    random.seed(11)
+    edges = {(max(p), min(p)) for _ in range(300) if len(set(p := random.sample(range(200), 2))) == 2}
+    table = spark.createDataFrame([*edges], "u long, v long")
+    near = {x: {b if a == x else a for a, b in edges if x in (a, b)} for x in range(200)}
+    large = {(y, min(near[x] | {x})) for x in near for y in near[x] if y > x}
+    assert {tuple(r) for r in _star(table, True).collect()} == large
+    least = {u: min(v for a, v in edges if a == u) for u, _ in edges}
+    small = {(v, least[u]) for u, v in edges if v != least[u]} | set(least.items())
+    assert {tuple(r) for r in _star(table, False).collect()} == small
+    # What a round reads is written out in its plan again and again; the driver holds that plan and its tasks.
+    plan = _star(_star(table, True), False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 4
