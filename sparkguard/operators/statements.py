@@ -174,7 +174,11 @@ def spans(mask: Column) -> Column:
 
 
 def _computed(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that are computed once: behind a generator no later expression repeats theirs."""
+    """rows with columns that are computed once: behind a generator no later expression repeats theirs.
+
+    Each call also becomes a method of its own in the code that Spark generates. The JVM compiles none of more than 8000 bytes,
+    so long lists of columns are computed in several calls.
+    """
     once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return rows.select("*", once.alias("_once")).select("*", "_once.*").drop("_once")
 
@@ -402,13 +406,17 @@ def facts(rows: DataFrame) -> DataFrame:
         "transactionHostile": F.col("alone") | kind.isin("Vacuum", "AlterSystem", "CreateDatabase"),
         "disarmsTimeout": settings & flat.rlike(r'\b(?:set|reset) (?:local |session )?"?(?:lock_timeout|statement_timeout|all)\b'),
     }
-    return _computed(rows, fact=F.struct(*[c.alias(f) for f, c in named.items()]))
+    names = ("schema", "table", "column", "constraintName", "indexName", "usingIndexName")
+    rows = _computed(rows, **{f: named[f] for f in names})
+    return _computed(rows, fact=F.struct(*[(F.col(f) if f in names else c).alias(f) for f, c in named.items()]))
 
 
-def typed_facts(told: DataFrame) -> Column:
-    """The typed map of ``fact`` that rules are matched against."""
-    held = told.schema["fact"].dataType
-    return F.create_map(*[x for f in held for x in (F.lit(f.name), typed(F.col(f"fact.{f.name}"), {"boolean": "b", "int": "i"}.get(f.dataType.simpleString(), "s")))])
+def typed_facts(told: DataFrame) -> DataFrame:
+    """told with facts: the typed map of ``fact`` that rules are matched against."""
+    held = list(told.schema["fact"].dataType)
+    of = lambda some: F.create_map(*[x for f in some for x in (F.lit(f.name), typed(F.col(f"fact.{f.name}"), {"boolean": "b", "int": "i"}.get(f.dataType.simpleString(), "s")))])
+    halves = _computed(_computed(told, some=of(held[: len(held) // 2])), others=of(held[len(held) // 2 :]))
+    return halves.withColumn("facts", F.map_concat("some", "others")).drop("some", "others")
 
 
 #: Kinds whose data loss no pairing lowers (deletes and updates only without a condition).
@@ -475,7 +483,7 @@ def findings(scripts: DataFrame, rules: DataFrame) -> DataFrame:
     """
     told = _examined((scripts if "clean" in scripts.columns else read(scripts)).select("file", "clean"))
     floor = F.col("kind").isin(*FLOOR) | (F.col("kind").isin("Delete", "Update") & ~F.col("fact.hasWhereClause"))
-    plain = classify(told.withColumns({"floor": floor, "facts": typed_facts(told)}), rules, ["file", "position", "at", "fact", "floor"])
+    plain = classify(typed_facts(told.withColumn("floor", floor)), rules, ["file", "position", "at", "fact", "floor"])
     met = pairs(told).join(F.broadcast(rules.select("rule_id", "rationale")), "rule_id", "left")
     return apply_pairings(plain, met)
 
